@@ -20,7 +20,7 @@ def log_metrics(spark: SparkSession, path: str) -> DataFrame:
 
     Folders named ``role=<role>`` add a ``role`` column. Each file is read whole as one row.
     """
-    logs = spark.read.option("wholetext", True).text(path)
+    logs = spark.read.text(path, wholetext=True)
     text = F.col("value")
 
     def number(pattern: str):
