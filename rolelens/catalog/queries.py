@@ -24,7 +24,7 @@ from rolelens.schema import PERSONAL_COLUMNS, RENTAL_COLUMNS
 from rolelens.session import work_path
 from rolelens.sources import load as L
 from rolelens.sources.logs import log_metrics
-from rolelens.sources.rentals import rentals
+from rolelens.sources.rentals import read_table, rentals
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,19 +35,19 @@ SAMPLE_ROWS = 500
 
 
 def portable(df: DataFrame) -> DataFrame:
-    def cast(field: T.StructField):
-        column, kind = F.col(f"`{field.name}`"), field.dataType
+    def cast(field: T.StructField) -> str:
+        name, kind = f"`{field.name}`", field.dataType
         if isinstance(kind, T.DecimalType):
-            column = column.cast("double")
-        elif isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
-            column = F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-        elif isinstance(kind, T.IntegerType):
-            column = column.cast("long")
-        elif isinstance(kind, T.ArrayType):
-            column = F.array_join(column, ",")
-        return column.alias(field.name)
+            return f"cast({name} AS double) AS {name}"
+        if isinstance(kind, T.TimestampNTZType):
+            return f"date_format({name}, 'yyyy-MM-dd HH:mm:ss.SSSSSS') AS {name}"
+        if isinstance(kind, T.IntegerType):
+            return f"cast({name} AS bigint) AS {name}"
+        if isinstance(kind, T.ArrayType):
+            return f"array_join({name}, ',') AS {name}"
+        return name
 
-    return df.select(*[cast(f) for f in df.schema])
+    return df.selectExpr(*[cast(f) for f in df.schema])
 
 
 # --- inputs --------------------------------------------------------------------------------------
@@ -180,12 +180,12 @@ def load_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    lines = read_table(spark, sf_dir, "lineitem")
     return portable(Q.duplicate_keys(lines, ("l_orderkey", "l_linenumber")))
 
 
 def dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    lines = read_table(spark, sf_dir, "lineitem")
     keys, order = ("l_orderkey", "l_linenumber"), ("l_shipdate", "l_partkey")
     return portable(Q.dedupe(lines, keys, order))
 

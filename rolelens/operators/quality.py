@@ -229,47 +229,79 @@ def sample_fraction(
     return df.where(F.substring(F.md5(key), 1, 4) < f"{cut:04x}")
 
 
-DIGITS = 3  # hex digits per level: 4,096 histogram rows
+DIGITS = 3  # hex digits per histogram level: 4,096 rows
+TIE_DIGITS = 4
+
+
+def _digits(column: str, start: int, length: int) -> Column:
+    return F.substring(column, start, length)
 
 
 def sample_exact(df: DataFrame, n: int, key: str = "rental_id") -> DataFrame:
     """Exactly ``n`` rows (or all, when there are fewer): those with the smallest key hash.
 
-    ``key`` identifies a row; rows without a key are not drawn. Two histograms over leading hash
-    digits find the cut, and rows below it pass straight through. Only the rows that share all
-    the digits at the cut, about one in 16 million, are ranked. No task holds the sample.
+    Rows without a key are not drawn. Three counts over the key column alone find the hash at
+    the cut: by leading digits, by the next digits at the cut, and by whole hash among the few
+    (one in 16 million) that share them. One pass over the rows then keeps all hashes up to the
+    cut, in place; no task holds the sample. ``_some_copies`` serves a key that is cut in two.
     """
     require(df, key)
     if n <= 0:
         return df.limit(0)
     hashed = df.where(F.col(key).isNotNull()).withColumn("_hash", F.md5(key))
 
-    def level(rows: DataFrame, start: int, rank: Column) -> DataFrame:
-        hist = (
-            rows.groupBy(F.substring("_hash", start, DIGITS).alias("_d"))
-            .agg(F.count("*").alias("_n"))
-            .withColumn("_rank", rank)
-        )
+    def cut(rows: DataFrame, order: Column, rank: Column) -> DataFrame:
+        hist = rows.groupBy(order.alias("_d")).agg(F.count("*").alias("_n"))
         want = "array(named_struct('slot', 0, 'rank', _rank))"
-        return locate(hist, [], "_d", "_n", want)
-
-    first = level(hashed, 1, F.lit(n).cast("long"))
-    digits1, rank1 = (first.select(c).scalar() for c in ("_d", "within"))
-    d1 = F.substring("_hash", 1, DIGITS)
-    at_cut = hashed.where(d1 == digits1)
-    second = level(at_cut, 1 + DIGITS, rank1)
-    digits2, rank2 = (second.select(c).scalar() for c in ("_d", "within"))
-    d2 = F.substring("_hash", 1 + DIGITS, DIGITS)
-
-    # Fewer than n rows: no cut is found and everything passes.
-    below = hashed.where(
-        digits1.isNull() | (d1 < digits1) | ((d1 == digits1) & (d2 < digits2))
-    ).drop("_hash")
-    order = Window.orderBy("_hash", *[F.col(c) for c in df.columns])
-    tied = (
-        at_cut.where(d2 == digits2)
-        .withColumn("_pos", F.row_number().over(order))
-        .where(F.col("_pos") <= rank2)
-        .drop("_hash", "_pos")
+        return locate(hist.withColumn("_rank", rank), [], "_d", "_n", want, keep=("_n",))
+
+    def at(located: DataFrame) -> Column:
+        return located.select(F.struct("_d", "within", "_n")).scalar()
+
+    lead, following = _digits("_hash", 1, DIGITS), _digits("_hash", 1 + DIGITS, DIGITS)
+    first = at(cut(hashed, lead, F.lit(n).cast("long")))
+    in_first = hashed.where(lead == first["_d"])
+    second = at(cut(in_first, following, first["within"]))
+    in_second = in_first.where(following == second["_d"])
+    last = cut(in_second, F.col("_hash"), second["within"])
+
+    edge = at(last)
+    whole = (F.col("_hash") == edge["_d"]) & (edge["within"] == edge["_n"])
+    # Fewer than n rows: there is no cut and everything passes.
+    passed = hashed.where(edge.isNull() | (F.col("_hash") < edge["_d"]) | whole)
+    split = last.where("within < _n").select(F.col("_d").alias("_at"), F.col("within").alias("_take"))
+    copies = hashed.join(F.broadcast(split), F.col("_hash") == F.col("_at")).drop("_hash", "_at")
+    return passed.drop("_hash").unionByName(_some_copies(copies, df.columns))
+
+
+def _some_copies(copies: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``_take`` of the rows that share one key, however many there are.
+
+    Identical rows collapse to one with a count. The rest rank by a hash of the row: a histogram
+    finds the cut, and only the rows sharing its leading digits (one in 65,536) meet in a window.
+    When no key is split the input is empty and AQE drops this branch, scans included.
+    """
+    rows = (
+        copies.groupBy("_take", *columns)
+        .agg(F.count("*").alias("_c"))
+        .withColumn("_row", F.md5(F.to_json(F.struct(*columns))))
+        .withColumn("_lead", _digits("_row", 1, TIE_DIGITS))
+    )
+    hist = rows.groupBy("_take", "_lead").agg(F.sum("_c").alias("_c"))
+    want = "array(named_struct('slot', 0, 'rank', _take))"
+    edge = locate(hist, ["_take"], "_lead", "_c", want).select(
+        F.col("_take").alias("_t"), F.col("_lead").alias("_edge"), "within"
+    )
+    ranked = rows.join(
+        F.broadcast(edge), (F.col("_take") == F.col("_t")) & (F.col("_lead") <= F.col("_edge"))
+    )
+    before = Window.partitionBy("_edge").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    below = ranked.where(F.col("_lead") < F.col("_edge")).withColumn("_keep", F.col("_c"))
+    tied = ranked.where(F.col("_lead") == F.col("_edge")).withColumn(
+        "_keep",
+        F.least("_c", F.col("within") - F.coalesce(F.sum("_c").over(before), F.lit(0))),
+    )
+    kept = below.unionByName(tied).where("_keep > 0")
+    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_keep"))).select(
+        *columns
     )
-    return below.unionByName(tied)

@@ -104,13 +104,12 @@ def numeric_summary(
         return out.select(*keys, "rentals", "avg", "min", "max", *picked)
 
     step = step or BUCKET_STEP.get(column, 1)
-    scaled = F.floor(value.cast("double") / step).cast("double")
-    clamped = F.greatest(F.lit(-EDGE).cast("double"), F.least(F.lit(EDGE).cast("double"), scaled))
+    scaled = F.floor(value.cast("double") / step)
+    clamped = F.greatest(F.lit(-EDGE).cast("long"), F.least(F.lit(EDGE).cast("long"), scaled))
     bucket = F.when(value.isNotNull(), clamped)
     narrow = df.select(*[c.alias(k) for k, c in keys.items()], value.alias("_v"), bucket.alias("_b"))
     hist = narrow.groupBy(*keys, "_b").agg(
-        F.count("*").alias("_rows"),
-        F.count("_v").alias("_n"),
+        F.count("*").alias("_n"),
         F.sum("_v").alias("_sum"),
         F.min("_v").alias("_lo"),
         F.max("_v").alias("_hi"),
@@ -119,7 +118,10 @@ def numeric_summary(
         f"named_struct('slot', {i}, 'rank', greatest(1L, cast(ceil({p}BD * _total) AS bigint)))"
         for i, p in enumerate(quantiles.values())
     )
-    located = locate(hist, list(keys), "_b", "_n", f"array({wanted})", keep=("_lo", "_hi"))
+    # The bucket of the NULLs has no sum. All uses of the histogram read the same columns, so
+    # Spark computes it once and reuses the exchange.
+    values = hist.where("_sum IS NOT NULL")
+    located = locate(values, list(keys), "_b", "_n", f"array({wanted})", keep=("_lo", "_hi"))
     settled = located.where("_lo = _hi").select(*keys, "slot", F.col("_lo").alias("_v"))
 
     pending = located.where("_lo < _hi").select(
@@ -142,12 +144,13 @@ def numeric_summary(
     # Histogram rows and located values meet in one small final aggregate.
     totals = hist.withColumn("slot", F.lit(None).cast("int")).withColumn("_v", F.lit(None))
     found = settled.unionByName(refined)
+    known = F.when(F.col("_sum").isNotNull(), F.col("_n"))
     return (
         totals.unionByName(found, allowMissingColumns=True)
         .groupBy(*keys)
         .agg(
-            F.coalesce(F.sum("_rows"), F.lit(0)).alias("rentals"),
-            F.try_divide(F.sum("_sum").cast("double"), F.sum("_n")).alias("avg"),
+            F.coalesce(F.sum("_n"), F.lit(0)).alias("rentals"),
+            F.try_divide(F.sum("_sum").cast("double"), F.sum(known)).alias("avg"),
             F.min("_lo").alias("min"),
             F.max("_hi").alias("max"),
             *[
