@@ -250,27 +250,29 @@ def sample_exact(df: DataFrame, n: int, key: str = "rental_id") -> DataFrame:
         return df.limit(0)
     hashed = df.where(F.col(key).isNotNull()).withColumn("_hash", F.md5(key))
 
-    def cut(rows: DataFrame, order: Column, rank: Column) -> DataFrame:
-        hist = rows.groupBy(order.alias("_d")).agg(F.count("*").alias("_n"))
+    def cut(rows: DataFrame, order: Column) -> DataFrame:
+        """The group of rows that holds rank ``_rank``, the rank inside it and its size."""
+        hist = rows.groupBy("_rank", order.alias("_d")).agg(F.count("*").alias("_n"))
         want = "array(named_struct('slot', 0, 'rank', _rank))"
-        return locate(hist.withColumn("_rank", rank), [], "_d", "_n", want, keep=("_n",))
+        return locate(hist, [], "_d", "_n", want, keep=("_n",))
 
-    def at(located: DataFrame) -> Column:
-        return located.select(F.struct("_d", "within", "_n")).scalar()
+    def narrowed(rows: DataFrame, order: Column, found: DataFrame) -> DataFrame:
+        one = F.broadcast(found.select(F.col("_d").alias("_at"), F.col("within").alias("_next")))
+        inside = rows.join(one, order == F.col("_at"))
+        return inside.select("_hash", F.col("_next").alias("_rank"))
 
     lead, following = _digits("_hash", 1, DIGITS), _digits("_hash", 1 + DIGITS, DIGITS)
-    first = at(cut(hashed, lead, F.lit(n).cast("long")))
-    in_first = hashed.where(lead == first["_d"])
-    second = at(cut(in_first, following, first["within"]))
-    in_second = in_first.where(following == second["_d"])
-    last = cut(in_second, F.col("_hash"), second["within"])
-
-    edge = at(last)
-    whole = (F.col("_hash") == edge["_d"]) & (edge["within"] == edge["_n"])
-    # Fewer than n rows: there is no cut and everything passes.
-    passed = hashed.where(edge.isNull() | (F.col("_hash") < edge["_d"]) | whole)
+    keys = hashed.select("_hash", F.lit(n).cast("long").alias("_rank"))
+    in_first = narrowed(keys, lead, cut(keys, lead))
+    in_second = narrowed(in_first, following, cut(in_first, following))
+    last = cut(in_second, F.col("_hash"))
+
+    # "~" sorts after every hex digit: past the cut hash when all its rows are drawn, and past
+    # everything when there are fewer than n rows and so no cut.
+    bound = F.when(F.col("within") == F.col("_n"), F.concat("_d", F.lit("~"))).otherwise(F.col("_d"))
+    passed = hashed.where(F.col("_hash") < F.coalesce(last.select(bound).scalar(), F.lit("~")))
     split = last.where("within < _n").select(F.col("_d").alias("_at"), F.col("within").alias("_take"))
-    copies = hashed.join(F.broadcast(split), F.col("_hash") == F.col("_at")).drop("_hash", "_at")
+    copies = hashed.join(F.broadcast(split), F.col("_hash") == F.col("_at"))
     return passed.drop("_hash").unionByName(_some_copies(copies, df.columns))
 
 
@@ -292,16 +294,11 @@ def _some_copies(copies: DataFrame, columns: Sequence[str]) -> DataFrame:
     edge = locate(hist, ["_take"], "_lead", "_c", want).select(
         F.col("_take").alias("_t"), F.col("_lead").alias("_edge"), "within"
     )
-    ranked = rows.join(
-        F.broadcast(edge), (F.col("_take") == F.col("_t")) & (F.col("_lead") <= F.col("_edge"))
-    )
-    before = Window.partitionBy("_edge").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
-    below = ranked.where(F.col("_lead") < F.col("_edge")).withColumn("_keep", F.col("_c"))
-    tied = ranked.where(F.col("_lead") == F.col("_edge")).withColumn(
-        "_keep",
-        F.least("_c", F.col("within") - F.coalesce(F.sum("_c").over(before), F.lit(0))),
-    )
-    kept = below.unionByName(tied).where("_keep > 0")
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_keep"))).select(
-        *columns
+    before = Window.partitionBy("_lead").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("within") - F.coalesce(F.sum("_c").over(before), F.lit(0))
+    inside = (F.col("_take") == F.col("_t")) & (F.col("_lead") <= F.col("_edge"))
+    kept = rows.join(F.broadcast(edge), inside).withColumn(
+        "_keep", F.when(F.col("_lead") < F.col("_edge"), F.col("_c")).otherwise(F.least("_c", left))
     )
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_keep")))
+    return kept.where("_keep > 0").withColumn("_copy", copy).select(*columns)
