@@ -71,7 +71,7 @@ def numeric_summary(
     column: str,
     quantiles: Mapping[str, float] = MEDIAN,
     keys: Mapping[str, Column] | None = None,
-    step: float | None = None,
+    step: int | None = None,
     accuracy: int | None = None,
     few_groups: bool = False,
 ) -> DataFrame:
@@ -104,10 +104,13 @@ def numeric_summary(
         return out.select(*keys, "rentals", "avg", "min", "max", *picked)
 
     step = step or BUCKET_STEP.get(column, 1)
-    scaled = F.floor(value.cast("double") / step)
-    clamped = F.greatest(F.lit(-EDGE).cast("long"), F.least(F.lit(EDGE).cast("long"), scaled))
-    bucket = F.when(value.isNotNull(), clamped)
-    narrow = df.select(*[c.alias(k) for k, c in keys.items()], value.alias("_v"), bucket.alias("_b"))
+    # Any non-decreasing function of the value works as a bucket; whole-number division is cheap.
+    exact = df.schema[column].dataType.typeName() in ("decimal", "byte", "short", "integer", "long")
+    scaled = f"cast(_v AS bigint) div {step}" if exact else f"floor(_v / {step})"
+    bucket = f"CASE WHEN _v IS NOT NULL THEN greatest(-{EDGE}L, least({EDGE}L, {scaled})) END"
+    narrow = df.select(*[c.alias(k) for k, c in keys.items()], value.alias("_v")).withColumn(
+        "_b", F.expr(bucket)
+    )
     hist = narrow.groupBy(*keys, "_b").agg(
         F.count("*").alias("_n"),
         F.sum("_v").alias("_sum"),
