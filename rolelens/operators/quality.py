@@ -132,29 +132,28 @@ def missing_profile(
     text = {f.name for f in df.schema if f.dataType.simpleString() == "string"}
 
     def invalid(c: str) -> Column:
-        if c not in ranges:
-            return F.lit(False)
         lo, hi = ranges[c]
         number = F.col(c).try_cast("double")
         return F.col(c).isNotNull() & ~F.coalesce(number.between(lo, hi), F.lit(False))
 
-    counts = [
-        F.struct(
+    def counts(c: str) -> Column:
+        null, mark = F.count_if(F.col(c).isNull()), F.col(c).eqNullSafe(sentinel)
+        none = F.lit(0).cast("long")
+        marks = F.count_if(mark) if c in text else none
+        outside = F.count_if(invalid(c)) if c in ranges else none
+        missing = null + marks
+        if c in ranges:  # a mark is usually also an invalid value: count the row once
+            bad = F.col(c).isNull() | invalid(c)
+            missing = F.count_if((bad | mark) if c in text else bad)
+        return F.struct(
             F.lit(c).alias("column"),
-            F.count_if(F.col(c).isNull()).alias("nulls"),
-            F.count_if(F.col(c).eqNullSafe(sentinel) if c in text else F.lit(False)).alias(
-                "sentinels"
-            ),
-            F.count_if(invalid(c)).alias("out_of_range"),
-            F.count_if(
-                F.col(c).isNull()
-                | (F.col(c).eqNullSafe(sentinel) if c in text else F.lit(False))
-                | invalid(c)
-            ).alias("missing"),
+            null.alias("nulls"),
+            marks.alias("sentinels"),
+            outside.alias("out_of_range"),
+            missing.alias("missing"),
         )
-        for c in df.columns
-    ]
-    wide = df.agg(F.count("*").alias("rentals"), F.array(*counts).alias("profile"))
+
+    wide = df.agg(F.count("*").alias("rentals"), F.array(*[counts(c) for c in df.columns]).alias("profile"))
     return wide.select("rentals", F.inline("profile")).select(
         "column",
         "nulls",

@@ -98,8 +98,9 @@ def report_segments(scoped: DataFrame, role: str) -> DataFrame:
 def role_report(scoped: DataFrame, role: str, checkpoint: bool = True) -> dict[str, DataFrame]:
     """A role's report on its scoped table, as named DataFrames; nothing is shown or collected.
 
-    The small grouped tables come from one scan whose result, a few hundred rows, is
-    checkpointed on first use, so that reading them one after another does not scan again.
+    The small grouped tables come from one scan. Its result, a few hundred rows, is checkpointed
+    here, so that reading the tables one after another does not scan again. With
+    ``checkpoint=False`` nothing runs yet and each of those tables scans when it is read.
     """
     if role not in REPORTS:
         raise PermissionError(f"no report for role {role}")
@@ -107,7 +108,7 @@ def role_report(scoped: DataFrame, role: str, checkpoint: bool = True) -> dict[s
     fused = report_segments(scoped, role)
     if checkpoint:
         ensure_checkpoint_dir(scoped.sparkSession)
-        fused = fused.checkpoint(eager=False)
+        fused = fused.checkpoint()
     return {
         **{name: build(scoped) for name, build in report.tables.items()},
         **{name: G.section(fused, name) for name in report.segments},
