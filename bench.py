@@ -56,7 +56,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
-    spark = local_session(cpus, **{"spark.sql.shuffle.partitions": cpus})
+    conf = {"spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "8g"}
+    spark = local_session(cpus, **conf)
     spark.sparkContext.setLogLevel("ERROR")
     times = {}
     for name in names:

@@ -153,7 +153,14 @@ def policy_view(
 # --- registry: policies as a table -----------------------------------------------------------
 
 
-def policy_registry(spark: SparkSession, policies: Iterable[Policy]) -> DataFrame:
+def policy_registry(
+    spark: SparkSession, policies: Iterable[Policy], table: DataFrame | None = None
+) -> DataFrame:
+    """Policies as rows; with ``table`` each one is first checked against its schema."""
+    policies = list(policies)
+    if table is not None:
+        for p in policies:
+            validate(p, table)
     rows = [
         (
             p.role,
@@ -195,6 +202,12 @@ def policy_count(registry: DataFrame, table: str) -> DataFrame:
     return registry.where(F.col("table") == table).agg(F.count("*").alias("filters"))
 
 
+def role_policies(registry: DataFrame, role: str, table: str = TABLE) -> list[Policy]:
+    """The role's filters on the table. Two rows are enough to tell one from several."""
+    rows = registry.where((F.col("role") == role) & (F.col("table") == table)).limit(2).collect()
+    return [Policy(**r.asDict()) for r in rows]
+
+
 # --- grants ----------------------------------------------------------------------------------
 
 RESOURCE_TYPES = ("DATABASE", "TABLE", "COLUMNS", "FILTER", "LOCATION")
@@ -236,3 +249,22 @@ def filter_grants(registry: DataFrame, database: str = "analytics") -> DataFrame
         ),
     )
     return registry.select("role", F.inline(wanted))
+
+
+def open_table(
+    df: DataFrame, registry: DataFrame, grants: DataFrame, role: str, table: str = TABLE
+) -> DataFrame:
+    """The role's view of a table, when the registry has its filter and it may select with it.
+
+    A grant to describe the table, or to select from it without a filter, opens nothing.
+    """
+    policy = effective_policy(role_policies(registry, role, table), role, table)
+    allowed = grants.where(
+        (F.col("role") == role)
+        & (F.col("resource_type") == "FILTER")
+        & (F.col("resource") == policy.name)
+        & (F.col("permission") == "SELECT")
+    )
+    if allowed.isEmpty():
+        raise PermissionError(f"role {role} may not select with filter {policy.name}")
+    return policy_view(df, [policy], role, table)

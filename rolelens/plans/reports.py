@@ -12,6 +12,7 @@ from rolelens.operators import quality as Q
 from rolelens.operators import segment as G
 from rolelens.operators import summary as M
 from rolelens.session import ensure_checkpoint_dir
+from rolelens.sources.load import schema_report
 
 ID_COLUMNS = ("rental_id", "station_id", "district")
 
@@ -29,6 +30,7 @@ def _ranked(name: str) -> Callable[[DataFrame], DataFrame]:
 
 
 _COUNTS = {
+    "schema": schema_report,
     "row_count": M.row_count,
     "distinct_counts": lambda df: M.distinct_counts(df, ID_COLUMNS),
 }

@@ -199,3 +199,17 @@ def test_quoted_values_are_not_column_mentions(spark):
     registry = P.policy_registry(spark, [tricky])
     assert A.filter_kinds(registry).first().filter_kind == "row"
     assert A.permission_matrix(registry).first().age_filter == 0
+
+
+def test_open_table_needs_filter_and_grant(spark, rentals, policies):
+    registry = P.policy_registry(spark, policies, rentals)
+    grants = P.filter_grants(registry)
+    opened = P.open_table(rentals, registry, grants, P.MARKETING_PARTNER)
+    assert ids(opened) == {"r0", "r1", "r7"} and len(opened.columns) == 10
+    describe_only = grants.where("permission = 'DESCRIBE'")
+    with pytest.raises(PermissionError):
+        P.open_table(rentals, registry, describe_only, P.STEWARD)
+    with pytest.raises(PermissionError):
+        P.open_table(rentals, P.policy_drop(registry, P.TABLE, "steward_filter"), grants, P.STEWARD)
+    with pytest.raises(AnalysisException):
+        P.policy_registry(spark, [P.Policy("r", "bad", row_filter="no_such = 1")], rentals)
