@@ -194,8 +194,8 @@ def dedupe(
 ) -> DataFrame:
     """One row per key: the smallest by ``order``, then by the remaining columns.
 
-    The minimum of a struct combines map-side, so the copies of a hot key never meet in one task,
-    as they would in a ``row_number`` window.
+    The minimum of a struct combines map-side: each task sends one row per key to the shuffle,
+    however many copies the key has.
     """
     require(df, *keys, *order)
     ranked = [*order, *[c for c in df.columns if c not in {*keys, *order}]]

@@ -14,7 +14,10 @@ def spark(tmp_path_factory):
     session = local_session(
         "4",
         **{
-            "spark.sql.shuffle.partitions": "4",
+            "spark.sql.shuffle.partitions": "2",
+            # short run, small data: compile quickly rather than well
+            "spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1",
+            "spark.driver.memory": "4g",
             "spark.sql.warehouse.dir": str(root / "warehouse"),
             "spark.checkpoint.dir": str(root / "checkpoints"),
         },
