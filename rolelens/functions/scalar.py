@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Age groups by birth year: the first lower bound reached names the group.
-AGE_GROUP_BOUNDS = ((2005, "10s"), (1995, "20s"), (1985, "30s"), (1975, "40s"), (1965, "50s"))
-OLDEST_GROUP = "60s+"
+# Ten-year age groups: born 2005 or later, 1995-2004, 1985-1994 … and before 1965.
+AGE_GROUPS = ("10s", "20s", "30s", "40s", "50s", "60s+")
+YOUNGEST_SINCE = 2005
+
+WEEKDAYS = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")
 
 # Hours [start, end) of each band of the day; hours between bands are "other".
 TIME_BANDS = (
@@ -51,8 +53,16 @@ def day_of_week(c: str | Column = "rental_date") -> Column:
     return F.dayofweek(as_timestamp(c))
 
 
+def _pick(labels: Sequence[str], position: Column) -> Column:
+    """Label at a position counted from 0, evaluated once per row; NULL for a NULL position.
+
+    Not ``element_at``: over literals it takes a NULL position for a known one.
+    """
+    return F.get(F.array(*[F.lit(x) for x in labels]), position)
+
+
 def weekday_name(c: str | Column = "rental_date") -> Column:
-    return F.date_format(as_timestamp(c), "EEEE")
+    return _pick(WEEKDAYS, day_of_week(c) - 1)
 
 
 def birth_year_num(c: str | Column = "birth_year") -> Column:
@@ -62,12 +72,10 @@ def birth_year_num(c: str | Column = "birth_year") -> Column:
 
 def age_group(c: str | Column = "birth_year") -> Column:
     """Ten-year label. The oldest group also takes missing and unreadable years."""
-    year = birth_year_num(c)
-    (bound, label), *rest = AGE_GROUP_BOUNDS
-    chain = F.when(year >= bound, label)
-    for bound, label in rest:
-        chain = chain.when(year >= bound, label)
-    return chain.otherwise(OLDEST_GROUP)
+    year = F.coalesce(birth_year_num(c), F.lit(0)).cast("double")
+    decades = ((YOUNGEST_SINCE + 9 - year) / 10).cast("int")
+    last = len(AGE_GROUPS) - 1
+    return _pick(AGE_GROUPS, F.least(F.lit(last), F.greatest(F.lit(0), decades)))
 
 
 def is_valid_birth_year(
@@ -81,8 +89,5 @@ def time_band(
     c: str | Column = "rental_date", bands: Sequence[tuple[int, int, str]] = TIME_BANDS
 ) -> Column:
     """Name of the band holding the hour, ``other`` between bands, NULL without a time."""
-    hour = hour_of_day(c)
-    chain = F.when(hour.isNull(), F.lit(None).cast("string"))
-    for start, end, label in bands:
-        chain = chain.when((hour >= start) & (hour < end), label)
-    return chain.otherwise("other")
+    labels = [next((n for lo, hi, n in bands if lo <= h < hi), "other") for h in range(24)]
+    return _pick(labels, hour_of_day(c))
