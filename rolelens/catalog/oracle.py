@@ -267,6 +267,9 @@ grants AS (
   FROM policies
   UNION ALL SELECT role, 'TABLE', 'rentals', 'DESCRIBE' FROM policies
   UNION ALL SELECT role, 'FILTER', name, 'SELECT' FROM policies
+  UNION ALL SELECT role, 'LOCATION', 'warehouse/rentals', 'DATA_LOCATION_ACCESS' FROM policies
+  UNION ALL SELECT role, 'COLUMNS', 'rentals(' || array_to_string(include_columns, ',') || ')',
+                   'SELECT' FROM policies WHERE include_columns IS NOT NULL
 ),
 kept_grants AS (
   SELECT * FROM grants WHERE NOT (resource_type = 'FILTER' AND role LIKE 'analyst%')
@@ -542,7 +545,7 @@ ORACLE: dict[str, str] = {
         " AND station_id IS DISTINCT FROM 'N'"
     ),
     "sample_fraction": q(
-        "SELECT rental_id FROM rentals WHERE substr(md5(rental_id), 1, 4) < '27f0'"
+        "SELECT rental_id FROM rentals WHERE substr(md5(rental_id), 1, 4) < '27ef'"
     ),
     "sample_exact": q(
         f"SELECT {cols(ALL)} FROM (SELECT * FROM rentals ORDER BY md5(rental_id) LIMIT 500)"

@@ -218,7 +218,7 @@ def negative_duration(t: DataFrame) -> DataFrame:
 
 
 def _grants(registry: DataFrame) -> DataFrame:
-    return P.filter_grants(registry)
+    return P.role_grants(registry)
 
 
 def _granted_twice(registry: DataFrame) -> DataFrame:

@@ -229,26 +229,29 @@ def grant_list(registry: DataFrame, role: str | None = None) -> DataFrame:
     return rows.groupBy("role").agg(F.count("*").alias("permissions"))
 
 
-def filter_grants(registry: DataFrame, database: str = "analytics") -> DataFrame:
-    """The grants each policy's role needs: describe database and table, select the filter."""
+def role_grants(
+    registry: DataFrame, database: str = "analytics", location: str = "warehouse"
+) -> DataFrame:
+    """The grants each policy's role gets: describe the database and the table, select the listed
+    columns and with the filter, and reach the location."""
+
+    def one(kind: str, resource: Column, permission: str) -> Column:
+        return F.struct(
+            F.lit(kind).alias("resource_type"),
+            resource.alias("resource"),
+            F.lit(permission).alias("permission"),
+        )
+
+    listed = F.concat("table", F.lit("("), F.array_join("include_columns", ","), F.lit(")"))
+    columns = one("COLUMNS", listed, "SELECT")
     wanted = F.array(
-        F.struct(
-            F.lit("DATABASE").alias("resource_type"),
-            F.lit(database).alias("resource"),
-            F.lit("DESCRIBE").alias("permission"),
-        ),
-        F.struct(
-            F.lit("TABLE").alias("resource_type"),
-            F.col("table").alias("resource"),
-            F.lit("DESCRIBE").alias("permission"),
-        ),
-        F.struct(
-            F.lit("FILTER").alias("resource_type"),
-            F.col("name").alias("resource"),
-            F.lit("SELECT").alias("permission"),
-        ),
+        one("DATABASE", F.lit(database), "DESCRIBE"),
+        one("TABLE", F.col("table"), "DESCRIBE"),
+        F.when(F.col("include_columns").isNotNull(), columns),
+        one("FILTER", F.col("name"), "SELECT"),
+        one("LOCATION", F.concat(F.lit(f"{location}/"), "table"), "DATA_LOCATION_ACCESS"),
     )
-    return registry.select("role", F.inline(wanted))
+    return registry.select("role", F.inline(F.array_compact(wanted)))
 
 
 def open_table(

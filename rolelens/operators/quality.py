@@ -222,7 +222,7 @@ def sample_fraction(
     if seed is not None:
         return df.sample(fraction=fraction, seed=seed)
     require(df, key)
-    cut = round(fraction * 16**4)
+    cut = int(fraction * 16**4)
     if cut >= 16**4:
         return df.where(F.col(key).isNotNull())
     return df.where(F.substring(F.md5(key), 1, 4) < f"{cut:04x}")

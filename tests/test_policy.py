@@ -153,12 +153,12 @@ def test_policy_list(spark, policies):
 
 
 def test_grants(spark, policies):
-    grants = P.filter_grants(P.policy_registry(spark, policies))
-    assert P.grant(grants, grants).count() == grants.count() == 12
+    grants = P.role_grants(P.policy_registry(spark, policies))
+    assert P.grant(grants, grants).count() == grants.count() == 19
     gone = grants.where("role = 'operation' AND permission = 'SELECT'")
     left = P.revoke(grants, gone)
-    assert dict(values(P.grant_list(left), "role", "permissions"))["operation"] == 2
-    assert P.revoke(left, gone).count() == 11
+    assert dict(values(P.grant_list(left), "role", "permissions"))["operation"] == 3
+    assert P.revoke(left, gone).count() == 17
     assert P.grant_list(left, "operation").count() == 1
 
 
@@ -203,12 +203,12 @@ def test_quoted_values_are_not_column_mentions(spark):
 
 def test_open_table_needs_filter_and_grant(spark, rentals, policies):
     registry = P.policy_registry(spark, policies, rentals)
-    grants = P.filter_grants(registry)
+    grants = P.role_grants(registry)
     opened = P.open_table(rentals, registry, grants, P.MARKETING_PARTNER)
     assert ids(opened) == {"r0", "r1", "r7"} and len(opened.columns) == 10
-    describe_only = grants.where("permission = 'DESCRIBE'")
-    with pytest.raises(PermissionError):
-        P.open_table(rentals, registry, describe_only, P.STEWARD)
+    for weak in ("permission = 'DESCRIBE'", "resource_type <> 'FILTER'"):
+        with pytest.raises(PermissionError):
+            P.open_table(rentals, registry, grants.where(weak), P.OPERATION)
     with pytest.raises(PermissionError):
         P.open_table(rentals, P.policy_drop(registry, P.TABLE, "steward_filter"), grants, P.STEWARD)
     with pytest.raises(AnalysisException):
