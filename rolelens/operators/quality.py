@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rolelens.functions import scalar as S
 from rolelens.operators.ranks import locate
+from rolelens.operators.summary import named
 from rolelens.schema import REQUIRED_KEYS, require
 
 SENTINEL = "N"
@@ -75,16 +76,19 @@ def outliers(
     return df.where(outlier_predicate(limits))
 
 
+def outlier_measures(
+    df: DataFrame, limits: Mapping[str, tuple[float, float]] = STEWARD_LIMITS
+) -> dict[str, Column]:
+    require(df, *limits)
+    count, total = F.count_if(outlier_predicate(limits)), F.count("*")
+    return {"rentals": total, "outliers": count, "outlier_pct": S.pct(count, total)}
+
+
 def outlier_summary(
     df: DataFrame, limits: Mapping[str, tuple[float, float]] = STEWARD_LIMITS
 ) -> DataFrame:
     """Rows, outliers and their share, in one pass; the share of an empty table is NULL."""
-    require(df, *limits)
-    count = F.count_if(outlier_predicate(limits))
-    total = F.count("*")
-    return df.agg(
-        total.alias("rentals"), count.alias("outliers"), S.pct(count, total).alias("outlier_pct")
-    )
+    return df.agg(*named(outlier_measures(df, limits)))
 
 
 def outlier_sample(
@@ -112,9 +116,13 @@ def operational_outlier_top5(df: DataFrame) -> DataFrame:
 # --- profiles ----------------------------------------------------------------------------------
 
 
+def null_measures(df: DataFrame) -> dict[str, Column]:
+    return {c: F.count_if(F.col(c).isNull()) for c in df.columns}
+
+
 def null_counts(df: DataFrame) -> DataFrame:
     """NULLs per visible column, one wide row, one pass."""
-    return df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
+    return df.agg(*named(null_measures(df)))
 
 
 def missing_profile(

@@ -12,8 +12,13 @@ from rolelens.functions import scalar as S
 from rolelens.schema import require
 
 
-def _day(unit: str) -> Column:
-    return F.date_trunc(unit, S.as_timestamp("rental_date")).cast("timestamp_ntz")
+def _start_of_day() -> Column:
+    """Truncated without a detour over the session's time zone, as ``date_trunc`` takes."""
+    return S.as_timestamp("rental_date").cast("date").cast("timestamp_ntz")
+
+
+def _start_of_hour() -> Column:
+    return F.timestamp_add("HOUR", S.hour_of_day(), _start_of_day())
 
 
 # name -> (source column, expression builder)
@@ -27,8 +32,8 @@ KEYS: dict[str, tuple[str, Callable[[], Column]]] = {
     "hour": ("rental_date", lambda: S.hour_of_day()),
     "day_of_week": ("rental_date", lambda: S.day_of_week()),
     "weekday": ("rental_date", lambda: S.weekday_name()),
-    "rental_hour": ("rental_date", lambda: _day("hour")),
-    "rental_day": ("rental_date", lambda: _day("day")),
+    "rental_hour": ("rental_date", lambda: _start_of_hour()),
+    "rental_day": ("rental_date", lambda: _start_of_day()),
     "time_band": ("rental_date", lambda: S.time_band()),
 }
 

@@ -22,8 +22,16 @@ BUCKET_STEP = {"usage_min": 1, "distance_meter": 100}
 EDGE = 10_000
 
 
+def named(measures: Mapping[str, Column]) -> list[Column]:
+    return [m.alias(n) for n, m in measures.items()]
+
+
+def row_count_measures(df: DataFrame) -> dict[str, Column]:
+    return {"rentals": F.count("*")}
+
+
 def row_count(df: DataFrame) -> DataFrame:
-    return df.agg(F.count("*").alias("rentals"))
+    return df.agg(*named(row_count_measures(df)))
 
 
 def distinct_counts(
@@ -60,10 +68,27 @@ def count_distinct_in_group(df: DataFrame, keys: Sequence[str], column: str) ->
     return df.groupBy(*keys).agg(F.count_distinct(column).alias("distinct_values"))
 
 
+def average_measures(df: DataFrame, columns: Mapping[str, str]) -> dict[str, Column]:
+    require(df, *columns.values())
+    return {a: S.mean(c) for a, c in columns.items()}
+
+
 def averages(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     """``{alias: column}`` averages, all in one aggregate."""
-    require(df, *columns.values())
-    return df.agg(*[S.mean(c).alias(a) for a, c in columns.items()])
+    return df.agg(*named(average_measures(df, columns)))
+
+
+def fused_scalars(df: DataFrame, tables: Mapping[str, Mapping[str, Column]]) -> DataFrame:
+    """Several one-row tables from one aggregate, as one struct column per table."""
+    flat = [
+        m.alias(f"{table}__{n}") for table, measures in tables.items() for n, m in measures.items()
+    ]
+    return df.agg(*flat).select(
+        *[
+            F.struct(*[F.col(f"{table}__{n}").alias(n) for n in measures]).alias(table)
+            for table, measures in tables.items()
+        ]
+    )
 
 
 def numeric_summary(

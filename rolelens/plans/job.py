@@ -1,4 +1,4 @@
-"""One role's report as a Spark job: ``spark-submit -m``-style entry for the four roles.
+"""One role's report as a Spark job.
 
     python -m rolelens.plans.job --table <name or path> --role operation --district D
 
@@ -12,7 +12,6 @@ import argparse
 from pyspark.sql import SparkSession
 
 from rolelens.operators import policy as P
-from rolelens.operators.summary import row_count
 from rolelens.plans.reports import REPORTS, role_report, show_report
 from rolelens.sources.load import table_scan
 
@@ -31,10 +30,11 @@ def main(argv: list[str] | None = None) -> None:
     for policy in policies:
         P.validate(policy, table)
     scoped = P.policy_view(table, policies, args.role)
-    print(f"✅ 필터링 후 레코드 수: {row_count(scoped).first().rentals:,}건")
+    report = role_report(scoped, args.role)
+    print(f"✅ 필터링 후 레코드 수: {report['row_count'].first().rentals:,}건")
     scoped.printSchema()
     print()
-    show_report(role_report(scoped, args.role), args.rows, truncate=False)
+    show_report(report, args.rows, truncate=False)
 
 
 if __name__ == "__main__":

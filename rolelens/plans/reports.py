@@ -5,7 +5,7 @@ from __future__ import annotations
 import dataclasses
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from rolelens.operators import policy as P
 from rolelens.operators import quality as Q
@@ -19,9 +19,11 @@ ID_COLUMNS = ("rental_id", "station_id", "district")
 
 @dataclasses.dataclass(frozen=True)
 class Report:
-    """``segments`` have few groups and share one scan; ``tables`` run on their own."""
+    """``segments`` have few groups and share one scan, ``scalars`` are one-row aggregates that
+    share another, ``tables`` run on their own."""
 
     segments: tuple[str, ...]
+    scalars: Mapping[str, Callable[[DataFrame], Mapping[str, Column]]]
     tables: Mapping[str, Callable[[DataFrame], DataFrame]]
 
 
@@ -29,9 +31,9 @@ def _ranked(name: str) -> Callable[[DataFrame], DataFrame]:
     return lambda df: G.segment(df, name)
 
 
-_COUNTS = {
+_COUNT = {"row_count": M.row_count_measures}
+_BASICS = {
     "schema": schema_report,
-    "row_count": M.row_count,
     "distinct_counts": lambda df: M.distinct_counts(df, ID_COLUMNS),
 }
 _SUMMARIES = {
@@ -42,31 +44,25 @@ _SUMMARIES = {
 REPORTS: dict[str, Report] = {
     P.STEWARD: Report(
         ("district_top10", "gender_stats", "age_group_stats", "hourly_counts"),
-        {
-            **_COUNTS,
-            **_SUMMARIES,
-            "null_counts": Q.null_counts,
-            "outlier_summary": Q.outlier_summary,
-            "outlier_sample": Q.outlier_sample,
-        },
+        {**_COUNT, "null_counts": Q.null_measures, "outlier_summary": Q.outlier_measures},
+        {**_BASICS, **_SUMMARIES, "outlier_sample": Q.outlier_sample},
     ),
     P.DISTRICT_ANALYST: Report(
         ("district_stats", "gender_stats", "hourly_counts", "user_type_stats"),
-        {
-            **_COUNTS,
-            **_SUMMARIES,
-            "station_top10": _ranked("station_top10"),
-            "null_counts": Q.null_counts,
-        },
+        {**_COUNT, "null_counts": Q.null_measures},
+        {**_BASICS, **_SUMMARIES, "station_top10": _ranked("station_top10")},
     ),
     P.OPERATION: Report(
         ("district_operations", "hourly_load", "user_type_operations", "weekday_operations"),
         {
-            **_COUNTS,
+            **_COUNT,
+            "outlier_summary": lambda df: Q.outlier_measures(df, Q.OPERATION_LIMITS),
+        },
+        {
+            **_BASICS,
             "station_efficiency": _ranked("station_efficiency"),
             "usage_quantiles": lambda df: M.quantile_profile(df, "usage_min"),
             "distance_quantiles": lambda df: M.quantile_profile(df, "distance_meter"),
-            "outlier_summary": lambda df: Q.outlier_summary(df, Q.OPERATION_LIMITS),
             "outlier_top5": Q.operational_outlier_top5,
             "kpis": M.kpis,
         },
@@ -81,13 +77,12 @@ REPORTS: dict[str, Report] = {
             "peak_hour",
         ),
         {
-            **_COUNTS,
-            **_SUMMARIES,
-            "station_popular": _ranked("station_popular"),
-            "averages": lambda df: M.averages(
+            **_COUNT,
+            "averages": lambda df: M.average_measures(
                 df, {"avg_usage": "usage_min", "avg_distance": "distance_meter"}
             ),
         },
+        {**_BASICS, **_SUMMARIES, "station_popular": _ranked("station_popular")},
     ),
 }
 
@@ -97,23 +92,30 @@ def report_segments(scoped: DataFrame, role: str) -> DataFrame:
     return G.fused_segments(scoped, REPORTS[role].segments)
 
 
+def report_scalars(scoped: DataFrame, role: str) -> DataFrame:
+    """All one-row tables of a role's report, from one scan, one struct per table."""
+    parts = {name: build(scoped) for name, build in REPORTS[role].scalars.items()}
+    return M.fused_scalars(scoped, parts)
+
+
 def role_report(scoped: DataFrame, role: str, checkpoint: bool = True) -> dict[str, DataFrame]:
     """A role's report on its scoped table, as named DataFrames; nothing is shown or collected.
 
-    The small grouped tables come from one scan. Its result, a few hundred rows, is checkpointed
-    here, so that reading the tables one after another does not scan again. With
-    ``checkpoint=False`` nothing runs yet and each of those tables scans when it is read.
+    The small grouped tables come from one scan, the one-row tables from another. Both results,
+    a few hundred rows, are checkpointed here, so that reading the tables one after another does
+    not scan again. With ``checkpoint=False`` nothing runs yet and each table scans when read.
     """
     if role not in REPORTS:
         raise PermissionError(f"no report for role {role}")
     report = REPORTS[role]
-    fused = report_segments(scoped, role)
+    segments, scalars = report_segments(scoped, role), report_scalars(scoped, role)
     if checkpoint:
         ensure_checkpoint_dir(scoped.sparkSession)
-        fused = fused.checkpoint()
+        segments, scalars = segments.checkpoint(), scalars.checkpoint()
     return {
+        **{name: scalars.select(f"{name}.*") for name in report.scalars},
         **{name: build(scoped) for name, build in report.tables.items()},
-        **{name: G.section(fused, name) for name in report.segments},
+        **{name: G.section(segments, name) for name in report.segments},
     }
 
 

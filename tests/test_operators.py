@@ -182,7 +182,14 @@ def test_lift_of_one_group_is_one(mixed):
 def test_fused_sections_equal_single_reports(mixed, role):
     scoped = P.policy_view(mixed, P.standard_policies("A"), role)
     report = R.role_report(scoped, role)
-    assert set(report) == {*R.REPORTS[role].segments, *R.REPORTS[role].tables}
+    parts = R.REPORTS[role]
+    assert set(report) == {*parts.segments, *parts.scalars, *parts.tables}
+    assert report["row_count"].collect() == M.row_count(scoped).collect()
+    if "null_counts" in report:
+        assert report["null_counts"].collect() == Q.null_counts(scoped).collect()
+    if "outlier_summary" in report:
+        limits = Q.OPERATION_LIMITS if role == P.OPERATION else Q.STEWARD_LIMITS
+        assert report["outlier_summary"].collect() == Q.outlier_summary(scoped, limits).collect()
     for name in R.REPORTS[role].segments:
         assert report[name].collect() == G.segment(scoped, name).collect(), name
     for name in R.REPORTS[role].tables:
