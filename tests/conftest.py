@@ -18,6 +18,7 @@ def spark(tmp_path_factory):
             # short run, small data: compile quickly rather than well
             "spark.driver.extraJavaOptions": "-XX:TieredStopAtLevel=1",
             "spark.driver.memory": "4g",
+            "spark.sql.maxMetadataStringLength": "2000",
             "spark.sql.warehouse.dir": str(root / "warehouse"),
             "spark.checkpoint.dir": str(root / "checkpoints"),
         },

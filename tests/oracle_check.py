@@ -39,6 +39,8 @@ def rows_of(names, rows):
 def compare(spark, con, name, query, sql, sf_dir=SF_DIR):
     df = query(spark, sf_dir)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
     cur = con.execute(sql)
     want = rows_of([d[0] for d in cur.description], cur.fetchall())
     assert got[0] == want[0], (name, got[0], want[0])
