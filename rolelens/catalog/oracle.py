@@ -411,6 +411,9 @@ ORACLE: dict[str, str] = {
     "grant": registry("SELECT * FROM grants"),
     "revoke": registry("SELECT * FROM kept_grants"),
     "grant_list": registry("SELECT role, count(*) AS permissions FROM kept_grants GROUP BY role"),
+    "default_deny": registry(
+        "SELECT role FROM policies WHERE role LIKE 'analyst%' OR role = 'operation'"
+    ),
     "role_report_steward": q(
         sections(
             "steward",

@@ -20,7 +20,7 @@ from rolelens.operators import segment as G
 from rolelens.operators import share as H
 from rolelens.operators import summary as M
 from rolelens.plans import reports as R
-from rolelens.schema import PERSONAL_COLUMNS, RENTAL_COLUMNS
+from rolelens.schema import PERSONAL_COLUMNS, POLICY_SCHEMA, RENTAL_COLUMNS
 from rolelens.session import work_path
 from rolelens.sources import load as L
 from rolelens.sources.logs import log_metrics
@@ -59,7 +59,7 @@ def scoped(spark: SparkSession, sf_dir: str, role: str) -> DataFrame:
 
 def policy_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A policy registry read off the data: one analyst per district, one operator per station,
-    and the four standard roles."""
+    and the four standard roles. Stored as a table, as registries are, since queries use it often."""
     table = rentals(spark, sf_dir)
     no_birth_year = F.array(*[F.lit(c) for c in RENTAL_COLUMNS if c != "birth_year"])
     personal = F.array(*[F.lit(c) for c in PERSONAL_COLUMNS])
@@ -85,7 +85,9 @@ def policy_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     derived = per_value("district", "analyst", no_birth_year, nothing).unionByName(
         per_value("station_id", "operator", nothing, personal)
     )
-    return derived.unionByName(P.policy_registry(spark, P.standard_policies(DISTRICT)))
+    path = work_path(spark, "policies")
+    derived.unionByName(P.policy_registry(spark, P.standard_policies(DISTRICT))).write.parquet(path)
+    return spark.read.schema(POLICY_SCHEMA).parquet(path)
 
 
 def _tightened(registry: DataFrame) -> DataFrame:
@@ -231,6 +233,12 @@ def _revoked(registry: DataFrame) -> DataFrame:
     return P.revoke(grants, grants.where("resource_type = 'FILTER' AND role LIKE 'analyst%'"))
 
 
+def _denied(registry: DataFrame) -> DataFrame:
+    """One filter dropped and the analysts' filter grants revoked: who can no longer read."""
+    left = P.policy_drop(registry, P.TABLE, "operation_filter")
+    return P.denied_roles(registry, left, _revoked(registry))
+
+
 def _role_report(role: str) -> Query:
     return _on(lambda t: R.report_segments(t, role), role)
 
@@ -266,6 +274,7 @@ QUERIES: dict[str, Query] = {
     "grant": _registry(_granted_twice),
     "revoke": _registry(_revoked),
     "grant_list": _registry(lambda r: P.grant_list(_revoked(r))),
+    "default_deny": _registry(_denied),
     "role_report_steward": _role_report(P.STEWARD),
     "role_report_district": _role_report(P.DISTRICT_ANALYST),
     "role_report_operation": _role_report(P.OPERATION),

@@ -271,3 +271,14 @@ def open_table(
     if allowed.isEmpty():
         raise PermissionError(f"role {role} may not select with filter {policy.name}")
     return policy_view(df, [policy], role, table)
+
+
+def denied_roles(
+    roles: DataFrame, registry: DataFrame, grants: DataFrame, table: str = TABLE
+) -> DataFrame:
+    """Those of the given roles that ``open_table`` would turn away: no filter, or no grant on it."""
+    usable = grants.where("resource_type = 'FILTER' AND permission = 'SELECT'").select(
+        "role", F.col("resource").alias("name")
+    )
+    admitted = registry.where(F.col("table") == table).join(usable, ["role", "name"], "left_semi")
+    return roles.select("role").distinct().join(admitted, "role", "left_anti")

@@ -211,5 +211,10 @@ def test_open_table_needs_filter_and_grant(spark, rentals, policies):
             P.open_table(rentals, registry, grants.where(weak), P.OPERATION)
     with pytest.raises(PermissionError):
         P.open_table(rentals, P.policy_drop(registry, P.TABLE, "steward_filter"), grants, P.STEWARD)
+    roles = spark.createDataFrame([(p.role,) for p in policies] + [("nobody",)], "role string")
+    left = P.policy_drop(registry, P.TABLE, "steward_filter")
+    granted = grants.where("NOT (role = 'operation' AND resource_type = 'FILTER')")
+    denied = {r.role for r in P.denied_roles(roles, left, granted).collect()}
+    assert denied == {"nobody", P.STEWARD, P.OPERATION}
     with pytest.raises(AnalysisException):
         P.policy_registry(spark, [P.Policy("r", "bad", row_filter="no_such = 1")], rentals)
