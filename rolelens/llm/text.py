@@ -80,6 +80,32 @@ def _pair(left: Column, right: Column, shift: int) -> Column:
     return F.transform(left, lambda x, i: F.xxhash64(x, F.get(right, i + F.lit(shift))))
 
 
+#: Values summed in one go by prefix_sums; keeps the work on very long arrays far below quadratic.
+_BLOCK = 256
+
+
+def prefix_sums(values: Column) -> Column:
+    """Running totals of an array of longs, itself bound by ``let``."""
+
+    def total(array: Column) -> Column:
+        return F.aggregate(array, F.lit(0).cast("long"), lambda a, b: a + b)
+
+    def running(blocks: Column) -> Column:
+        return let(
+            F.transform(blocks, lambda _, b: total(F.slice(blocks, F.lit(1), b))),
+            lambda bases: F.transform(
+                values,
+                lambda _, i: F.get(bases, (i / _BLOCK).cast("int"))
+                + total(F.slice(values, i - i % _BLOCK + 1, i % _BLOCK + 1)),
+            ),
+        )
+
+    numbers = F.sequence(F.lit(0), ((F.size(values) - 1) / _BLOCK).cast("int"))
+    blocks = F.transform(numbers, lambda b: total(F.slice(values, b * _BLOCK + 1, F.lit(_BLOCK))))
+    empty = F.array().cast("array<bigint>")
+    return F.when(F.size(values) > 0, let(blocks, running)).otherwise(empty)
+
+
 def text_key(doc_id: Column, text: Column) -> Column:
     """What stands for a row in joins: equal for repeated rows, never NULL."""
     return F.xxhash64(doc_id, F.coalesce(text, F.lit("")), text.isNull())
