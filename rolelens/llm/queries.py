@@ -5,13 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rolelens.llm import decontaminate, pii
+from rolelens.llm import chat_format, decontaminate, pii
 from rolelens.llm.text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    control = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit("\\### Assistant: </turn> ok").alias("text"),
+    )
+    messages = chat_format.thread_messages(conversations.unionByName(control))
+    return chat_format.digests(chat_format.format_chats(chat_format.reply_paths(messages)))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -22,6 +35,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_chat_format": op2_chat_format,
     "op9_decontaminate": op9_decontaminate,
     "op10_pii": op10_pii,
 }
