@@ -35,7 +35,53 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+
+
+def _shrink(name: str, child: str, parent: str, key: str, columns: str) -> str:
+    """One level of the beta-binomial shrinkage: CTE ``name`` with a posterior a, b per row of ``child``."""
+    return f"""
+{name}_j AS (SELECT c.*, p.a / (p.a + p.b) AS m FROM {child} c JOIN {parent} p USING ({key})),
+{name}_s AS (SELECT 1 / least(greatest(coalesce(
+       sum(CASE WHEN m * (1 - m) > 0 THEN (good - n * m) ** 2 / (n * m * (1 - m)) - 1 END)
+       / nullif(sum(n - 1), 0), 0.001), 0.001), 0.5) - 1 AS s FROM {name}_j),
+{name} AS (SELECT {columns}, m * s + good AS a, (1 - m) * s + n - good AS b FROM {name}_j, {name}_s)"""
+
+
+_OP7 = rf"""
+WITH u AS (SELECT page_id,
+       translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''),
+                 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+       coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+o AS (SELECT host, count(*) AS n, CAST(sum(CAST(quality = 1 AS INT)) AS BIGINT) AS good
+      FROM u JOIN labels ON labels.doc_id = page_id WHERE quality IS NOT NULL GROUP BY host),
+h AS (SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain,
+             string_split(host, '.')[-1] AS suffix, n, good FROM o),
+d AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM h GROUP BY ALL),
+x AS (SELECT suffix, '' AS root, sum(n) AS n, sum(good) AS good FROM h GROUP BY ALL),
+al AS (SELECT '' AS root, coalesce(sum(good), 0) + 1.0 AS a, coalesce(sum(n) - sum(good), 0) + 1.0 AS b FROM h),
+{_shrink("ps", "x", "al", "root", "suffix")},
+{_shrink("pd", "d", "ps", "suffix", "domain")},
+{_shrink("ph", "(SELECT host, domain, n, good FROM h)", "pd", "domain", "host")},
+n AS (SELECT 'host' AS level, host AS name, a, b FROM ph UNION ALL SELECT 'domain', domain, a, b FROM pd
+      UNION ALL SELECT 'suffix', suffix, a, b FROM ps UNION ALL SELECT 'all', root, a, b FROM al),
+v AS (SELECT level, name, a / (a + b) + 1.645 * sqrt(a * b / ((a + b) ** 2 * (a + b + 1))) < 0.5 AS blocked FROM n),
+rules(rule, verdict) AS (VALUES ('net/', 'block'), ('example.net/en/', 'allow'), ('example.com/de/', 'block'),
+                         ('org/fr/', 'allow')),
+r AS (SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+      FROM (SELECT DISTINCT host, path FROM u) JOIN rules
+        ON (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1)))
+       AND starts_with(path, substr(rule, strpos(rule, '/'))) JOIN u USING (host, path) GROUP BY ALL)
+SELECT u.page_id, u.host, u.path, r.rule, coalesce(r.verdict, CASE WHEN coalesce(vh.blocked, vd.blocked, vs.blocked, va.blocked)
+       THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN (SELECT DISTINCT host, path, rule, verdict FROM r) r USING (host, path)
+LEFT JOIN v vh ON vh.level = 'host' AND vh.name = u.host
+LEFT JOIN v vd ON vd.level = 'domain' AND vd.name = array_to_string(string_split(u.host, '.')[-2:], '.')
+LEFT JOIN v vs ON vs.level = 'suffix' AND vs.name = string_split(u.host, '.')[-1]
+LEFT JOIN v va ON va.level = 'all'
+"""
+
 ORACLE: dict[str, str] = {
     "op2_chat_format": _OP2,
+    "op7_url_filter": _OP7,
     "op9_decontaminate": _OP9,
 }

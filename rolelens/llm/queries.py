@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolelens.llm import chat_format, decontaminate, pii
+from rolelens.llm import chat_format, decontaminate, pii, url_filter
 from rolelens.llm.text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,13 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_chats(chat_format.reply_paths(messages)))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is the quality label of the document with its number."""
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality")
+    outcomes = labels.select(F.col("doc_id").alias("page_id"), (F.col("quality") == 1).alias("good"))
+    return url_filter.judge(table(spark, sf_dir, "pages", "page_id", "url"), outcomes)
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -36,6 +43,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_chat_format": op2_chat_format,
+    "op7_url_filter": op7_url_filter,
     "op9_decontaminate": op9_decontaminate,
     "op10_pii": op10_pii,
 }
