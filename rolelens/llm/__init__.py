@@ -1 +1,10 @@
-"""Operations of a training-data pipeline; nothing else in the library imports this package."""
+"""Operations of a training-data pipeline; nothing else in the library imports this package.
+
+Functions that run in Python workers travel with their tasks, so workers need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
