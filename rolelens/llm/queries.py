@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolelens.llm import chat_format, decontaminate, pii, simhash, url_filter
+from rolelens.llm import chat_format, decontaminate, language_id, pii, simhash, url_filter
 from rolelens.llm.text import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.document_fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page's outcome is the quality label of the document with its number."""
     labels = table(spark, sf_dir, "labels", "doc_id", "quality")
@@ -48,6 +52,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_chat_format": op2_chat_format,
     "op3_simhash": op3_simhash,
+    "op6_language_id": op6_language_id,
     "op7_url_filter": op7_url_filter,
     "op9_decontaminate": op9_decontaminate,
     "op10_pii": op10_pii,
