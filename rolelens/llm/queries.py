@@ -7,9 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolelens.llm import chat_format, decontaminate, language_id, pii, simhash, url_filter
+from rolelens.llm import chat_format, decontaminate, language_id, packing, pii, simhash, url_filter
 from rolelens.llm.text import table
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """The installed vocabulary file of that name."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -40,6 +47,11 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages", "page_id", "url"), outcomes)
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return packing.pieces(docs, tokenizer_path(), with_ids=False).drop("ids")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return decontaminate.contamination(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -54,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op3_simhash": op3_simhash,
     "op6_language_id": op6_language_id,
     "op7_url_filter": op7_url_filter,
+    "op8_packing": op8_packing,
     "op9_decontaminate": op9_decontaminate,
     "op10_pii": op10_pii,
 }
