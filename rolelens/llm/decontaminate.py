@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolelens.llm.text import gram_hashes, hash_words, let, text_key, word_array
+from rolelens.llm.text import gram_hashes, hash_words, let, scan_windows, text_key, word_array
 from rolelens.session import ensure_checkpoint_dir
 
 WINDOW = 10
@@ -59,7 +59,7 @@ def _hits(documents: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
         F.monotonically_increasing_id().alias("_row"),
         text_key(F.col("doc_id"), F.col("text")).alias("_key"),
         "doc_id",
-        let(word_array(F.col("text")), lambda words: _scan(words, lengths)).alias("scan"),
+        let(word_array(F.col("text")), lambda words: scan_windows(words, lengths)).alias("scan"),
     )
     rows = docs.select(
         "_row", "_key", "doc_id", F.size("scan.words").cast("long").alias("n_words"),
@@ -82,23 +82,6 @@ def _hits(documents: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
     ).select("_row", "_key", "doc_id", "n_words", "win_len", F.col("g.pos").alias("pos"), "win_items")
 
 
-def _scan(words: Column, lengths: list[int]) -> Column:
-    """The words and all their windows {len, pos, hash}, after a marker of length 0."""
-    marker = F.struct(F.lit(0).alias("len"), F.lit(-1).alias("pos"), F.lit(0).cast("long").alias("hash"))
-
-    def placed(n: int, hashes: Column) -> Column:
-        def place(h, i):
-            return F.struct(F.lit(n).alias("len"), i.alias("pos"), h.alias("hash"))
-
-        return F.transform(hashes, place)
-
-    def all_windows(grams: dict[int, Column]) -> Column:
-        every = F.concat(F.array(marker), *[placed(n, h) for n, h in grams.items()])
-        return F.struct(words.alias("words"), every.alias("grams"))
-
-    return let(hash_words(words), lambda h: gram_hashes(h, lengths, all_windows))
-
-
 def _covered(spans: Column) -> Column:
     """Words inside the union of spans {pos, win_len}, sorted by position."""
     start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).alias("end"))

@@ -80,6 +80,26 @@ def _pair(left: Column, right: Column, shift: int) -> Column:
     return F.transform(left, lambda x, i: F.xxhash64(x, F.get(right, i + F.lit(shift))))
 
 
+def scan_windows(words: Column, lengths: list[int]) -> Column:
+    """{words, grams}: all windows {len, pos, hash} of the lengths, after a marker of length 0.
+
+    The marker keeps a text in a join with known windows, which then holds one row of length 0 too.
+    """
+    marker = F.struct(F.lit(0).alias("len"), F.lit(-1).alias("pos"), F.lit(0).cast("long").alias("hash"))
+
+    def placed(n: int, hashes: Column) -> Column:
+        def place(h, i):
+            return F.struct(F.lit(n).alias("len"), i.alias("pos"), h.alias("hash"))
+
+        return F.transform(hashes, place)
+
+    def all_windows(grams: dict[int, Column]) -> Column:
+        every = F.concat(F.array(marker), *[placed(n, h) for n, h in grams.items()])
+        return F.struct(words.alias("words"), every.alias("grams"))
+
+    return let(hash_words(words), lambda h: gram_hashes(h, lengths, all_windows))
+
+
 #: Values summed in one go by prefix_sums; keeps the work on very long arrays far below quadratic.
 _BLOCK = 256
 
