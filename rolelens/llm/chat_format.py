@@ -62,30 +62,30 @@ def _jumps(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     known = nodes.select(F.col("node").alias("parent"))
     state = nodes.select("node", "score", "parent").join(known, "parent", "left_semi")
     roots = nodes.select("node", "score").join(state.select("node"), "node", "left_anti")
-    # up: the next ancestor not yet summed; a root has none
-    state = state.select("node", F.col("parent").alias("up"), "score", F.lit(1).cast("long").alias("depth"))
-    state = state.unionByName(
-        roots.select("node", F.lit(None).cast("long").alias("up"), "score", F.lit(1).cast("long").alias("depth"))
-    ).checkpoint()
-    total = state.count()
+    # up: the next ancestor not yet summed; a node that has none is done
+    one = F.lit(1).cast("long").alias("depth")
+    open_ = state.select("node", F.col("parent").alias("up"), "score", one).checkpoint()
+    done = roots.select("node", F.lit(None).cast("long").alias("up"), "score", one).checkpoint()
+    total = open_.count() + done.count()
     jumps, reach = [], 1
-    while reach < 2 * total and not (open_ := state.where(F.col("up").isNotNull())).isEmpty():
+    while reach < 2 * total and not open_.isEmpty():
         jumps.append(open_.select("node", "up"))
-        above = state.select(
+        above = open_.unionByName(done).select(
             F.col("node").alias("up"), F.col("up").alias("next"),
             F.col("score").alias("more"), F.col("depth").alias("deeper"),
         )
         state = (
-            state.join(above, "up", "left")
+            open_.join(above, "up")
             .select(
                 "node", F.col("next").alias("up"),
-                (F.col("score") + F.coalesce("more", F.lit(0.0))).alias("score"),
-                (F.col("depth") + F.coalesce("deeper", F.lit(0))).alias("depth"),
+                (F.col("score") + F.col("more")).alias("score"), (F.col("depth") + F.col("deeper")).alias("depth"),
             )
             .checkpoint()
         )
+        done = done.unionByName(state.where("up IS NULL"))
+        open_ = state.where("up IS NOT NULL")
         reach *= 2
-    return jumps, state.where(F.col("up").isNull()).select("node", "score", "depth")
+    return jumps, done.select("node", "score", "depth")
 
 
 def reply_paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
