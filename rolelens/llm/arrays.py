@@ -71,15 +71,20 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
         first = last
 
 
-def word_blocks(texts: pa.Array, separators: np.ndarray) -> Iterator[Words]:
-    """The lower-cased (A-Z) words of all texts, hashed, block by block."""
+def word_blocks(texts: pa.Array, separators: np.ndarray, prefix: int | None = None) -> Iterator[Words]:
+    """The lower-cased (A-Z) words of all texts, hashed, block by block.
+
+    With ``prefix`` only that many first bytes of each word count.
+    """
     data, offsets = utf8(texts)
     for first, last in blocks(offsets):
         own = offsets[first : last + 1] - offsets[first]
-        yield Words(first, *_words(data[offsets[first] : offsets[last]], own, separators))
+        yield Words(first, *_words(data[offsets[first] : offsets[last]], own, separators, prefix))
 
 
-def _words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _words(
+    data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, prefix: int | None
+) -> tuple[np.ndarray, np.ndarray]:
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
     inside = ~separators[data]
@@ -95,6 +100,8 @@ def _words(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tup
     order = np.flatnonzero(begins[place])  # each word's first byte among the words' bytes
     sizes = np.diff(np.append(order, len(place)))
     powers = np.cumprod(np.full(int(sizes.max()) + 1, _BASE, np.uint64))
+    if prefix is not None:
+        powers[prefix:] = 0
     letters *= powers[np.arange(len(place)) - np.repeat(order, sizes)]
     hashes = mix(np.add.reduceat(letters, order))
     counts = np.diff(np.searchsorted(starts, offsets))
