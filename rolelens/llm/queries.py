@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolelens.llm import chat_format, decontaminate, language_id, license_scan, packing, pii, simhash, toxicity, url_filter
+from rolelens.llm import bottomk, chat_format, decontaminate, language_id, license_scan, packing, pii, simhash, toxicity, url_filter
 from rolelens.llm.text import table
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -40,6 +40,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.document_fingerprints(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bottomk.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text_key")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return toxicity.toxicity(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
@@ -74,6 +78,7 @@ QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op2_chat_format": op2_chat_format,
     "op3_simhash": op3_simhash,
+    "op4_minhash": op4_minhash,
     "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
     "op7_url_filter": op7_url_filter,
