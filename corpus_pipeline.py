@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rolelens.llm import decontaminate
+from rolelens.llm import bottomk, decontaminate, language_id, packing, pii
+from rolelens.llm.queries import tokenizer_path
 from rolelens.llm.text import table
 from rolelens.session import work_path
 
@@ -12,13 +13,37 @@ from rolelens.session import work_path
 ORACLE_SQL = None
 
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language cannot be determined (no letter, no text) go."""
+    return language_id.keep_identified(docs, language_id.learned(docs))
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one with the smallest id."""
+    return bottomk.keep_one(docs)
+
+
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def privacy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in texts is replaced by its kind; n_chars keeps the length of the original text."""
+    return pii.redact(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Training sequences with their token ids."""
+    return packing.pieces(docs, tokenizer_path())
+
+
 STAGES = [
+    ("language", language_stage),
+    ("near_dedup", dedup_stage),
     ("decontamination", decontaminate_stage),
+    ("privacy", privacy_stage),
+    ("packing", packing_stage),
 ]
 
 

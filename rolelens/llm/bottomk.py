@@ -18,8 +18,8 @@ Whole sets are only read, in a second pass, for classes that may have a link; a
 size passes those.
 
 Defined results: a text that is NULL or without words has an empty set and is linked with nothing. Rows
-with equal texts are one class, also with equal ids. A component is named by its smallest id; rows
-without id are kept if their component has no id at all.
+with equal texts are one class, also with equal ids. A component is named by its smallest id; in a
+component without any id, the rows with the smallest text key are kept.
 """
 
 from __future__ import annotations
@@ -275,16 +275,40 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         .checkpoint()
     )
     grouped = components(class_links(documents, classes)).withColumnRenamed("node", "set_key").checkpoint()
-    named = grouped.join(classes.select("set_key", "smallest"), "set_key").groupBy("root").agg(F.min("smallest").alias("linked"))
-    linked = grouped.join(named, "root").select("set_key", "linked")
+    named = (
+        grouped.join(classes.select("set_key", "smallest", "text_key"), "set_key")
+        .groupBy("root")
+        .agg(F.min("smallest").alias("linked"), F.min("text_key").alias("first"))
+    )
+    linked = grouped.join(named, "root").select("set_key", "linked", "first")
     ids = (
-        classes.select("set_key", "smallest")
+        classes.select("set_key", "smallest", "text_key")
         .join(linked, "set_key", "left")
-        .select("set_key", F.coalesce("linked", "smallest").alias("component_id"))
+        .select(
+            "set_key", F.when(F.col("first").isNull(), F.col("smallest")).otherwise(F.col("linked")).alias("component_id"),
+            F.coalesce("first", "text_key").alias("first_key"),
+        )
         .checkpoint()
-    )
-    full = rows.where("n_shingles > 0").select("doc_id", "text_key", "n_shingles", "set_key").join(ids, "set_key")
-    empty = rows.where("n_shingles = 0").select("set_key", "doc_id", "text_key", "n_shingles", F.col("doc_id").alias("component_id"))
+    )
+    own = rows.select("doc_id", "text_key", "n_shingles", "set_key")
+    full = own.where("n_shingles > 0").join(ids, "set_key")
+    empty = own.where("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "first_key": F.col("text_key")})
+    without_id = F.col("doc_id").isNull() & F.col("component_id").isNull() & (F.col("text_key") == F.col("first_key"))
     return full.unionByName(empty).select(
-        "doc_id", "text_key", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")
-    )
+        "doc_id", "text_key", "n_shingles", "component_id",
+        (F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)) | without_id).alias("kept"),
+    )
+
+
+def keep_one(documents: DataFrame) -> DataFrame:
+    """One row of each component, all columns kept; rows without words all stay."""
+    found = near_duplicates(documents).checkpoint()
+    key = text_key(F.col("doc_id"), F.col("text"))
+    dropped = found.where(~F.col("kept")).select(F.col("text_key").alias("_key")).distinct()
+    rest = documents.join(dropped, key == F.col("_key"), "left_anti")
+    again = found.where(F.col("kept") & (F.col("n_shingles") > 0)).groupBy(F.col("text_key").alias("_key")).count()
+    again = again.where("count > 1").select("_key")
+    if again.isEmpty():
+        return rest
+    once = rest.join(again, key == F.col("_key"), "left_anti")
+    return once.unionByName(rest.join(again, key == F.col("_key"), "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolelens.llm.text import let, prefix_sums
+from rolelens.llm.text import let, prefix_sums, running, text_key
 from rolelens.session import ensure_checkpoint_dir
 
 KINDS = ("email", "ip", "card", "phone")
@@ -108,9 +108,11 @@ def _matches(text: Column, pattern: str, kind: str) -> Column:
     return F.filter(every, lambda m: _passes(kind, m["value"])) if kind in KINDS else every
 
 
-def _read(documents: DataFrame) -> DataFrame:
-    """Per row: _row, doc_id, matches (base spans and identifier-like tokens, with their surroundings)."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+_SPANS = "array<struct<start:bigint,kind_no:int,end:bigint>>"
+
+
+def _found(text: Column, tokens: bool) -> Column:
+    """Base spans, and with ``tokens`` identifier-like tokens too, with their surroundings."""
     none = F.array().cast(
         "array<struct<start:bigint,kind_no:int,end:bigint,value:string,left:string,right:string>>"
     )
@@ -119,17 +121,20 @@ def _read(documents: DataFrame) -> DataFrame:
         needs = _NEEDS[kind]
         found = _matches(text, _PATTERNS[kind], kind)
         parts.append(F.when(F.contains(text, F.lit(needs)), found).otherwise(none) if needs else found)
-    every = F.concat(*parts, _matches(text, TOKEN, "token"))
+    if tokens:
+        parts.append(_matches(text, TOKEN, "token"))
     # an address without any digit has no token, but is a base span all the same
-    worth = text.rlike("[0-9@]")
-    return documents.select(
-        F.monotonically_increasing_id().alias("_row"), "doc_id", F.when(worth, every).otherwise(none).alias("found")
-    )
+    return F.when(text.rlike("[0-9@]"), F.concat(*parts)).otherwise(none)
 
 
 def _occurrences(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Base per row (_row, doc_id, base), and one row per seed or free token with its patterns."""
-    read = _read(documents)
+    """Base per row (_row, _key, doc_id, base), and one row per seed or free token with its patterns."""
+    read = documents.select(
+        F.monotonically_increasing_id().alias("_row"),
+        text_key(F.col("doc_id"), F.col("text")).alias("_key"),
+        "doc_id",
+        _found(F.coalesce(F.col("text"), F.lit("")), tokens=True).alias("found"),
+    )
     slim = F.transform(
         "found",
         lambda m: F.struct(
@@ -137,10 +142,10 @@ def _occurrences(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
             F.xxhash64(m["value"]).alias("instance"), _patterns(m).alias("patterns"),
         ),
     )
-    rows = read.select("_row", "doc_id", slim.alias("found")).checkpoint()
+    rows = read.select("_row", "_key", "doc_id", slim.alias("found")).checkpoint()
     base = F.filter("found", lambda m: m["kind_no"] >= 0)
     per_row = rows.select(
-        "_row", "doc_id",
+        "_row", "_key", "doc_id",
         F.sort_array(F.transform(base, lambda m: F.struct(m["start"], m["kind_no"], m["end"]))).alias("base"),
     )
     each = rows.select("_row", F.inline("found"))
@@ -232,7 +237,7 @@ def _score_patterns(edges: DataFrame, known: DataFrame, usual: list[float]) -> D
 
 
 def find(documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Per row: _row, doc_id, base and spans, both arrays of {start, kind_no, end} in order."""
+    """Per row: _key, doc_id, base, extra and spans (both together), arrays of {start, kind_no, end} in order."""
     ensure_checkpoint_dir(documents.sparkSession)
     per_row, occurrences = _occurrences(documents)
     unseen = bootstrap(occurrences, rounds)
@@ -242,9 +247,10 @@ def find(documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         .groupBy("_row")
         .agg(F.collect_list(F.struct("start", "kind_no", "end")).alias("extra"))
     )
-    none = F.array().cast("array<struct<start:bigint,kind_no:int,end:bigint>>")
-    spans = F.sort_array(F.concat("base", F.coalesce("extra", none)))
-    return per_row.join(extra, "_row", "left").select("_row", "doc_id", "base", spans.alias("spans"))
+    found = F.coalesce("extra", F.array().cast(_SPANS))
+    return per_row.join(extra, "_row", "left").select(
+        "_key", "doc_id", "base", found.alias("extra"), F.sort_array(F.concat("base", found)).alias("spans")
+    )
 
 
 def _listed(spans: str) -> Column:
@@ -265,3 +271,47 @@ def personal_data(documents: DataFrame) -> DataFrame:
 def _count(k: int) -> Column:
     return F.size(F.filter("base", lambda s: s["kind_no"] == k)).cast("long").alias(f"n_{KINDS[k]}")
 
+
+
+def redact(documents: DataFrame) -> DataFrame:
+    """The documents, all columns kept, with every span of their texts replaced by its kind: ``<EMAIL>``.
+
+    Overlapping spans become one, named by the first. Base spans are found again in the row itself, so
+    that only what the graph has found is joined. A NULL text stays NULL.
+    """
+    extra = (
+        find(documents)
+        .where(F.size("extra") > 0)
+        .groupBy(F.col("_key").alias("_extra_key"))
+        .agg(F.first("extra").alias("_extra"))
+    )
+    names = F.array(*[F.lit(f"<{kind.upper()}>") for kind in KINDS])
+
+    def rebuilt(spans: Column) -> Column:
+        return let(F.transform(spans, lambda s: s["end"]), lambda ends: let(running(ends, lambda a, b: F.greatest(a, b)), lambda reach: let(
+            F.split("text", ""), lambda chars: F.array_join(F.concat(pieces(spans, reach, chars), tail(reach, chars)), "")
+        )))
+
+    def pieces(spans: Column, reach: Column, chars: Column) -> Column:
+        def piece(s, i):
+            before = F.when(i > 0, F.get(reach, i - 1)).otherwise(0)
+            kept = F.slice(chars, (before + 1).cast("int"), (s["start"] - before).cast("int"))
+            return F.when(
+                s["start"] >= before, F.concat(F.array_join(kept, ""), F.get(names, s["kind_no"]))
+            ).otherwise("")
+
+        return F.transform(spans, piece)
+
+    def tail(reach: Column, chars: Column) -> Column:
+        last = F.get(reach, F.size(reach) - 1).cast("int")
+        return F.slice(chars, last + 1, F.size(chars) - last)
+
+    base = F.transform(
+        _found(F.col("text"), tokens=False),
+        lambda m: F.struct(m["start"].alias("start"), m["kind_no"].alias("kind_no"), m["end"].alias("end")),
+    )
+    spans = F.sort_array(F.concat(base, F.coalesce("_extra", F.array().cast(_SPANS))))
+    text = let(spans, lambda s: F.when(F.size(s) > 0, rebuilt(s)).otherwise(F.col("text")))
+    new = F.when(F.col("text").isNotNull(), text)
+    joined = documents.join(extra, text_key(F.col("doc_id"), F.col("text")) == F.col("_extra_key"), "left")
+    return joined.select(*[new.alias("text") if c == "text" else F.col(c) for c in documents.columns])

@@ -100,30 +100,37 @@ def scan_windows(words: Column, lengths: list[int]) -> Column:
     return let(hash_words(words), lambda h: gram_hashes(h, lengths, all_windows))
 
 
-#: Values summed in one go by prefix_sums; keeps the work on very long arrays far below quadratic.
+#: Values folded in one go by running(); keeps the work on very long arrays far below quadratic.
 _BLOCK = 256
 
 
-def prefix_sums(values: Column) -> Column:
-    """Running totals of an array of longs, itself bound by ``let``."""
+def running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """Running totals (from 0) of an array of longs, itself bound by ``let``; ``merge`` is associative."""
 
     def total(array: Column) -> Column:
-        return F.aggregate(array, F.lit(0).cast("long"), lambda a, b: a + b)
+        return F.aggregate(array, F.lit(0).cast("long"), merge)
 
-    def running(blocks: Column) -> Column:
+    def with_blocks(blocks: Column) -> Column:
         return let(
             F.transform(blocks, lambda _, b: total(F.slice(blocks, F.lit(1), b))),
             lambda bases: F.transform(
                 values,
-                lambda _, i: F.get(bases, (i / _BLOCK).cast("int"))
-                + total(F.slice(values, i - i % _BLOCK + 1, i % _BLOCK + 1)),
+                lambda _, i: merge(
+                    F.get(bases, (i / _BLOCK).cast("int")),
+                    total(F.slice(values, i - i % _BLOCK + 1, i % _BLOCK + 1)),
+                ),
             ),
         )
 
     numbers = F.sequence(F.lit(0), ((F.size(values) - 1) / _BLOCK).cast("int"))
     blocks = F.transform(numbers, lambda b: total(F.slice(values, b * _BLOCK + 1, F.lit(_BLOCK))))
     empty = F.array().cast("array<bigint>")
-    return F.when(F.size(values) > 0, let(blocks, running)).otherwise(empty)
+    return F.when(F.size(values) > 0, let(blocks, with_blocks)).otherwise(empty)
+
+
+def prefix_sums(values: Column) -> Column:
+    """Running sums of an array of longs, itself bound by ``let``."""
+    return running(values, lambda a, b: a + b)
 
 
 def text_key(doc_id: Column, text: Column) -> Column:
