@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from rolelens.llm import arrays
 from rolelens.llm.components import components
-from rolelens.llm.text import text_key
+from rolelens.llm.text import fresh, text_key
 from rolelens.session import ensure_checkpoint_dir
 
 WORDS = 5
@@ -303,12 +303,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 def keep_one(documents: DataFrame) -> DataFrame:
     """One row of each component, all columns kept; rows without words all stay."""
     found = near_duplicates(documents).checkpoint()
-    key = text_key(F.col("doc_id"), F.col("text"))
-    dropped = found.where(~F.col("kept")).select(F.col("text_key").alias("_key")).distinct()
-    rest = documents.join(dropped, key == F.col("_key"), "left_anti")
-    again = found.where(F.col("kept") & (F.col("n_shingles") > 0)).groupBy(F.col("text_key").alias("_key")).count()
-    again = again.where("count > 1").select("_key")
+    name = fresh(documents, "kept_key")
+    same = text_key(F.col("doc_id"), F.col("text")) == F.col(name)
+    dropped = found.where(~F.col("kept")).select(F.col("text_key").alias(name)).distinct()
+    rest = documents.join(dropped, same, "left_anti")
+    again = found.where(F.col("kept") & (F.col("n_shingles") > 0)).groupBy(F.col("text_key").alias(name)).count()
+    again = again.where("count > 1").select(name)
     if again.isEmpty():
         return rest
-    once = rest.join(again, key == F.col("_key"), "left_anti")
-    return once.unionByName(rest.join(again, key == F.col("_key"), "left_semi").dropDuplicates(["doc_id", "text"]))
+    once = rest.join(again, same, "left_anti")
+    return once.unionByName(rest.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolelens.llm.text import gram_hashes, hash_words, let, scan_windows, text_key, word_array
+from rolelens.llm.text import fresh, gram_hashes, hash_words, let, scan_windows, text_key, word_array
 from rolelens.session import ensure_checkpoint_dir
 
 WINDOW = 10
@@ -127,9 +127,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """The documents without any hit, all columns kept. Repeated rows share one decision."""
-    key = text_key(F.col("doc_id"), F.col("text"))
-    bad = judge(documents, benchmark, size).where("n_hit > 0").select(F.col("_key").alias("_bad")).distinct()
-    return documents.join(bad, key == F.col("_bad"), "left_anti")
+    bad_key = fresh(documents, "bad_key")
+    bad = judge(documents, benchmark, size).where("n_hit > 0").select(F.col("_key").alias(bad_key)).distinct()
+    return documents.join(bad, text_key(F.col("doc_id"), F.col("text")) == F.col(bad_key), "left_anti")
 
 
 def cut_spans(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -137,21 +137,22 @@ def cut_spans(documents: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
 
     A text is split behind each word, so that piece i holds word i and the separators before it.
     """
-    key = text_key(F.col("doc_id"), F.col("text"))
+    bad_key, spans = fresh(documents, "bad_key"), fresh(documents, "bad_spans")
     bad = (
         judge(documents, benchmark, size)
         .where("n_hit > 0")
-        .groupBy(F.col("_key").alias("_bad"))
-        .agg(F.first("spans").alias("_spans"))
+        .groupBy(F.col("_key").alias(bad_key))
+        .agg(F.first("spans").alias(spans))
     )
     text = F.col("text")
     parts = F.split(text, WORD_END)
     kept = F.filter(
         F.transform(parts, lambda p, i: F.struct(i.alias("i"), p.alias("p"))),
-        lambda x: ~F.exists("_spans", lambda s: (x["i"] >= s["pos"]) & (x["i"] < s["pos"] + s["win_len"])),
+        lambda x: ~F.exists(spans, lambda s: (x["i"] >= s["pos"]) & (x["i"] < s["pos"] + s["win_len"])),
     )
     cut = F.array_join(F.transform(kept, lambda x: x["p"]), "")
-    columns = [F.when(F.col("_spans").isNull(), text).otherwise(cut).alias("text") if c == "text" else F.col(c)
+    columns = [F.when(F.col(spans).isNull(), text).otherwise(cut).alias("text") if c == "text" else F.col(c)
                for c in documents.columns]
-    return documents.join(bad, key == F.col("_bad"), "left").select(*columns)
+    key = text_key(F.col("doc_id"), text)
+    return documents.join(bad, key == F.col(bad_key), "left").select(*columns)
 

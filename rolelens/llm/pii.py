@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolelens.llm.text import let, prefix_sums, running, text_key
+from rolelens.llm.text import fresh, let, prefix_sums, running, text_key
 from rolelens.session import ensure_checkpoint_dir
 
 KINDS = ("email", "ip", "card", "phone")
@@ -279,11 +279,12 @@ def redact(documents: DataFrame) -> DataFrame:
     Overlapping spans become one, named by the first. Base spans are found again in the row itself, so
     that only what the graph has found is joined. A NULL text stays NULL.
     """
+    extra_key, extra_spans = fresh(documents, "extra_key"), fresh(documents, "extra_spans")
     extra = (
         find(documents)
         .where(F.size("extra") > 0)
-        .groupBy(F.col("_key").alias("_extra_key"))
-        .agg(F.first("extra").alias("_extra"))
+        .groupBy(F.col("_key").alias(extra_key))
+        .agg(F.first("extra").alias(extra_spans))
     )
     names = F.array(*[F.lit(f"<{kind.upper()}>") for kind in KINDS])
 
@@ -310,8 +311,8 @@ def redact(documents: DataFrame) -> DataFrame:
         _found(F.col("text"), tokens=False),
         lambda m: F.struct(m["start"].alias("start"), m["kind_no"].alias("kind_no"), m["end"].alias("end")),
     )
-    spans = F.sort_array(F.concat(base, F.coalesce("_extra", F.array().cast(_SPANS))))
+    spans = F.sort_array(F.concat(base, F.coalesce(extra_spans, F.array().cast(_SPANS))))
     text = let(spans, lambda s: F.when(F.size(s) > 0, rebuilt(s)).otherwise(F.col("text")))
     new = F.when(F.col("text").isNotNull(), text)
-    joined = documents.join(extra, text_key(F.col("doc_id"), F.col("text")) == F.col("_extra_key"), "left")
+    joined = documents.join(extra, text_key(F.col("doc_id"), F.col("text")) == F.col(extra_key), "left")
     return joined.select(*[new.alias("text") if c == "text" else F.col(c) for c in documents.columns])

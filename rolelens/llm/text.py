@@ -136,3 +136,11 @@ def prefix_sums(values: Column) -> Column:
 def text_key(doc_id: Column, text: Column) -> Column:
     """What stands for a row in joins: equal for repeated rows, never NULL."""
     return F.xxhash64(doc_id, F.coalesce(text, F.lit("")), text.isNull())
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
