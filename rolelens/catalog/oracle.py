@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 DISTRICT = "NATION_20"
 AS_OF_YEAR = 2024
 
@@ -224,6 +226,7 @@ csv AS (
     CASE WHEN substr(md5(rental_id), 1, 2) = '00' THEN NULL ELSE station_id END AS station_id)
   FROM rentals
 )"""
+SAMPLE_CUT = f"{int(Fraction(0.156) * 16**15):015x}"  # 60 bits of the sampled share
 STORED = "\nstored AS (SELECT * FROM csv WHERE station_id IS NOT NULL)"
 
 
@@ -266,7 +269,7 @@ grants AS (
   SELECT role, 'DATABASE' AS resource_type, 'analytics' AS resource, 'DESCRIBE' AS permission
   FROM policies
   UNION ALL SELECT role, 'TABLE', 'rentals', 'DESCRIBE' FROM policies
-  UNION ALL SELECT role, 'FILTER', name, 'SELECT' FROM policies
+  UNION ALL SELECT role, 'FILTER', 'rentals/' || name, 'SELECT' FROM policies
   UNION ALL SELECT role, 'LOCATION', 'warehouse/rentals', 'DATA_LOCATION_ACCESS' FROM policies
   UNION ALL SELECT role, 'COLUMNS', 'rentals(' || array_to_string(include_columns, ',') || ')',
                    'SELECT' FROM policies WHERE include_columns IS NOT NULL
@@ -383,8 +386,9 @@ ORACLE: dict[str, str] = {
     + ") t(position, name, type, nullable)",
     "preview": q(f"SELECT {cols(ALL)} FROM (SELECT * FROM rentals ORDER BY rental_id LIMIT 10)"),
     "log_metrics": q(
-        "SELECT district AS role, count(*) AS records, CAST(10 AS BIGINT) AS \"columns\""
-        " FROM rentals WHERE district IS NOT NULL GROUP BY 1"
+        "SELECT district AS role, TRUE AS log_available, count(*) AS records,"
+        " CAST(10 AS BIGINT) AS \"columns\" FROM rentals WHERE district IS NOT NULL GROUP BY 1"
+        " UNION ALL SELECT 'nobody', FALSE, 0, 0"
     ),
     # policies and grants
     "row_filter": q(f"SELECT {cols(ALL)} FROM rentals WHERE district = '{DISTRICT}'"),
@@ -463,6 +467,12 @@ ORACLE: dict[str, str] = {
     # counts
     "row_count": q("SELECT count(*) AS rentals FROM rentals"),
     "distinct_counts": q(distinct_counts("rentals")),
+    # results that depend on the engine: the promised bound holds
+    "distinct_counts_approx": "SELECT TRUE AS rental_id, TRUE AS station_id, TRUE AS district",
+    "distance_quantiles_approx": "SELECT TRUE AS p25, TRUE AS p50, TRUE AS p75, TRUE AS p95",
+    "sample_fraction_random": q(
+        "SELECT count(*) AS rentals, TRUE AS share_as_asked, TRUE AS rows_of_the_table FROM rentals"
+    ),
     "distinct_counts_scoped": q(distinct_counts("marketing")),
     "count_distinct_in_group": q(
         "SELECT user_type, count(DISTINCT district) AS distinct_values FROM rentals GROUP BY 1"
@@ -548,7 +558,7 @@ ORACLE: dict[str, str] = {
         " AND station_id IS DISTINCT FROM 'N'"
     ),
     "sample_fraction": q(
-        "SELECT rental_id FROM rentals WHERE substr(md5(rental_id), 1, 4) < '27ef'"
+        f"SELECT rental_id FROM rentals WHERE substr(md5(rental_id), 1, 15) < '{SAMPLE_CUT}'"
     ),
     "sample_exact": q(
         f"SELECT {cols(ALL)} FROM (SELECT * FROM rentals ORDER BY md5(rental_id) LIMIT 500)"

@@ -6,6 +6,7 @@ SQL engine can be compared with them value by value.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,7 +75,7 @@ def policy_table(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.concat(F.lit(f"{role}_"), value).alias("role"),
                 F.concat(F.lit(f"{column}_filter_"), value).alias("name"),
                 F.lit(P.TABLE).alias("table"),
-                F.concat(F.lit(f"{column} = '"), value, F.lit("'")).alias("row_filter"),
+                P.equals_filters(column, value).alias("row_filter"),
                 F.lit(False).alias("all_rows"),
                 include.cast("array<string>").alias("include_columns"),
                 exclude.cast("array<string>").alias("exclude_columns"),
@@ -117,12 +118,21 @@ def _csv(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-def _stored(spark: SparkSession, sf_dir: str, name: str, twice: bool = False) -> DataFrame:
-    """A catalog table filled from the CSV."""
+def _stored(spark: SparkSession, sf_dir: str, name: str, replace: bool = False, twice: bool = False) -> DataFrame:
+    """A catalog table filled from the CSV.
+
+    Its name is new in each run, and it leaves the catalog here; the result reads its files.
+    """
     source = L.csv_scan(spark, _csv(spark, sf_dir))
-    L.replace_table(spark, name, work_path(spark, name))
+    name = f"{name}_{uuid.uuid4().hex[:12]}"
+    path = work_path(spark, name)
+    L.replace_table(spark, name, path)
+    if replace:
+        L.load_insert(source, name)
+        L.replace_table(spark, name, path)
     for _ in range(2 if twice else 1):
         stored = L.load_insert(source, name)
+    spark.sql(f"DROP TABLE {name}")
     return stored
 
 
@@ -150,6 +160,12 @@ def _logs(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def _log_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The districts, and a role without a log."""
+    districts = rentals(spark, sf_dir).where("district IS NOT NULL").select(F.col("district").alias("role"))
+    return districts.unionByName(spark.range(1).select(F.lit("nobody").alias("role")))
+
+
 # --- queries -----------------------------------------------------------------------------------
 
 
@@ -219,6 +235,49 @@ def negative_duration(t: DataFrame) -> DataFrame:
     return Q.negative_duration(moved)
 
 
+# --- results that depend on the engine: does the promised bound hold? ---
+
+
+def distinct_counts_approx(t: DataFrame) -> DataFrame:
+    """Per column: the estimate lies within three standard deviations of the exact count."""
+    rsd = 0.05
+    both = M.distinct_counts(t, R.ID_COLUMNS, approx=True, rsd=rsd).unionByName(
+        M.distinct_counts(t, R.ID_COLUMNS)
+    )
+    close = [
+        (F.max(c) - F.min(c) <= F.lit(3 * rsd) * F.greatest(F.max(c), F.lit(1))).alias(c) for c in R.ID_COLUMNS
+    ]
+    return both.agg(*close)
+
+
+def distance_quantiles_approx(t: DataFrame) -> DataFrame:
+    """Per quantile: the rank of the estimate is off by at most 1 / accuracy of the rows."""
+    accuracy = 1000
+    found = M.quantile_profile(t, "distance_meter", accuracy=accuracy).first()  # one row
+    value, n = F.col("distance_meter"), F.count("distance_meter")
+    near = [
+        (
+            (F.count_if(value < found[q]) <= (p + 1 / accuracy) * n + 1)
+            & (F.count_if(value <= found[q]) >= (p - 1 / accuracy) * n - 1)
+        ).alias(q)
+        for q, p in M.QUARTILES.items()
+    ]
+    return t.agg(*near)
+
+
+def sample_fraction_random(t: DataFrame) -> DataFrame:
+    """The sampled share lies within five standard deviations, and only rows of the table are drawn."""
+    drawn = Q.sample_fraction(t, SAMPLE_FRACTION, seed=7).select("rental_id").distinct()
+    joined = t.select("rental_id").join(drawn.withColumn("drawn", F.lit(1)), "rental_id", "full")
+    n, k = F.count("*"), F.count("drawn")
+    deviation = (SAMPLE_FRACTION * (1 - SAMPLE_FRACTION)) ** 0.5
+    return joined.agg(
+        n.alias("rentals"),
+        (F.abs(k - SAMPLE_FRACTION * n) <= 5 * deviation * F.sqrt(n)).alias("share_as_asked"),
+        (k <= n).alias("rows_of_the_table"),
+    )
+
+
 def _grants(registry: DataFrame) -> DataFrame:
     return P.role_grants(registry)
 
@@ -248,16 +307,13 @@ QUERIES: dict[str, Query] = {
     "csv_scan": lambda s, d: portable(L.normalise(L.csv_scan(s, _csv(s, d)))),
     "table_scan": lambda s, d: portable(L.table_scan(s, f"{d}/events.parquet")),
     "create_table": lambda s, d: portable(_stored(s, d, "rentals_created")),
-    "replace_table": lambda s, d: (
-        _stored(s, d, "rentals_replaced"),
-        portable(_stored(s, d, "rentals_replaced")),
-    )[1],
+    "replace_table": lambda s, d: portable(_stored(s, d, "rentals_replaced", replace=True)),
     "load_insert": lambda s, d: portable(_stored(s, d, "rentals_inserted", twice=True)),
     "load_reconcile": load_reconcile,
     "schema_report": lambda s, d: portable(L.schema_report(_stored(s, d, "rentals_described"))),
     "preview": _on(L.preview),
     "log_metrics": lambda s, d: portable(
-        log_metrics(s, _logs(s, d)).select("role", "records", "columns")
+        log_metrics(s, _logs(s, d), _log_roles(s, d)).drop("path")
     ),
     # policies and grants
     "row_filter": _on(lambda t: P.row_filter(t, _policies()[1])),
@@ -285,7 +341,7 @@ QUERIES: dict[str, Query] = {
     "distinct_counts_scoped": _on(
         lambda t: M.distinct_counts(t, R.ID_COLUMNS), P.MARKETING_PARTNER
     ),
-    "distinct_counts_approx": _on(lambda t: M.distinct_counts(t, R.ID_COLUMNS, approx=True)),
+    "distinct_counts_approx": _on(distinct_counts_approx),
     "count_distinct_in_group": _on(
         lambda t: M.count_distinct_in_group(t, ["user_type"], "district")
     ),
@@ -314,9 +370,7 @@ QUERIES: dict[str, Query] = {
     "distance_summary": _on(lambda t: M.numeric_summary(t, "distance_meter")),
     "usage_quantiles": _on(lambda t: M.quantile_profile(t, "usage_min"), P.OPERATION),
     "distance_quantiles": _on(lambda t: M.quantile_profile(t, "distance_meter"), P.OPERATION),
-    "distance_quantiles_approx": _on(
-        lambda t: M.quantile_profile(t, "distance_meter", accuracy=1000), P.OPERATION
-    ),
+    "distance_quantiles_approx": _on(distance_quantiles_approx, P.OPERATION),
     "avg_usage": _on(lambda t: M.averages(t, {"avg_usage": "usage_min"}), P.MARKETING_PARTNER),
     "avg_distance": _on(
         lambda t: M.averages(t, {"avg_distance": "distance_meter"}), P.MARKETING_PARTNER
@@ -349,9 +403,7 @@ QUERIES: dict[str, Query] = {
     "missing_profile": _on(Q.missing_profile),
     "sentinel_filter": _on(sentinel_filter),
     "sample_fraction": _on(lambda t: Q.sample_fraction(t, SAMPLE_FRACTION).select("rental_id")),
-    "sample_fraction_random": _on(
-        lambda t: Q.sample_fraction(t, SAMPLE_FRACTION, seed=7).select("rental_id")
-    ),
+    "sample_fraction_random": _on(sample_fraction_random),
     "sample_exact": _on(lambda t: Q.sample_exact(t, SAMPLE_ROWS)),
     "duplicate_keys": duplicate_keys,
     "dedupe": dedupe,

@@ -83,14 +83,16 @@ def _hidden(all_columns: Sequence[str]) -> Column:
 
 
 def _unrestricted() -> Column:
-    text = F.col("row_filter")
-    return text.isNull() | (F.upper(F.trim(text)) == "TRUE")
+    """As when a table is opened: all rows are asked for, or the filter is TRUE."""
+    text = F.upper(F.trim("row_filter"))
+    return F.coalesce(text == "TRUE", F.col("all_rows"))
 
 
 def _mentions(column: str) -> Column:
-    """The predicate uses the column; quoted values do not count."""
-    bare = F.regexp_replace(F.coalesce(F.col("row_filter"), F.lit("")), r"'(\\.|[^'\\])*'", "")
-    return F.regexp_like(bare, F.lit(rf"\b{column}\b"))
+    """The predicate uses the column, in whatever case; values in either kind of quotes do not count."""
+    quoted = r"""'(\\.|[^'\\])*'|"(\\.|[^"\\])*\""""
+    bare = F.regexp_replace(F.coalesce(F.col("row_filter"), F.lit("")), quoted, "")
+    return F.regexp_like(bare, F.lit(rf"(?i)\b{column}\b"))
 
 
 def hidden_columns(
@@ -106,10 +108,14 @@ def hidden_columns(
 def filter_kinds(
     registry: DataFrame, all_columns: Sequence[str] = RENTAL_COLUMNS
 ) -> DataFrame:
-    """Each policy's kind: none, column, district, row (another single column) or multi."""
+    """Each policy's kind: none, column, district, row (another single column) or multi.
+
+    A row without filter that does not ask for all rows cannot be opened: its kind is ``invalid``.
+    """
     dims = sum((_mentions(c).cast("int") for c in all_columns[1:]), _mentions(all_columns[0]).cast("int"))
     kind = (
-        F.when(_unrestricted() & (F.size(_hidden(all_columns)) == 0), "none")
+        F.when(F.col("row_filter").isNull() & ~F.col("all_rows"), "invalid")
+        .when(_unrestricted() & (F.size(_hidden(all_columns)) == 0), "none")
         .when(_unrestricted(), "column")
         .when(dims > 1, "multi")
         .when(_mentions("district"), "district")

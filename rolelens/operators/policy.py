@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rolelens.operators.quality import dedupe
 from rolelens.schema import POLICY_SCHEMA, RENTAL_COLUMNS, require
 
 TABLE = "rentals"
@@ -67,6 +68,13 @@ def equals_filter(column: str, value: str) -> str:
     return f"{column} = '{quoted}'"
 
 
+def equals_filters(column: str, value: Column) -> Column:
+    """``equals_filter`` for a column of values."""
+    slashes = F.replace(value, F.lit("\\"), F.lit("\\\\"))
+    quoted = F.replace(slashes, F.lit("'"), F.lit("\\'"))
+    return F.concat(F.lit(f"{column} = '"), quoted, F.lit("'"))
+
+
 def standard_policies(district: str, table: str = TABLE) -> list[Policy]:
     """The four roles: everything; one district; no personal data; one district and age range."""
     no_birth_year = [c for c in RENTAL_COLUMNS if c != "birth_year"]
@@ -89,22 +97,31 @@ def standard_policies(district: str, table: str = TABLE) -> list[Policy]:
 
 
 def validate(policy: Policy, df: DataFrame) -> Policy:
-    """Check a policy against the table's schema when it is registered; no data is read.
+    """Check a policy against the table's schema, when it is registered and when it is used; no data is read.
 
     The filter has to be a boolean over existing columns, without subqueries.
     """
     require(df, *(policy.include_columns or ()), *(policy.exclude_columns or ()))
-    empty = df.sparkSession.createDataFrame([], df.schema)
     if not policy.unrestricted:
+        if _SUBQUERY.search(_bare(policy.row_filter)):
+            raise AnalysisException(f"policy {policy.name}: the row filter uses a subquery")
+        empty = df.limit(0)
         checked = empty.select(F.expr(policy.row_filter).alias("keep"))
+        empty.where(policy.predicate()).schema  # noqa: B018  analysed here: an aggregate is no filter
         if checked.schema["keep"].dataType != T.BooleanType():
             raise AnalysisException(f"policy {policy.name}: the row filter is not a boolean")
-        plan = empty.where(policy.predicate())._jdf.queryExecution().analyzed()
-        if plan.subqueriesAll().size() > 0:
-            raise AnalysisException(f"policy {policy.name}: the row filter uses a subquery")
     return policy
 
 
+#: Quoted texts (both kinds of quotes), back-quoted names and comments.
+_QUOTED = re.compile(r"""'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*"|`[^`]*`|/\*.*?\*/|--[^\n]*""", re.DOTALL)
+_SUBQUERY = re.compile(r"\(\s*(SELECT|WITH|VALUES|TABLE|FROM)\b", re.IGNORECASE)
+
+
+def _bare(sql: str) -> str:
+    return _QUOTED.sub(" ", sql)
+
+
 def effective_policy(policies: Iterable[Policy], role: str, table: str = TABLE) -> Policy:
     """The one filter granted to the role. No filter means no access."""
     found = [p for p in policies if p.role == role and p.table == table]
@@ -140,7 +157,7 @@ def policy_view(
     projection when a later filter or sort names it. The alias (or the temp view, when ``view``
     is given) stops that, so hidden columns no longer resolve.
     """
-    policy = effective_policy(policies, role, table)
+    policy = validate(effective_policy(policies, role, table), df)
     columns = policy.visible(df.columns)
     require(df, *columns)
     scoped = row_filter(df, policy).select(*columns)
@@ -177,9 +194,13 @@ def policy_registry(
 
 
 def policy_upsert(registry: DataFrame, new: DataFrame) -> DataFrame:
-    """Replace by (table, name), otherwise add. ``new`` has the registry's schema."""
-    kept = registry.join(new.select("table", "name"), ["table", "name"], "left_anti")
-    return kept.unionByName(new)
+    """Replace by (table, name), otherwise add. ``new`` has the registry's schema.
+
+    Of several new rows for one name the smallest counts, by role, filter and the other columns.
+    """
+    one = dedupe(new, ("table", "name"), ("role", "row_filter"))
+    kept = registry.join(one.select("table", "name"), ["table", "name"], "left_anti")
+    return kept.unionByName(one)
 
 
 def policy_drop(registry: DataFrame, table: str, name: str) -> DataFrame:
@@ -229,6 +250,11 @@ def grant_list(registry: DataFrame, role: str | None = None) -> DataFrame:
     return rows.groupBy("role").agg(F.count("*").alias("permissions"))
 
 
+def filter_resource(table: Column, name: Column) -> Column:
+    """What a grant on a filter names: the table and the filter, as names repeat across tables."""
+    return F.concat(table, F.lit("/"), name)
+
+
 def role_grants(
     registry: DataFrame, database: str = "analytics", location: str = "warehouse"
 ) -> DataFrame:
@@ -248,7 +274,7 @@ def role_grants(
         one("DATABASE", F.lit(database), "DESCRIBE"),
         one("TABLE", F.col("table"), "DESCRIBE"),
         F.when(F.col("include_columns").isNotNull(), columns),
-        one("FILTER", F.col("name"), "SELECT"),
+        one("FILTER", filter_resource(F.col("table"), F.col("name")), "SELECT"),
         one("LOCATION", F.concat(F.lit(f"{location}/"), "table"), "DATA_LOCATION_ACCESS"),
     )
     return registry.select("role", F.inline(F.array_compact(wanted)))
@@ -265,7 +291,7 @@ def open_table(
     allowed = grants.where(
         (F.col("role") == role)
         & (F.col("resource_type") == "FILTER")
-        & (F.col("resource") == policy.name)
+        & (F.col("resource") == filter_resource(F.lit(table), F.lit(policy.name)))
         & (F.col("permission") == "SELECT")
     )
     if allowed.isEmpty():
@@ -276,9 +302,11 @@ def open_table(
 def denied_roles(
     roles: DataFrame, registry: DataFrame, grants: DataFrame, table: str = TABLE
 ) -> DataFrame:
-    """Those of the given roles that ``open_table`` would turn away: no filter, or no grant on it."""
-    usable = grants.where("resource_type = 'FILTER' AND permission = 'SELECT'").select(
-        "role", F.col("resource").alias("name")
+    """Those of the given roles that ``open_table`` would turn away: not exactly one filter, or no grant on it."""
+    usable = grants.where("resource_type = 'FILTER' AND permission = 'SELECT'").select("role", "resource")
+    filters = registry.where(F.col("table") == table).groupBy("role").agg(
+        F.count("*").alias("filters"), F.min("name").alias("name")
     )
-    admitted = registry.where(F.col("table") == table).join(usable, ["role", "name"], "left_semi")
+    single = filters.where("filters = 1").withColumn("resource", filter_resource(F.lit(table), F.col("name")))
+    admitted = single.join(usable, ["role", "resource"], "left_semi")
     return roles.select("role").distinct().join(admitted, "role", "left_anti")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from fractions import Fraction
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -141,6 +142,8 @@ def missing_profile(
 
     def invalid(c: str) -> Column:
         lo, hi = ranges[c]
+        if c == "birth_year":  # the same reading of a year as in valid_age
+            return F.col(c).isNotNull() & ~S.is_valid_birth_year(c, lo, hi)
         number = F.col(c).try_cast("double")
         return F.col(c).isNotNull() & ~F.coalesce(number.between(lo, hi), F.lit(False))
 
@@ -223,17 +226,26 @@ def sample_fraction(
 ) -> DataFrame:
     """A share of the rows, chosen by a hash of the key: map-only, the same rows on every run.
 
-    Copies of a key stay together. With ``seed`` it is Spark's own random row sample.
+    Copies of a key stay together, and so do the rows without one. The hash counts with 60 bits, so
+    small shares of large tables come out right. With ``seed`` it is Spark's own random row sample.
     """
     if not 0 <= fraction <= 1:
         raise ValueError("fraction must be between 0 and 1")
     if seed is not None:
         return df.sample(fraction=fraction, seed=seed)
     require(df, key)
-    cut = int(fraction * 16**4)
-    if cut >= 16**4:
-        return df.where(F.col(key).isNotNull())
-    return df.where(F.substring(F.md5(key), 1, 4) < f"{cut:04x}")
+    cut = int(Fraction(fraction) * 16**FRACTION_DIGITS)
+    if cut >= 16**FRACTION_DIGITS:
+        return df
+    return df.where(F.substring(_key_hash(key), 1, FRACTION_DIGITS) < f"{cut:0{FRACTION_DIGITS}x}")
+
+
+FRACTION_DIGITS = 15
+
+
+def _key_hash(key: str) -> Column:
+    """32 hex digits; a NULL key hashes like an empty text."""
+    return F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
 
 
 DIGITS = 3  # hex digits per histogram level: 4,096 rows
@@ -247,7 +259,7 @@ def _digits(column: str, start: int, length: int) -> Column:
 def sample_exact(df: DataFrame, n: int, key: str = "rental_id") -> DataFrame:
     """Exactly ``n`` rows (or all, when there are fewer): those with the smallest key hash.
 
-    Rows without a key are not drawn. Three counts over the key column alone find the hash at
+    Rows without a key share one hash. Three counts over the key column alone find the hash at
     the cut: by leading digits, by the next digits at the cut, and by whole hash among the few
     (one in 16 million) that share them. One pass over the rows then keeps all hashes up to the
     cut, in place; no task holds the sample. ``_some_copies`` serves a key that is cut in two.
@@ -255,7 +267,7 @@ def sample_exact(df: DataFrame, n: int, key: str = "rental_id") -> DataFrame:
     require(df, key)
     if n <= 0:
         return df.limit(0)
-    hashed = df.where(F.col(key).isNotNull()).withColumn("_hash", F.md5(key))
+    hashed = df.withColumn("_hash", _key_hash(key))
 
     def cut(rows: DataFrame, order: Column) -> DataFrame:
         """The group of rows that holds rank ``_rank``, the rank inside it and its size."""
@@ -293,7 +305,7 @@ def _some_copies(copies: DataFrame, columns: Sequence[str]) -> DataFrame:
     rows = (
         copies.groupBy("_take", *columns)
         .agg(F.count("*").alias("_c"))
-        .withColumn("_row", F.md5(F.to_json(F.struct(*columns))))
+        .withColumn("_row", _row_hash(columns))
         .withColumn("_lead", _digits("_row", 1, TIE_DIGITS))
     )
     hist = rows.groupBy("_take", "_lead").agg(F.sum("_c").alias("_c"))
@@ -307,5 +319,17 @@ def _some_copies(copies: DataFrame, columns: Sequence[str]) -> DataFrame:
     kept = rows.join(F.broadcast(edge), inside).withColumn(
         "_keep", F.when(F.col("_lead") < F.col("_edge"), F.col("_c")).otherwise(F.least("_c", left))
     )
-    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_keep")))
-    return kept.where("_keep > 0").withColumn("_copy", copy).select(*columns)
+    # identical rows come back in portions, dealt out before they are written out
+    portions = F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_keep") - 1).cast("long"), F.lit(PORTION).cast("long")))
+    dealt = kept.where("_keep > 0").withColumn("_from", portions).repartition("_row", "_from")
+    one = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("_keep") - F.col("_from"), F.lit(PORTION).cast("long"))))
+    return dealt.withColumn("_copy", one).select(*columns)
+
+
+PORTION = 100_000
+
+
+def _row_hash(columns: Sequence[str]) -> Column:
+    """32 hex digits of all values, at full precision, and of which are NULL."""
+    parts = [*columns, *[F.col(c).isNull() for c in columns]]
+    return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(i), *parts)), 16, "0") for i in (0, 1)])

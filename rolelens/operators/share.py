@@ -56,18 +56,18 @@ def district_age_share(df: DataFrame, top: int = 5, digits: int = 2) -> DataFram
     """Age groups (valid birth years) within each of the districts with most such rentals."""
     require(df, "district", "birth_year")
     counts = _counts_within(valid_age(df), "district", S.age_group(), "age_group")
-    rows = counts.where(F.col("district").isNotNull())
-    sized = rows.withColumn(
-        "district_rentals", F.sum("rentals").over(Window.partitionBy("district"))
-    )
-    leaders = (
-        rows.groupBy("district")
-        .agg(F.sum("rentals").alias("n"))
-        .orderBy(F.desc("n"), F.asc("district"))
+    # one row per district holds its few age groups, so the leaders need no second look at the rows
+    districts = (
+        counts.where(F.col("district").isNotNull())
+        .groupBy("district")
+        .agg(
+            F.sum("rentals").alias("district_rentals"),
+            F.collect_list(F.struct("age_group", "rentals")).alias("groups"),
+        )
+        .orderBy(F.desc("district_rentals"), F.asc("district"))
         .limit(top)
-        .select("district")
     )
-    return sized.join(F.broadcast(leaders), "district", "left_semi").select(
+    return districts.select("district", "district_rentals", F.inline("groups")).select(
         "district",
         "age_group",
         "rentals",
@@ -177,9 +177,7 @@ def top_birth_years(df: DataFrame, as_of_year: int, limit: int = 5) -> DataFrame
 
 
 def _by_age_group(df: DataFrame, column: str, name: str) -> DataFrame:
-    out = numeric_summary(
-        valid_age(df), column, keys={"age_group": S.age_group()}, few_groups=True
-    )
+    out = numeric_summary(valid_age(df), column, keys={"age_group": S.age_group()})
     return out.select(
         "age_group", "rentals", F.col("avg").alias(f"avg_{name}"), F.col("median").alias(f"median_{name}")
     )

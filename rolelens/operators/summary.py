@@ -7,19 +7,23 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rolelens.functions import scalar as S
 from rolelens.operators.ranks import locate
 from rolelens.schema import require
+from rolelens.session import ensure_checkpoint_dir
 
 MEDIAN = {"median": 0.5}
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95}
 
 # Width of a first-level bucket: whole minutes, and 100 m (10,000 two-decimal values).
 BUCKET_STEP = {"usage_min": 1, "distance_meter": 100}
-# Buckets beyond this many steps from zero collapse into the two edge buckets, which bounds the
-# first level to 2 * EDGE + 1 rows per group.
-EDGE = 10_000
+# The first level has at most 2 * FIRST_LEVEL + 1 buckets per group, each further one NEXT_LEVEL + 1.
+FIRST_LEVEL = 10_000
+NEXT_LEVEL = 1 << 16
+# Located buckets (groups x quantiles) up to this count, which is checked, are broadcast.
+BROADCAST_ROWS = 10_000
 
 
 def named(measures: Mapping[str, Column]) -> list[Column]:
@@ -98,20 +102,21 @@ def numeric_summary(
     keys: Mapping[str, Column] | None = None,
     step: int | None = None,
     accuracy: int | None = None,
-    few_groups: bool = False,
 ) -> DataFrame:
     """Average, minimum, maximum and quantiles of a numeric column, per group or in one row.
 
-    A quantile is the smallest value whose rank reaches ``p`` of the non-NULL rows. By default it
-    is exact and found in two steps: a histogram of ``step``-wide buckets tells which bucket holds
-    the rank (and gives the average, minimum and maximum), then only the rows of that bucket are
-    counted by value. The second scan runs only for buckets with more than one value; AQE drops
-    it when there are none. Every shuffle carries counts, not rows, so a value or group with a
-    large share of the rows costs one partial row per task.
+    A quantile is the smallest value whose rank reaches ``p`` of the non-NULL rows; NaN counts as
+    larger than any number. By default it is exact: a histogram of ``step``-wide buckets tells which
+    bucket holds the rank (and gives the average, minimum and maximum). While that bucket holds more
+    than one value, its range is cut into ``NEXT_LEVEL`` buckets and only its rows are counted again.
+    Each level is one scan; whole numbers in unit buckets need one level, two-decimal values mostly
+    two, whatever their spread. Every shuffle carries counts, not rows, and no level has more buckets
+    than its constant, so neither a hot value nor many distinct ones gather in one task.
+
+    The histograms are checkpointed here: building the summary runs its scans.
 
     ``accuracy`` switches to ``percentile_approx``: one pass, but each task sends its sketch to a
-    single reducer, so keep it small on many partitions. ``few_groups`` says that ``keys`` have a
-    closed set of values, so that the located buckets (groups x quantiles) may be broadcast.
+    single reducer, so keep it small on many partitions.
     """
     require(df, column)
     keys = keys or {}
@@ -128,65 +133,90 @@ def numeric_summary(
         picked = [F.col("_q")[i].alias(q) for i, q in enumerate(quantiles)]
         return out.select(*keys, "rentals", "avg", "min", "max", *picked)
 
+    ensure_checkpoint_dir(df.sparkSession)
     step = step or BUCKET_STEP.get(column, 1)
-    # Any non-decreasing function of the value works as a bucket; whole-number division is cheap.
-    exact = df.schema[column].dataType.typeName() in ("decimal", "byte", "short", "integer", "long")
-    scaled = f"cast(_v AS bigint) div {step}" if exact else f"floor(_v / {step})"
-    bucket = f"CASE WHEN _v IS NOT NULL THEN greatest(-{EDGE}L, least({EDGE}L, {scaled})) END"
-    narrow = df.select(*[c.alias(k) for k, c in keys.items()], value.alias("_v")).withColumn(
-        "_b", F.expr(bucket)
-    )
-    hist = narrow.groupBy(*keys, "_b").agg(
-        F.count("*").alias("_n"),
-        F.sum("_v").alias("_sum"),
-        F.min("_v").alias("_lo"),
-        F.max("_v").alias("_hi"),
+    narrow = df.select(*[c.alias(k) for k, c in keys.items()], value.alias("_v"))
+    narrow = narrow.withColumn("_b", _first_bucket(df.schema[column].dataType, step))
+    hist = (
+        narrow.groupBy(*keys, "_b")
+        .agg(
+            F.count("*").alias("_n"),
+            F.sum("_v").alias("_sum"),
+            F.min("_v").alias("_lo"),
+            F.max("_v").alias("_hi"),
+        )
+        .checkpoint()
     )
     wanted = ", ".join(
         f"named_struct('slot', {i}, 'rank', greatest(1L, cast(ceil({p}BD * _total) AS bigint)))"
         for i, p in enumerate(quantiles.values())
     )
-    # The bucket of the NULLs has no sum. All uses of the histogram read the same columns, so
-    # Spark computes it once and reuses the exchange.
-    values = hist.where("_sum IS NOT NULL")
+    values = hist.where("_b IS NOT NULL")
     located = locate(values, list(keys), "_b", "_n", f"array({wanted})", keep=("_lo", "_hi"))
-    settled = located.where("_lo = _hi").select(*keys, "slot", F.col("_lo").alias("_v"))
+    found = []
+    while True:
+        located = located.checkpoint()
+        found.append(located.where("_lo = _hi").select(*keys, "slot", F.col("_lo").alias("_v")))
+        pending = located.where("_lo < _hi")
+        open_buckets = pending.count()
+        if not open_buckets:
+            break
+        located = _next_level(narrow, pending, list(keys), open_buckets)
+
+    # Histogram rows and located values meet in one small final aggregate.
+    totals = hist.withColumn("slot", F.lit(None).cast("int")).withColumn("_v", F.lit(None))
+    known = F.when(F.col("_b").isNotNull(), F.col("_n"))
+    for part in found:
+        totals = totals.unionByName(part, allowMissingColumns=True)
+    return totals.groupBy(*keys).agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("rentals"),
+        F.try_divide(F.sum("_sum").cast("double"), F.sum(known)).alias("avg"),
+        F.min("_lo").alias("min"),
+        F.max("_hi").alias("max"),
+        *[F.max(F.when(F.col("slot") == i, F.col("_v"))).alias(q) for i, q in enumerate(quantiles)],
+    )
+
+
+def _first_bucket(kind: T.DataType, step: int) -> Column:
+    """A non-decreasing function of ``_v``; values are limited in their own type, so nothing overflows."""
+    edge = FIRST_LEVEL * step
+    if kind.typeName() in ("float", "double"):
+        limited = f"floor(greatest({-edge}D, least({edge}D, _v)) / {step})"
+        return F.expr(f"CASE WHEN isnan(_v) THEN {FIRST_LEVEL + 1}L WHEN _v IS NOT NULL THEN {limited} END")
+    limited = f"cast(greatest({-edge}, least({edge}, _v)) AS bigint) div {step}"
+    return F.expr(f"CASE WHEN _v IS NOT NULL THEN {limited} END")
 
-    pending = located.where("_lo < _hi").select(
+
+def _next_level(narrow: DataFrame, pending: DataFrame, keys: list[str], open_buckets: int) -> DataFrame:
+    """Cuts each located bucket's range into equal parts and locates its rank among them."""
+    wanted = pending.select(
         *[F.col(k).alias(f"_key_{k}") for k in keys],
         F.col("_b").alias("_at"),
         F.col("slot").alias("_slot"),
         F.col("within").alias("_rank"),
+        F.col("_lo").alias("_from"),
+        F.col("_hi").alias("_to"),
     )
-    if not keys or few_groups:
-        pending = F.broadcast(pending)  # at most groups x quantiles rows
-    match = F.col("_b") == F.col("_at")
+    if open_buckets <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    match = (F.col("_b") == F.col("_at")) & F.col("_v").between(F.col("_from"), F.col("_to"))
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
-    by_value = (
-        narrow.join(pending, match).groupBy(*keys, "_slot", "_rank", "_v").agg(F.count("*").alias("_n"))
+    # halved first, so that no difference of doubles overflows; the ends always get buckets of their own
+    low, high, own = (F.col(c).cast("double") / 2 for c in ("_from", "_to", "_v"))
+    part = F.nanvl(F.coalesce(F.try_divide(own - low, high - low), F.lit(0.0)), F.lit(0.0)) * (NEXT_LEVEL - 1)
+    sub = (
+        F.when(F.col("_v") >= F.col("_to"), NEXT_LEVEL)
+        .when(F.col("_v") <= F.col("_from"), 0)
+        .otherwise(1 + F.least(F.floor(part), F.lit(NEXT_LEVEL - 2)))
     )
-    at_rank = "array(named_struct('slot', _slot, 'rank', _rank))"
-    refined = locate(by_value, [*keys, "_slot"], "_v", "_n", at_rank).select(*keys, "slot", "_v")
-
-    # Histogram rows and located values meet in one small final aggregate.
-    totals = hist.withColumn("slot", F.lit(None).cast("int")).withColumn("_v", F.lit(None))
-    found = settled.unionByName(refined)
-    known = F.when(F.col("_sum").isNotNull(), F.col("_n"))
-    return (
-        totals.unionByName(found, allowMissingColumns=True)
-        .groupBy(*keys)
-        .agg(
-            F.coalesce(F.sum("_n"), F.lit(0)).alias("rentals"),
-            F.try_divide(F.sum("_sum").cast("double"), F.sum(known)).alias("avg"),
-            F.min("_lo").alias("min"),
-            F.max("_hi").alias("max"),
-            *[
-                F.max(F.when(F.col("slot") == i, F.col("_v"))).alias(q)
-                for i, q in enumerate(quantiles)
-            ],
-        )
+    inside = narrow.join(wanted, match).withColumn("_sub", sub.cast("long"))
+    hist = inside.groupBy(*keys, "_b", "_slot", "_rank", "_sub").agg(
+        F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
+    at_rank = "array(named_struct('slot', _slot, 'rank', _rank))"
+    again = locate(hist, [*keys, "_b", "_slot"], "_sub", "_n", at_rank, keep=("_lo", "_hi"))
+    return again.select(*keys, "_b", "_lo", "_hi", "slot", "within")
 
 
 def quantile_profile(

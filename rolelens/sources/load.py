@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,7 +111,7 @@ def load_reconcile(
     """One row: source, loaded and rejected rows, rejections per key, and whether they add up."""
     require(source, *keys)
     missing = {k: F.col(k).isNull() for k in keys}
-    any_missing = F.greatest(*[m.cast("int") for m in missing.values()]) == 1
+    any_missing = reduce(lambda a, b: a | b, missing.values())
     left = source.agg(
         F.count("*").alias("source_rows"),
         F.count_if(any_missing).alias("rejected_rows"),

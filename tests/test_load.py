@@ -72,6 +72,7 @@ def test_log_metrics(spark, tmp_path):
         "second": "✅ 총 레코드 수: 7건\n✅ 레코드 수: 8건\n",
         "nothing": "no counts here\nroot\n |-- a: int\n",
         "junk": "✅ 레코드 수: ,건\n",
+        "empty": "",
     }
     for role, text in logs.items():
         folder = tmp_path / "logs" / f"role={role}"
@@ -79,3 +80,25 @@ def test_log_metrics(spark, tmp_path):
         (folder / "stdout").write_text(text, encoding="utf-8")
     got = {r.role: (r.records, r.columns) for r in log_metrics(spark, str(tmp_path / "logs")).collect()}
     assert got == {"full": (100000, 2), "second": (7, 0), "nothing": (0, 0), "junk": (0, 0)}
+    roles = spark.createDataFrame([("full",), ("nothing",), ("empty",), ("absent",)], "role string")
+    listed = {r.role: (r.log_available, r.records) for r in log_metrics(spark, str(tmp_path / "logs"), roles).collect()}
+    assert listed == {"full": (True, 100000), "nothing": (True, 0), "empty": (False, 0), "absent": (False, 0)}
+
+
+def test_long_logs_are_read_by_line(spark, tmp_path):
+    folder = tmp_path / "logs" / "role=r"
+    folder.mkdir(parents=True)
+    body = "filler |-- line\n" * 20_000
+    (folder / "stdout").write_text(f"{body}✅ 레코드 수: 5건\nroot\n |-- a\n{body}\n{body}✅ 레코드 수: 6건\n", encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        row = log_metrics(spark, str(tmp_path / "logs")).first()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert (row.records, row.columns) == (5, 20_001)
+
+
+def test_reconcile_with_one_key(spark):
+    source = spark.createDataFrame([("a",), (None,)], "k string")
+    got = L.load_reconcile(source, source.where("k IS NOT NULL"), ["k"]).first()
+    assert (got.source_rows, got.rejected_rows, got.missing_k, got.ok) == (2, 1, 1, True)

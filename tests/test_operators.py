@@ -144,12 +144,33 @@ def test_quantiles_of_doubles_and_per_group(spark):
         F.when(F.col("id") % 4 != 3, (F.col("id") * 37 % 101) / 8 - 3).alias("v"),
     )
     rows = df.collect()
-    for few in (False, True):
-        got = M.numeric_summary(df, "v", keys={"g": F.col("g")}, few_groups=few).collect()
-        assert len(got) == 4
-        for r in got:
-            data = sorted(x.v for x in rows if x.g == r.g and x.v is not None)
-            assert r.median == (data[-(-len(data) // 2) - 1] if data else None)
+    got = M.numeric_summary(df, "v", keys={"g": F.col("g")}).collect()
+    assert len(got) == 4
+    for r in got:
+        data = sorted(x.v for x in rows if x.g == r.g and x.v is not None)
+        assert r.median == (data[-(-len(data) // 2) - 1] if data else None)
+
+
+def test_quantiles_of_odd_numbers(spark):
+    nan, inf = float("nan"), float("inf")
+    for data, p, want in (
+        ([1.0, 2.0, 3.0, nan], 0.75, 3.0),
+        ([5.0, 6.0, 7.0, nan], 0.25, 5.0),
+        ([-inf, -1e308, 0.0, 1e308, inf], 0.6, 0.0),
+        ([-inf, -1e308, 1e-300, 2e-300, 1e308], 0.8, 2e-300),
+    ):
+        df = spark.createDataFrame([(x,) for x in data], "v double")
+        assert M.numeric_summary(df, "v", {"q": p}).first().q == want
+    wide = spark.createDataFrame([(Decimal(10) ** 25 + i,) for i in range(5)], "v decimal(30,0)")
+    assert M.numeric_summary(wide, "v").first().median == Decimal(10) ** 25 + 2
+
+
+def test_quantiles_of_many_values_in_one_bucket(spark):
+    """A million values below one: no bucket of any level holds more than its share of them."""
+    n = 1_000_000
+    df = spark.range(n).select((F.col("id") * 7919 % n / F.lit(n * 1.25)).alias("v"))
+    got = M.numeric_summary(df, "v", {"low": 0.1, "high": 0.9}).first()
+    assert [round(x * n * 1.25) for x in (got.low, got.high)] == [n // 10 - 1, 9 * n // 10 - 1]
 
 
 def test_quantiles_rise(mixed):
@@ -232,6 +253,11 @@ def test_sample_exact_with_a_hot_key(spark):
 def test_sample_exact_with_identical_rows(spark):
     df = spark.range(100).selectExpr("'same' AS k", "1 AS v")
     assert values(Q.sample_exact(df, 42, "k"), "k", "v") == [("same", 1)] * 42
+    Q.PORTION, portion = 10, Q.PORTION
+    try:
+        assert values(Q.sample_exact(df, 42, "k"), "k", "v") == [("same", 1)] * 42
+    finally:
+        Q.PORTION = portion
 
 
 def test_sample_fraction(spark):
@@ -245,6 +271,32 @@ def test_sample_fraction(spark):
         Q.sample_fraction(df, 1.5)
 
 
+def test_small_fractions_of_large_tables(spark):
+    df = spark.range(1_000_000).select(F.concat(F.lit("k"), "id").alias("rental_id"))
+    assert 2 <= Q.sample_fraction(df, 1e-5).count() <= 25
+    assert 5 <= Q.sample_fraction(df, 2e-5).count() <= 40
+
+
+def test_samples_keep_rows_without_key(spark):
+    df = spark.createDataFrame([("a", 1), (None, 2), (None, 3)], "rental_id string, v int")
+    assert Q.sample_fraction(df, 1.0).count() == 3
+    assert Q.sample_exact(df, 5).count() == 3 and Q.sample_exact(df, 2).count() == 2
+
+
+def test_exact_sample_tells_microseconds_apart(spark):
+    df = spark.range(50).select(
+        F.lit("k").alias("k"), F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id")).alias("at")
+    )
+    first = set(values(Q.sample_exact(df, 20, "k"), "at"))
+    assert len(first) == 20 and first == set(values(Q.sample_exact(df.repartition(5), 20, "k"), "at"))
+
+
+def test_one_reading_of_birth_years(spark):
+    df = table(spark, *[rental(i, birth_year=y) for i, y in enumerate(("2010.5", "1939.9", "2011", "1950", "x"))])
+    outside = {r.column: r.out_of_range for r in Q.missing_profile(df).collect()}["birth_year"]
+    assert Q.valid_age(df).count() == 2 and outside == 3
+
+
 def test_quality_filters(spark):
     raw = spark.createDataFrame(
         [("a", "bad", "2024-01-01 00:00:00"), ("b", None, "2024-01-01 00:00:00"),

@@ -1,6 +1,9 @@
 """Plans: what reaches the scan, what is shared, what is dropped."""
 
+import re
+
 import pytest
+from pyspark.sql import functions as F
 from rows import rental, table
 
 from rolelens.catalog.queries import DISTRICT
@@ -64,9 +67,61 @@ def test_district_role_gets_inner_joins(spark):
     assert "LeftOuter" not in text and "Inner" in text
 
 
-def test_whole_minute_quantiles_scan_once(stored):
-    text = ran(M.quantile_profile(stored, "usage_min"))
-    assert text.count("FileScan") == 1 and "ReusedExchange" in text
+def reads(spark, df, build):
+    """How often the rows of ``df`` are read to build and collect a result."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def seen(_):
+        read.add(1)
+        return True
+
+    build(df.where(seen.asNondeterministic()(F.monotonically_increasing_id()))).collect()
+    return read.value / df.count()
+
+
+@pytest.mark.parametrize(
+    ("most", "build"),
+    [
+        (1, lambda t: M.quantile_profile(t, "usage_min")),
+        (2, lambda t: M.quantile_profile(t, "distance_meter")),
+        (1, H.age_group_usage),
+        (2, H.age_group_distance),
+        (1, H.district_age_share),
+    ],
+)
+def test_table_reads(spark, stored, most, build):
+    assert 0 < reads(spark, stored, build) <= most
+
+
+def test_a_hot_user_is_dealt_out(spark, tmp_path):
+    n = 20_000
+    spark.range(n).select(
+        F.col("id").alias("event_id"), F.lit(None).cast("timestamp_ntz").alias("ts"),
+        F.when(F.col("id") % 5 > 0, 7).otherwise(F.col("id") % 1000).alias("user_id"),
+        F.lit("x").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"),
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    spark.range(1000).selectExpr("id AS c_custkey", "cast(id % 25 AS int) AS c_nationkey").write.parquet(
+        str(tmp_path / "customer.parquet")
+    )
+    spark.range(25).selectExpr("cast(id AS int) AS n_nationkey", "concat('N', id) AS n_name").write.parquet(
+        str(tmp_path / "nation.parquet")
+    )
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "64",
+            "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        joined = rentals(spark, str(tmp_path)).where("district IS NOT NULL").select("station_id", "district")
+        text = plan(joined)
+        assert "SortMergeJoin" in text
+        # the shuffle under the first join deals by user and salt
+        assert re.search(r"hashpartitioning\(user_id#\d+L?, pmod\(hash\(event_id", text)
+        assert joined.where("station_id = '7'").count() >= 0.8 * n
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
 
 
 def test_fused_reports_scan_once(stored):

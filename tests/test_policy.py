@@ -218,3 +218,63 @@ def test_open_table_needs_filter_and_grant(spark, rentals, policies):
     assert denied == {"nobody", P.STEWARD, P.OPERATION}
     with pytest.raises(AnalysisException):
         P.policy_registry(spark, [P.Policy("r", "bad", row_filter="no_such = 1")], rentals)
+
+
+def test_filter_grants_name_their_table(spark, rentals):
+    both = [P.Policy("x", "f", "rentals", all_rows=True), P.Policy("x", "f", "salaries", all_rows=True)]
+    registry = P.policy_registry(spark, both)
+    grants = P.role_grants(registry.where("table = 'rentals'"))
+    roles = spark.createDataFrame([("x",)], "role string")
+    assert P.open_table(rentals, registry, grants, "x").count() == rentals.count()
+    with pytest.raises(PermissionError):
+        P.open_table(rentals, registry, grants, "x", "salaries")
+    assert P.denied_roles(roles, registry, grants).count() == 0
+    assert values(P.denied_roles(roles, registry, grants, "salaries"), "role") == [("x",)]
+
+
+def test_two_filters_are_denied_as_they_are_refused(spark, rentals):
+    two = P.policy_registry(spark, [P.Policy("x", n, all_rows=True) for n in ("f", "g")])
+    grants = P.role_grants(two)
+    with pytest.raises(ValueError):
+        P.open_table(rentals, two, grants, "x")
+    assert values(P.denied_roles(two.select("role"), two, grants), "role") == [("x",)]
+
+
+def test_stored_filters_are_checked_when_used(spark, rentals):
+    spark.range(3).createOrReplaceTempView("secret")
+    bad = P.policy_registry(spark, [P.Policy("x", "f", row_filter="1 IN (SELECT id FROM secret)")])
+    with pytest.raises(AnalysisException):
+        P.open_table(rentals, bad, P.role_grants(bad), "x")
+    fine = P.Policy("x", "f", row_filter="district = '(SELECT' OR district = \"(select\" /* ( select */")
+    assert P.validate(fine, rentals) is fine
+
+
+def test_filters_mention_columns_in_any_form(spark):
+    texts = {
+        "DISTRICT = 'A'": "district",
+        "`district` = 'A'": "district",
+        'gender = "district"': "row",
+        "District = 'A' AND GENDER = 'F'": "multi",
+    }
+    registry = P.policy_registry(spark, [P.Policy(t, "f", row_filter=t) for t in texts])
+    assert dict(values(A.filter_kinds(registry), "role", "filter_kind")) == texts
+
+
+def test_no_filter_and_no_request_for_all_rows_is_no_access(spark):
+    registry = P.policy_registry(spark, [P.Policy("x", "f", all_rows=True)]).withColumn("all_rows", F.lit(False))
+    assert A.filter_kinds(registry).first().filter_kind == "invalid"
+    assert A.permission_matrix(registry).first().full_data_access == 0
+    with pytest.raises(ValueError):
+        P.role_policies(registry, "x")
+
+
+def test_upsert_of_one_name_twice_at_once(spark, policies):
+    new = [P.Policy("b", "same", row_filter="usage_min > 1"), P.Policy("a", "same", row_filter="usage_min > 2")]
+    out = P.policy_upsert(P.policy_registry(spark, policies), P.policy_registry(spark, new))
+    assert values(out.where("name = 'same'"), "role") == [("a",)] and out.count() == 5
+
+
+def test_derived_filters_are_quoted(spark):
+    df = spark.createDataFrame([("O'NATION",), ("a\\b",), ("plain",)], "district string")
+    for text, value in values(df.select(P.equals_filters("district", F.col("district")).alias("f"), "district"), "f", "district"):
+        assert text == P.equals_filter("district", value) and values(df.where(text), "district") == [(value,)]
