@@ -117,29 +117,52 @@ def grouped(table: str, keys: str, measures: str, limit: int | None = None) -> s
     return f"SELECT {select} FROM {table} GROUP BY {positions}{top}"
 
 
-def sections(table: str, parts: dict[str, tuple[str, str]]) -> str:
-    keys = list(dict.fromkeys(k for ks, _ in parts.values() for k in ks.split()))
-    measures = list(dict.fromkeys(m for _, ms in parts.values() for m in ms.split()))
-    number = {"hour", "day_of_week"}
-    selects = []
-    for name, (ks, ms) in parts.items():
-        k, m = ks.split(), ms.split()
-        out = [f"'{name}' AS section"]
-        out += [
-            f"{KEYS[x]} AS {x}"
-            if x in k
-            else f"CAST(NULL AS {'BIGINT' if x in number else 'VARCHAR'}) AS {x}"
-            for x in keys
-        ]
-        out += [
-            f"{MEASURES[x]} AS {x}"
-            if x in m
-            else f"CAST(NULL AS {'DOUBLE' if x.startswith('avg') else 'BIGINT'}) AS {x}"
-            for x in measures
-        ]
-        by = ", ".join(KEYS[x] for x in k)
-        selects.append(f"SELECT {', '.join(out)} FROM {table} GROUP BY {by}")
-    return "\nUNION ALL ".join(selects)
+def long_form(section: str, keys: str, measures: str, body: str) -> str:
+    """A table as rows of section, key, measure and value."""
+    key = ", ".join(f"coalesce(CAST({k} AS VARCHAR), 'NULL')" for k in keys.split())
+    pairs = ", ".join(f"{{'measure': '{m}', 'value': CAST({m} AS DOUBLE)}}" for m in measures.split())
+    return (
+        f"SELECT '{section}' AS section, {f"concat_ws('|', {key})" if key else "''"} AS key, "
+        f"unnest([{pairs}], recursive := true) FROM ({body})"
+    )
+
+
+def segments(table: str, parts: dict[str, tuple[str, str]], limits: dict[str, int] | None = None) -> list[str]:
+    return [
+        long_form(name, k, m, grouped(table, k, m, (limits or {}).get(name))) for name, (k, m) in parts.items()
+    ]
+
+
+def schema_rows(columns) -> str:
+    kind = {"usage_min": "int", "distance_meter": "decimal(12,2)", "rental_date": "timestamp_ntz",
+            "return_date": "timestamp_ntz"}
+    # the view computes user_type for every row
+    rows = ", ".join(
+        f"({i}, '{c}', '{kind.get(c, 'string')}', {c != 'user_type'})" for i, c in enumerate(columns, start=1)
+    )
+    return f"SELECT * FROM (VALUES {rows}) t(position, name, type, nullable)"
+
+
+def basics(table: str, columns) -> list[str]:
+    """The sections that all reports have."""
+    ids = "rental_id station_id district"
+    return [
+        long_form("row_count", "", "rentals", f"SELECT count(*) AS rentals FROM {table}"),
+        long_form("schema", "name type nullable", "position", schema_rows(columns)),
+        long_form("distinct_counts", "", ids, distinct_counts(table)),
+    ]
+
+
+def summaries(table: str) -> list[str]:
+    m = "rentals avg min max median"
+    return [
+        long_form("usage_summary", "", m, summary(table, "usage_min", MEDIAN)),
+        long_form("distance_summary", "", m, summary(table, "distance_meter", MEDIAN)),
+    ]
+
+
+def report(*parts: list[str]) -> str:
+    return q("\nUNION ALL ".join(sql for part in parts for sql in part))
 
 
 BOTH = "rentals avg_usage avg_distance"
@@ -353,6 +376,8 @@ def age_group_measure(c: str, name: str) -> str:
     )
 
 
+KPIS = "rentals stations active_stations station_turnover avg_efficiency service_coverage"
+
 ORACLE: dict[str, str] = {
     # sources, sinks, tables
     "csv_scan": q(f"SELECT {cols(ALL)} FROM csv", CSV),
@@ -418,8 +443,20 @@ ORACLE: dict[str, str] = {
     "default_deny": registry(
         "SELECT role FROM policies WHERE role LIKE 'analyst%' OR role = 'operation'"
     ),
-    "role_report_steward": q(
-        sections(
+    "role_report_steward": report(
+        basics("steward", ALL),
+        summaries("steward"),
+        [
+            long_form("null_counts", "", " ".join(ALL), null_counts(ALL, "steward")),
+            long_form("outlier_summary", "", "rentals outliers outlier_pct", outlier_summary("steward", STEWARD_OUT)),
+            long_form(
+                "outlier_sample",
+                "rental_id district",
+                "usage_min distance_meter",
+                f"SELECT * FROM steward WHERE {STEWARD_OUT} ORDER BY rental_id LIMIT 5",
+            ),
+        ],
+        segments(
             "steward",
             {
                 "district_top10": ("district", BOTH),
@@ -427,21 +464,48 @@ ORACLE: dict[str, str] = {
                 "age_group_stats": ("age_group", BOTH),
                 "hourly_counts": ("hour", "rentals"),
             },
-        )
+            {"district_top10": 10},
+        ),
     ),
-    "role_report_district": q(
-        sections(
+    "role_report_district": report(
+        basics("analyst", NO_BIRTH_YEAR),
+        summaries("analyst"),
+        [long_form("null_counts", "", " ".join(NO_BIRTH_YEAR), null_counts(NO_BIRTH_YEAR, "analyst"))],
+        segments(
             "analyst",
             {
+                "station_top10": ("station_id station_name", BOTH),
                 "district_stats": ("district", BOTH),
                 "gender_stats": ("gender", "rentals avg_usage"),
                 "hourly_counts": ("hour", "rentals"),
                 "user_type_stats": ("user_type", BOTH),
             },
-        )
+            {"station_top10": 10},
+        ),
     ),
-    "role_report_operation": q(
-        sections(
+    "role_report_operation": report(
+        basics("operation", NO_PERSONAL),
+        [
+            long_form(f"{name}_quantiles", "", "rentals avg min max p25 p50 p75 p95", summary("operation", c, QUARTILES))
+            for name, c in (("usage", "usage_min"), ("distance", "distance_meter"))
+        ],
+        [
+            long_form("kpis", "", KPIS, kpi(*KPIS.split())),
+            long_form("outlier_summary", "", "rentals outliers outlier_pct", outlier_summary("operation", OPERATION_OUT)),
+            long_form(
+                "outlier_top5",
+                "rental_id station_name district",
+                "usage_min distance_meter",
+                f"SELECT * FROM operation WHERE {OPERATION_OUT} ORDER BY usage_min DESC NULLS LAST, rental_id LIMIT 5",
+            ),
+            long_form(
+                "station_efficiency",
+                "station_id station_name district first_rental last_rental",
+                BOTH,
+                grouped("operation", "station_id station_name district", BOTH + " first_rental last_rental", 15),
+            ),
+        ],
+        segments(
             "operation",
             {
                 "district_operations": ("district", BOTH + " stations"),
@@ -449,12 +513,23 @@ ORACLE: dict[str, str] = {
                 "user_type_operations": ("user_type", BOTH + " stations"),
                 "weekday_operations": ("day_of_week weekday", "rentals avg_usage stations"),
             },
-        )
+        ),
     ),
-    "role_report_marketing": q(
-        sections(
+    "role_report_marketing": report(
+        basics("marketing", NO_BIRTH_YEAR),
+        summaries("marketing"),
+        [
+            long_form(
+                "averages",
+                "",
+                "avg_usage avg_distance",
+                f"SELECT {mean('usage_min')} AS avg_usage, {mean('distance_meter')} AS avg_distance FROM marketing",
+            )
+        ],
+        segments(
             "marketing",
             {
+                "station_popular": ("station_id station_name", "rentals avg_usage unique_rentals"),
                 "district_stats": ("district", BOTH),
                 "gender_stats_distance": ("gender", BOTH),
                 "hourly_usage": ("hour", "rentals avg_usage"),
@@ -462,7 +537,8 @@ ORACLE: dict[str, str] = {
                 "weekday_pattern": ("weekday", "rentals avg_usage"),
                 "peak_hour": ("hour", "rentals"),
             },
-        )
+            {"station_popular": 10, "peak_hour": 1},
+        ),
     ),
     # counts
     "row_count": q("SELECT count(*) AS rentals FROM rentals"),

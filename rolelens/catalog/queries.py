@@ -299,7 +299,7 @@ def _denied(registry: DataFrame) -> DataFrame:
 
 
 def _role_report(role: str) -> Query:
-    return _on(lambda t: R.report_segments(t, role), role)
+    return _on(lambda t: R.report_long(t, role), role)
 
 
 QUERIES: dict[str, Query] = {

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rolelens.operators import policy as P
 from rolelens.operators import quality as Q
@@ -119,6 +122,38 @@ def role_report(scoped: DataFrame, role: str, checkpoint: bool = True) -> dict[s
     }
 
 
+def long_form(table: DataFrame, section: str, keys: Sequence[str] = ()) -> DataFrame:
+    """A table as rows of section, key, measure and value.
+
+    ``key`` joins the given columns and all that are no numbers, in the table's order; every other
+    column is a measure.
+    """
+    numeric = {f.name for f in table.schema if isinstance(f.dataType, T.NumericType)} - set(keys)
+    labels = [F.coalesce(_text(f), F.lit("NULL")) for f in table.schema if f.name not in numeric]
+    measures = [
+        F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value"))
+        for c in table.columns
+        if c in numeric
+    ]
+    key = F.concat_ws("|", *labels) if labels else F.lit("")
+    return table.select(F.lit(section).alias("section"), key.alias("key"), F.inline(F.array(*measures)))
+
+
+def _text(field: T.StructField) -> Column:
+    if isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
+        return F.date_format(field.name, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return F.col(field.name).cast("string")
+
+
+def report_long(scoped: DataFrame, role: str) -> DataFrame:
+    """The whole report of a role as one table: section, key, measure, value."""
+    parts = [
+        long_form(table, name, G.SPECS[name].keys if name in G.SPECS else ())
+        for name, table in role_report(scoped, role).items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def show_report(tables: Mapping[str, DataFrame], rows: int = 20, truncate: bool = True) -> None:
     """Print each table, 20 rows by default."""
     for name, table in tables.items():
