@@ -23,20 +23,22 @@ def local_session(cores: str = "*", **conf: str) -> SparkSession:
 
 
 def _shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only for a local session without it."""
+    """The cluster's shared folder; for a local session without it, a temporary one for all its work."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    current = spark.sparkContext.getCheckpointDir()
-    return current or tempfile.mkdtemp(prefix="rolelens-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rolelens-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``checkpoint()`` usable; never overrides a folder that is already set."""
+    root = _shared_root(spark)
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(_shared_root(spark))
+        spark.sparkContext.setCheckpointDir(root)
 
 
 def work_path(spark: SparkSession, name: str) -> str:
