@@ -7,12 +7,15 @@ sketch, ordered from rare to frequent, only the first SKETCH - SHARED + 1 need a
 frequent passages have lists only of documents that consist of little else.
 
 Documents with equal sets are one class from the start. A class is set aside as soon as too few of its
-values occur anywhere else, first by its sketch, then, for those left, by its whole set. In an inverted
-list every class is compared with the most central one (fewest values of its own), which joins a large
-group of copies in as many comparisons as it has members. The other pairs of a list are made only
-between classes that are still apart and whose counts of own and shared values allow the similarity;
-that is decided for whole cells of equal counts before any pair is made. Union sketches estimate the
-similarity of a pair, exact Jaccard of the whole sets confirms it, and links make components.
+values occur anywhere else, first by its sketch, then, for those left, by its whole set. Of its
+inverted lists every class takes the most central class (whose values the most others hold) and is
+compared with that one, which joins a large group of copies in as many comparisons as it has members.
+Two classes of one centre that are not both linked to it can only be linked if they differ from it in
+the same values, so pairs within a group come from inverted lists of those differences, again from rare
+to frequent; pairs across groups come from the first lists. Pairs are made only between classes that
+are still apart and whose counts allow the similarity; that is decided for whole cells of equal counts
+before any pair is made. Union sketches estimate the similarity of a pair, exact Jaccard of the whole
+sets confirms it, and links make components.
 
 Whole sets are only read, in a second pass, for classes that may have a link; a Bloom filter of bounded
 size passes those.
@@ -24,7 +27,8 @@ component without any id, the rows with the smallest text key are kept.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -148,17 +152,80 @@ def _needed(n: Column) -> Column:
     return F.least(F.lit(SHARED), F.ceil(n * PERCENT / 100))
 
 
-def _may_link(a: str, b: str) -> Column:
-    """Whether sets with these counts of own and shared values can reach the similarity.
+#: Two sets are linked if they differ in at most this share of their sizes' sum.
+_APART = (100 - PERCENT) / (100 + PERCENT)
+#: Keeps rounding from cutting a bound that is met exactly.
+_SLACK = 1e-6
 
-    Their difference is at least own_a + own_b + |shared_a - shared_b|.
+
+def _may_link(x: str, y: str) -> Column:
+    """Whether sets of two groups, with counts of own and shared values, can reach the similarity.
+
+    Their difference is at least own_x + own_y + |shared_x - shared_y|.
     """
-    def col(side: str, name: str) -> Column:
-        return F.col(f"{side}.{name}")
+    own_x, own_y, shared_x, shared_y = (F.col(f"{s}.{c}") for c in ("own", "shared") for s in (x, y))
+    apart = own_x + own_y + F.abs(shared_x - shared_y)
+    sizes = own_x + own_y + shared_x + shared_y
+    other_group = F.col(f"{x}.centre") != F.col(f"{y}.centre")
+    return other_group & (apart * (100 + PERCENT) <= sizes * (100 - PERCENT))
+
+
+def _may_link_in_group(x: str, y: str) -> Column:
+    """Whether sets of one centre, with d differences from it of which s are shared, can be linked.
+
+    They differ in d_x + d_y values less twice the common ones, of which there are at most min(s_x, s_y).
+    """
+    d, n = F.col(f"{x}.d") + F.col(f"{y}.d"), F.col(f"{x}.n") + F.col(f"{y}.n")
+    common = F.least(F.col(f"{x}.s"), F.col(f"{y}.s"))
+    small, large = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
+    return (
+        ~(F.col(f"{x}.linked") & F.col(f"{y}.linked"))
+        & (d - 2 * common <= n * _APART + _SLACK)
+        & (large * PERCENT <= small * 100)
+    )
+
+
+def _open_pairs(
+    members: DataFrame, lists: list[str], counts: list[str], feasible: Callable[[str, str], Column]
+) -> DataFrame:
+    """Pairs (a, b) of a list whose counts are ``feasible`` and whose roots differ.
+
+    ``members`` has the list's columns, the counts, set_key and root. Cells of equal counts are paired
+    first, so a list costs as many comparisons as it has pairs of cells, and only open cells are spelt out.
+    """
+    cells = members.groupBy(*lists, *counts).agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    cells = cells.checkpoint()
+
+    def struct(side: str) -> Column:
+        return F.struct(*[F.col(f"{side}.{c}").alias(c) for c in counts])
+
+    def same(left: str, right: str, columns: dict[str, str]) -> Column:
+        pairs = [F.col(f"{left}.{m}") == F.col(f"{right}.{n}") for m, n in columns.items()]
+        return reduce(lambda p, q: p & q, pairs)
+
+    one_root = (
+        (F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low"))
+    )
+    together = same("x", "y", {c: c for c in lists}) & (struct("x") <= struct("y"))
+    open_cells = cells.alias("x").join(cells.alias("y"), together & ~one_root & feasible("x", "y"))
+    open_cells = open_cells.select(
+        *[F.col(f"x.{c}").alias(c) for c in lists],
+        *[F.col(f"{side}.{c}").alias(f"{c}_{side}") for side in ("x", "y") for c in counts],
+        (struct("x") == struct("y")).alias("one_cell"),
+    )
 
-    apart = col(a, "own") + col(b, "own") + F.abs(col(a, "shared") - col(b, "shared"))
-    sizes = col(a, "own") + col(b, "own") + col(a, "shared") + col(b, "shared")
-    return apart * (100 + PERCENT) <= sizes * (100 - PERCENT)
+    def spelt(frame: DataFrame, side: str, more: Column) -> DataFrame:
+        own = members.select(
+            *[F.col(c).alias(f"{c}_own") for c in (*lists, *counts)],
+            F.col("set_key").alias(f"key_{side}"), F.col("root").alias(f"root_{side}"),
+        )
+        columns = {c: f"{c}_own" for c in lists} | {f"{c}_{side}": f"{c}_own" for c in counts}
+        met = frame.alias("f").join(own.alias("m"), same("f", "m", columns) & more)
+        return met.drop(*[f"{c}_own" for c in (*lists, *counts)])
+
+    apart = (F.col("root_x") != F.col("root_y")) & (~F.col("one_cell") | (F.col("key_x") < F.col("key_y")))
+    pairs = spelt(spelt(open_cells, "x", F.lit(True)), "y", apart)
+    return pairs.select(F.least("key_x", "key_y").alias("a"), F.greatest("key_x", "key_y").alias("b")).distinct()
 
 
 def _inverted_lists(classes: DataFrame) -> DataFrame:
@@ -175,16 +242,54 @@ def _inverted_lists(classes: DataFrame) -> DataFrame:
 
 
 def _own_counts(sets: DataFrame) -> DataFrame:
-    """set_key, n, own (values in no other of these sets), shared, of the classes that can have a link."""
+    """set_key, n, own (values in no other of these sets), shared, weight, of the classes that can have a link.
+
+    ``weight`` is how many of these sets hold one of its values, on average.
+    """
     values = sets.select("set_key", F.explode("values").alias("value"))
-    common = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1").select("value").checkpoint()
-    shared = values.join(common, "value").groupBy("set_key").agg(F.count("*").alias("shared"))
+    common = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1").checkpoint()
+    shared = values.join(common, "value").groupBy("set_key").agg(F.count("*").alias("shared"), F.sum("df").alias("df"))
     counted = sets.select("set_key", "n").join(shared, "set_key")
     return counted.where(F.col("shared") * 100 >= F.col("n") * PERCENT).select(
-        "set_key", "n", (F.col("n") - F.col("shared")).alias("own"), "shared"
+        "set_key", "n", (F.col("n") - F.col("shared")).alias("own"), "shared", (F.col("df") / F.col("n")).alias("weight")
     )
 
 
+def _group_lists(homes: DataFrame, sets: DataFrame) -> DataFrame:
+    """centre, value, set_key, n, d, s, linked: inverted lists of differences from the centre.
+
+    ``homes`` has set_key, centre and linked. Groups that are linked to their centre as a whole need none.
+    """
+    open_ = homes.groupBy("centre").agg(F.count("*").alias("members"), F.min("linked").alias("settled"))
+    open_ = open_.where("members > 2 AND NOT settled").select("centre")
+    own = sets.select("set_key", "n", F.col("values").alias("vx"))
+    middle = sets.select(F.col("set_key").alias("centre"), F.col("values").alias("vp"))
+    differing = F.concat(F.array_except("vx", "vp"), F.array_except("vp", "vx"))
+    differences = (
+        homes.join(open_, "centre")
+        .join(own, "set_key")
+        .join(middle, "centre")
+        .select("centre", "set_key", "n", "linked", differing.alias("values"))
+        .select("centre", "set_key", "n", "linked", F.size("values").alias("d"), F.explode("values").alias("value"))
+        .checkpoint()
+    )
+    common = differences.groupBy("centre", "value").agg(F.count("*").alias("df")).where("df > 1").checkpoint()
+    known = (
+        differences.join(common, ["centre", "value"])
+        .groupBy("centre", "set_key", "n", "linked", "d")
+        .agg(F.collect_list(F.struct("df", "value")).alias("known"))
+        .withColumn("s", F.size("known"))
+    )
+    # common differences that a link needs at least, given the sizes that a partner can have; at
+    # least one, as a partner of a linked set is itself not linked to the centre
+    largest = F.col("n") * (_APART * (1 + 100 / PERCENT))
+    least = F.when(F.col("linked"), F.col("d") * ((1 - _APART) / 2)).otherwise(F.col("d") - largest)
+    needed = F.greatest(F.ceil(least - _SLACK).cast("int"), F.lit(1))
+    first = F.slice(F.sort_array("known"), F.lit(1), F.greatest(F.col("s") - needed + 1, F.lit(0)))
+    posted = known.where(F.col("s") >= needed).select("centre", "set_key", "n", "linked", "d", "s", first.alias("first"))
+    return posted.select("centre", "set_key", "n", "linked", "d", "s", F.explode("first.value").alias("value"))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the ``pairs`` (a, b) of set keys that are links."""
 
@@ -215,47 +320,32 @@ def class_links(documents: DataFrame, classes: DataFrame) -> DataFrame:
     members = lists.join(counts, "set_key").checkpoint()
 
     # each class with the most central one of its lists
-    centre = members.groupBy("value").agg(F.min(F.struct("own", "set_key")).alias("centre"), F.count("*").alias("n"))
-    best = (
+    centre = members.groupBy("value").agg(F.max(F.struct("weight", "set_key")).alias("centre"))
+    homes = (
         members.select("value", "set_key")
-        .join(centre.where("n > 1"), "value")
+        .join(centre, "value")
         .groupBy("set_key")
-        .agg(F.min("centre").alias("centre"))
-        .select(F.col("set_key").alias("a"), F.col("centre.set_key").alias("b"))
-        .where("a <> b")
+        .agg(F.max("centre")["set_key"].alias("centre"))
+        .checkpoint()
     )
-    star = _confirmed(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets)
-    star = star.checkpoint()
-    group = components(star)
-
-    # what is still apart: by cells of equal counts first
-    placed = members.join(group.withColumnRenamed("node", "set_key"), "set_key", "left").select(
-        "value", "set_key", "own", "shared", F.coalesce("root", "set_key").alias("root")
+    a, b = F.least("set_key", "centre").alias("a"), F.greatest("set_key", "centre").alias("b")
+    star = _confirmed(homes.where("set_key <> centre").select(a, b).distinct(), sets).checkpoint()
+    roots = components(star).withColumnRenamed("node", "set_key").checkpoint()
+    homes = (
+        homes.select("set_key", "centre", a, b)
+        .join(star.withColumn("yes", F.lit(True)), ["a", "b"], "left")
+        .select("set_key", "centre", (F.col("yes").isNotNull() | (F.col("set_key") == F.col("centre"))).alias("linked"))
+        .checkpoint()
     )
-    placed = placed.checkpoint()
-    cells = placed.groupBy("value", "own", "shared").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    cells = cells.checkpoint()
-    x, y = cells.alias("x"), cells.alias("y")
-    first_of_two = F.struct("x.own", "x.shared") <= F.struct("y.own", "y.shared")
-    one_group = (F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low"))
-    open_cells = x.join(
-        y, (F.col("x.value") == F.col("y.value")) & first_of_two & ~one_group & _may_link("x", "y")
-    ).select(
-        F.col("x.value").alias("value"), F.col("x.own").alias("own_x"), F.col("x.shared").alias("shared_x"),
-        F.col("y.own").alias("own_y"), F.col("y.shared").alias("shared_y"),
-    )
 
-    def of(side: str, name: str) -> DataFrame:
-        return placed.select(
-            "value", F.col("own").alias(f"own_{side}"), F.col("shared").alias(f"shared_{side}"),
-            F.col("set_key").alias(name), F.col("root").alias(f"root_{side}"),
-        )
+    def placed(frame: DataFrame) -> DataFrame:
+        return frame.join(roots, "set_key", "left").withColumn("root", F.coalesce("root", "set_key")).checkpoint()
 
+    across = placed(members.select("value", "set_key", "own", "shared").join(homes.select("set_key", "centre"), "set_key"))
+    within = placed(_group_lists(homes, sets))
     apart = (
-        open_cells.join(of("x", "p"), ["value", "own_x", "shared_x"])
-        .join(of("y", "q"), ["value", "own_y", "shared_y"])
-        .where("root_x <> root_y")
-        .select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+        _open_pairs(across, ["value"], ["own", "shared", "centre"], _may_link)
+        .unionByName(_open_pairs(within, ["centre", "value"], ["n", "d", "s", "linked"], _may_link_in_group))
         .distinct()
     )
     return star.unionByName(_confirmed(apart, sets))
