@@ -36,6 +36,23 @@ FROM e GROUP BY conv_id
 """
 
 
+_BLANK_WORDS = rf"list_filter(regexp_split_to_array({_LOWER}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+_OP4 = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, {_BLANK_WORDS} AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, hash(w[i:i + 4]) AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id
+      GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 85 * (a.n + b.n - k)),
+e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(id, low) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.y, r.low FROM r JOIN e ON r.id = e.x WHERE r.low < e.y),
+m AS (SELECT id, min(low) AS component_id FROM r GROUP BY id)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d JOIN m ON m.id = d.doc_id LEFT JOIN n USING (doc_id)
+"""
+
 
 def _shrink(name: str, child: str, parent: str, key: str, columns: str) -> str:
     """One level of the beta-binomial shrinkage: CTE ``name`` with a posterior a, b per row of ``child``."""
@@ -82,6 +99,7 @@ LEFT JOIN v va ON va.level = 'all'
 
 ORACLE: dict[str, str] = {
     "op2_chat_format": _OP2,
+    "op4_minhash": _OP4,
     "op7_url_filter": _OP7,
     "op9_decontaminate": _OP9,
 }
