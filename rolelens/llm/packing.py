@@ -6,7 +6,8 @@ bucket, from which batches are drawn, so nothing is padded.
 
 Everything is decided per document in one pass over the texts: no shuffle, and a task holds a few
 hundred texts at a time. This tokenizer works on words, which never share a token, so the ids of each
-word are kept for the rest of the task (up to ``CACHED`` words, then from the start again). Texts with
+word are kept by the worker process for this and its next tasks (up to ``CACHED`` words, then from the
+start again). Texts with
 other than Latin characters, or with special tokens, go through the tokenizer as a whole.
 
 Defined results: a NULL or empty text has only the end token, one piece of length 1. Repeated rows are
@@ -17,6 +18,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+import types
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
@@ -39,6 +42,10 @@ _LATIN = [chr(i) for i in range(0x250)]
 _NOT_LATIN = re.compile(f"[^{_LATIN[0]}-{_LATIN[-1]}]|\u0130|<\\|")
 
 
+#: The module under which a process keeps its encoders.
+_KEPT = "rolelens_encoders"
+
+
 def _word_pattern() -> re.Pattern[str]:
     """The words that the tokenizer's own splitting finds in lower-cased Latin text."""
 
@@ -53,6 +60,10 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """Token ids of texts, as little-endian 32-bit numbers, by the word tokenizer file at ``path``."""
     from tokenizers import Tokenizer
 
+    # a task's functions are its own; a module is what lasts as long as the process
+    kept = sys.modules.setdefault(_KEPT, types.ModuleType(_KEPT)).__dict__
+    if path in kept:
+        return kept[path]
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are parallel already
     tokenizer = Tokenizer.from_file(path)
     words_of = _word_pattern().findall
@@ -75,6 +86,7 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
             next(whole) if own is None else b"".join([cache.get(w) or fresh[w] for w in own]) for own in words
         ]
 
+    kept[path] = encode
     return encode
 
 
