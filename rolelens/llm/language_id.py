@@ -82,20 +82,36 @@ def gram_blocks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch of (lang, text) rows: in how many texts of a language each n-gram occurs."""
-    for batch in batches:
+    """Of (lang, text) rows: in how many texts of a language each n-gram occurs, summed over some blocks."""
+    seen: dict[str, list[np.ndarray]] = {}
+    held = 0
+    for batch in arrays.pieces(batches):
         langs = np.array(batch.column(0).to_pylist(), object)
         for first, grams, counts in gram_blocks(batch.column(1)):
             texts = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
             pairs = np.unique(texts << np.uint64(32) | grams)
-            owners, codes = (pairs >> np.uint64(32)).astype(np.int64), pairs & np.uint64(0xFFFFFFFF)
-            own = langs[first : first + len(counts)]
-            for lang in set(own):
-                found, n = np.unique(codes[own[owners] == lang], return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(n)],
-                    names=["lang", "gram", "n"],
-                )
+            owners, codes = (pairs >> np.uint64(32)).astype(np.int64), pairs.astype(np.uint32)
+            own = langs[first : first + len(counts)][owners]
+            for lang in set(langs[first : first + len(counts)]):
+                seen.setdefault(lang, []).append(codes[own == lang])
+            held += len(codes)
+            if held > HELD:
+                yield from _summed(seen)
+                seen, held = {}, 0
+    yield from _summed(seen)
+
+
+#: N-grams that a task holds before it sums them up.
+HELD = 4_000_000
+
+
+def _summed(seen: dict[str, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for lang, parts in seen.items():
+        found, n = np.unique(np.concatenate(parts), return_counts=True)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([lang] * len(found), pa.string()), pa.array(found.astype(np.int64)), pa.array(n)],
+            names=["lang", "gram", "n"],
+        )
 
 
 def train(documents: DataFrame) -> Model:
@@ -162,7 +178,7 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast((model.languages, model.filter))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in arrays.pieces(batches):
             names, score = predict(batch.column(1), Model(*shared.value))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"]
@@ -177,7 +193,7 @@ def keep_identified(documents: DataFrame, model: Model) -> DataFrame:
     at = documents.columns.index("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in arrays.pieces(batches):
             names, _ = predict(batch.column(at), Model(*shared.value))
             yield batch.filter(pa.array([name != UNDETERMINED for name in names], pa.bool_()))
 
