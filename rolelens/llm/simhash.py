@@ -158,18 +158,17 @@ def _masks(radius: int) -> list[int]:
 
 def within_radius(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """All pairs a < b of distinct fingerprints (column ``print``, long) at most ``radius`` bits apart."""
+    # one number stands for a table and its key; should two fall together, the distance still decides
     tables = F.array(*[
-        F.struct(F.lit(k).alias("table"), F.col("print").bitwiseAND(F.lit(m)).alias("key"))
-        for k, m in enumerate(_masks(radius))
+        F.xxhash64(F.lit(k), F.col("print").bitwiseAND(F.lit(m))) for k, m in enumerate(_masks(radius))
     ])
-    entries = prints.select("print").distinct().select("print", F.inline(tables))
+    entries = prints.select("print").distinct().select("print", F.explode(tables).alias("key"))
     left, right = entries.alias("l"), entries.alias("r")
     apart = F.bit_count(F.col("l.print").bitwiseXOR(F.col("r.print")))
     return (
         left.join(
             right,
-            (F.col("l.table") == F.col("r.table")) & (F.col("l.key") == F.col("r.key"))
-            & (F.col("l.print") < F.col("r.print")) & (apart <= radius),
+            (F.col("l.key") == F.col("r.key")) & (F.col("l.print") < F.col("r.print")) & (apart <= radius),
         )
         .select(F.col("l.print").alias("a"), F.col("r.print").alias("b"))
         .distinct()
@@ -183,7 +182,7 @@ def _number(hexadecimal: Column) -> Column:
 
 def document_fingerprints(documents: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``neighbour_fingerprints`` and n_near: how many other fingerprints lie within the radius."""
-    rows = neighbour_fingerprints(documents).withColumn("print", _number(F.col("fingerprint"))).checkpoint()
+    rows = neighbour_fingerprints(documents).withColumn("print", _number(F.col("fingerprint")))
     pairs = within_radius(rows, radius)
     links = pairs.select(F.explode(F.array("a", "b")).alias("print")).groupBy("print").agg(F.count("*").alias("n_near"))
     out = rows.join(links, "print", "left").drop("print")
