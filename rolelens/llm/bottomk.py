@@ -258,10 +258,12 @@ def _own_counts(sets: DataFrame) -> DataFrame:
 def _group_lists(homes: DataFrame, sets: DataFrame) -> DataFrame:
     """centre, value, set_key, n, d, s, linked: inverted lists of differences from the centre.
 
-    ``homes`` has set_key, centre and linked. Groups that are linked to their centre as a whole need none.
+    ``homes`` has set_key, centre and linked. Groups that are linked to their centre as a whole need none,
+    nor do groups of one besides the centre, which can be in a group of its own or of a heavier centre.
     """
-    open_ = homes.groupBy("centre").agg(F.count("*").alias("members"), F.min("linked").alias("settled"))
-    open_ = open_.where("members > 2 AND NOT settled").select("centre")
+    others = F.count(F.when(F.col("set_key") != F.col("centre"), 1)).alias("others")
+    open_ = homes.groupBy("centre").agg(others, F.min("linked").alias("settled"))
+    open_ = open_.where("others >= 2 AND NOT settled").select("centre")
     own = sets.select("set_key", "n", F.col("values").alias("vx"))
     middle = sets.select(F.col("set_key").alias("centre"), F.col("values").alias("vp"))
     differing = F.concat(F.array_except("vx", "vp"), F.array_except("vp", "vx"))
