@@ -12,6 +12,9 @@ from rolelens.session import work_path
 #: SQL for run()'s rows: none, as language models, sketches and tokenizers have no SQL form.
 ORACLE_SQL = None
 
+#: Near-duplicates share five-word shingles to at least this many hundredths.
+SIMILARITY = 80
+
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language cannot be determined (no letter, no text) go."""
@@ -20,7 +23,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest id."""
-    return bottomk.keep_one(docs)
+    return bottomk.keep_one(docs, SIMILARITY)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

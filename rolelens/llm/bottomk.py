@@ -1,9 +1,9 @@
 """Near-duplicates by bottom-k sketches.
 
 A document's set holds the hashes of its word shingles; its sketch the ``SKETCH`` smallest of them. Two
-documents of similarity 0.85 share at least ``SHARED`` sketch values (the smallest values of the union
-are a sample of it; missing that many has a chance of about one in a million), so of the values of a
-sketch, ordered from rare to frequent, only the first SKETCH - SHARED + 1 need an inverted list, and
+documents of the similarity asked for share at least ``shared()`` sketch values (the smallest values of
+the union are a sample of it; missing that many has a chance of a few in a million), so of the values of
+a sketch, ordered from rare to frequent, only the first SKETCH - shared() + 1 need an inverted list, and
 frequent passages have lists only of documents that consist of little else.
 
 Documents with equal sets are one class from the start. A class is set aside as soon as too few of its
@@ -27,8 +27,9 @@ component without any id, the rows with the smallest text key are kept.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +43,10 @@ from rolelens.session import ensure_checkpoint_dir
 
 WORDS = 5
 SKETCH = 64
-SHARED = 40
-#: A link: 100 * intersection >= PERCENT * union.
+#: A link: 100 * intersection >= percent * union. This is the similarity of the query's contract.
 PERCENT = 85
+#: The largest chance that the sketches of a link share too few values.
+_MISSED = 2.5e-6
 #: 64-bit words of the Bloom filter for the second pass.
 BLOOM_WORDS = 1 << 18
 _BLOOM_HASHES = 3
@@ -147,18 +149,32 @@ def whole_sets(documents: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
 
-def _needed(n: Column) -> Column:
+def shared(percent: int = PERCENT) -> int:
+    """Sketch values that a link shares, but for a chance of ``_MISSED``: 40 of 64 at 85 %, 35 at 80 %."""
+    p, fewer, least = percent / 100, 0.0, 0
+    while least < SKETCH:
+        fewer += math.comb(SKETCH, least) * p**least * (1 - p) ** (SKETCH - least)
+        if fewer > _MISSED:
+            break
+        least += 1
+    return least
+
+
+def _needed(n: Column, percent: int) -> Column:
     """Sketch values that a link to a set of size n is sure to share."""
-    return F.least(F.lit(SHARED), F.ceil(n * PERCENT / 100))
+    return F.least(F.lit(shared(percent)), F.ceil(n * percent / 100))
+
+
+def _apart(percent: int) -> float:
+    """Two sets are linked if they differ in at most this share of their sizes' sum."""
+    return (100 - percent) / (100 + percent)
 
 
-#: Two sets are linked if they differ in at most this share of their sizes' sum.
-_APART = (100 - PERCENT) / (100 + PERCENT)
 #: Keeps rounding from cutting a bound that is met exactly.
 _SLACK = 1e-6
 
 
-def _may_link(x: str, y: str) -> Column:
+def _may_link(x: str, y: str, percent: int) -> Column:
     """Whether sets of two groups, with counts of own and shared values, can reach the similarity.
 
     Their difference is at least own_x + own_y + |shared_x - shared_y|.
@@ -167,10 +183,10 @@ def _may_link(x: str, y: str) -> Column:
     apart = own_x + own_y + F.abs(shared_x - shared_y)
     sizes = own_x + own_y + shared_x + shared_y
     other_group = F.col(f"{x}.centre") != F.col(f"{y}.centre")
-    return other_group & (apart * (100 + PERCENT) <= sizes * (100 - PERCENT))
+    return other_group & (apart * (100 + percent) <= sizes * (100 - percent))
 
 
-def _may_link_in_group(x: str, y: str) -> Column:
+def _may_link_in_group(x: str, y: str, percent: int) -> Column:
     """Whether sets of one centre, with d differences from it of which s are shared, can be linked.
 
     They differ in d_x + d_y values less twice the common ones, of which there are at most min(s_x, s_y).
@@ -180,8 +196,8 @@ def _may_link_in_group(x: str, y: str) -> Column:
     small, large = F.least(f"{x}.n", f"{y}.n"), F.greatest(f"{x}.n", f"{y}.n")
     return (
         ~(F.col(f"{x}.linked") & F.col(f"{y}.linked"))
-        & (d - 2 * common <= n * _APART + _SLACK)
-        & (large * PERCENT <= small * 100)
+        & (d - 2 * common <= n * _apart(percent) + _SLACK)
+        & (large * percent <= small * 100)
     )
 
 
@@ -228,7 +244,7 @@ def _open_pairs(
     return pairs.select(F.least("key_x", "key_y").alias("a"), F.greatest("key_x", "key_y").alias("b")).distinct()
 
 
-def _inverted_lists(classes: DataFrame) -> DataFrame:
+def _inverted_lists(classes: DataFrame, percent: int) -> DataFrame:
     """value, set_key: the lists that can bring linked classes together; ``classes`` has set_key, n, sketch."""
     postings = classes.select("set_key", F.explode("sketch").alias("value"))
     common = postings.groupBy("value").agg(F.count("*").alias("df")).where("df > 1").checkpoint()
@@ -236,12 +252,12 @@ def _inverted_lists(classes: DataFrame) -> DataFrame:
     posted = known.join(classes.select("set_key", "n"), "set_key").select(
         "set_key",
         # values of its own come first in the order and need no list
-        F.slice(F.sort_array("known"), F.lit(1), F.greatest(F.size("known") - _needed(F.col("n")).cast("int") + 1, F.lit(0))).alias("first"),
+        F.slice(F.sort_array("known"), F.lit(1), F.greatest(F.size("known") - _needed(F.col("n"), percent).cast("int") + 1, F.lit(0))).alias("first"),
     )
     return posted.select("set_key", F.explode("first.value").alias("value"))
 
 
-def _own_counts(sets: DataFrame) -> DataFrame:
+def _own_counts(sets: DataFrame, percent: int) -> DataFrame:
     """set_key, n, own (values in no other of these sets), shared, weight, of the classes that can have a link.
 
     ``weight`` is how many of these sets hold one of its values, on average.
@@ -250,12 +266,12 @@ def _own_counts(sets: DataFrame) -> DataFrame:
     common = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1").checkpoint()
     shared = values.join(common, "value").groupBy("set_key").agg(F.count("*").alias("shared"), F.sum("df").alias("df"))
     counted = sets.select("set_key", "n").join(shared, "set_key")
-    return counted.where(F.col("shared") * 100 >= F.col("n") * PERCENT).select(
+    return counted.where(F.col("shared") * 100 >= F.col("n") * percent).select(
         "set_key", "n", (F.col("n") - F.col("shared")).alias("own"), "shared", (F.col("df") / F.col("n")).alias("weight")
     )
 
 
-def _group_lists(homes: DataFrame, sets: DataFrame) -> DataFrame:
+def _group_lists(homes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """centre, value, set_key, n, d, s, linked: inverted lists of differences from the centre.
 
     ``homes`` has set_key, centre and linked. Groups that are linked to their centre as a whole need none,
@@ -284,15 +300,15 @@ def _group_lists(homes: DataFrame, sets: DataFrame) -> DataFrame:
     )
     # common differences that a link needs at least, given the sizes that a partner can have; at
     # least one, as a partner of a linked set is itself not linked to the centre
-    largest = F.col("n") * (_APART * (1 + 100 / PERCENT))
-    least = F.when(F.col("linked"), F.col("d") * ((1 - _APART) / 2)).otherwise(F.col("d") - largest)
+    largest = F.col("n") * (_apart(percent) * (1 + 100 / percent))
+    least = F.when(F.col("linked"), F.col("d") * ((1 - _apart(percent)) / 2)).otherwise(F.col("d") - largest)
     needed = F.greatest(F.ceil(least - _SLACK).cast("int"), F.lit(1))
     first = F.slice(F.sort_array("known"), F.lit(1), F.greatest(F.col("s") - needed + 1, F.lit(0)))
     posted = known.where(F.col("s") >= needed).select("centre", "set_key", "n", "linked", "d", "s", first.alias("first"))
     return posted.select("centre", "set_key", "n", "linked", "d", "s", F.explode("first.value").alias("value"))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the ``pairs`` (a, b) of set keys that are links."""
 
     def with_values(frame: DataFrame, values: Column) -> DataFrame:
@@ -304,21 +320,21 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     guess = with_values(pairs, F.slice("values", 1, SKETCH))
     union = F.slice(F.array_sort(F.array_union("va", "vb")), 1, SKETCH)
     both = F.array_intersect(union, F.array_intersect("va", "vb"))
-    likely = guess.where(F.size(both) * SKETCH >= F.size(union) * SHARED).select("a", "b")
+    likely = guess.where(F.size(both) * SKETCH >= F.size(union) * shared(percent)).select("a", "b")
     whole = with_values(likely, F.col("values")).withColumn("both", F.size(F.array_intersect("va", "vb")))
     union_size = F.size("va") + F.size("vb") - F.col("both")
-    return whole.where(F.col("both") * 100 >= union_size * PERCENT).select("a", "b")
+    return whole.where(F.col("both") * 100 >= union_size * percent).select("a", "b")
 
 
-def class_links(documents: DataFrame, classes: DataFrame) -> DataFrame:
+def class_links(documents: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between classes that suffice for their components.
 
     ``classes`` has set_key, text_key (of one of its texts in ``documents``), n and sketch.
     """
-    lists = _inverted_lists(classes).checkpoint()
+    lists = _inverted_lists(classes, percent).checkpoint()
     candidates = lists.select("set_key").distinct().join(classes.select("set_key", "text_key"), "set_key").checkpoint()
     sets = whole_sets(documents, candidates).checkpoint()
-    counts = _own_counts(sets).checkpoint()
+    counts = _own_counts(sets, percent).checkpoint()
     members = lists.join(counts, "set_key").checkpoint()
 
     # each class with the most central one of its lists
@@ -331,7 +347,7 @@ def class_links(documents: DataFrame, classes: DataFrame) -> DataFrame:
         .checkpoint()
     )
     a, b = F.least("set_key", "centre").alias("a"), F.greatest("set_key", "centre").alias("b")
-    star = _confirmed(homes.where("set_key <> centre").select(a, b).distinct(), sets).checkpoint()
+    star = _confirmed(homes.where("set_key <> centre").select(a, b).distinct(), sets, percent).checkpoint()
     roots = components(star).withColumnRenamed("node", "set_key").checkpoint()
     homes = (
         homes.select("set_key", "centre", a, b)
@@ -344,17 +360,21 @@ def class_links(documents: DataFrame, classes: DataFrame) -> DataFrame:
         return frame.join(roots, "set_key", "left").withColumn("root", F.coalesce("root", "set_key")).checkpoint()
 
     across = placed(members.select("value", "set_key", "own", "shared").join(homes.select("set_key", "centre"), "set_key"))
-    within = placed(_group_lists(homes, sets))
+    within = placed(_group_lists(homes, sets, percent))
+    across_groups, in_group = partial(_may_link, percent=percent), partial(_may_link_in_group, percent=percent)
     apart = (
-        _open_pairs(across, ["value"], ["own", "shared", "centre"], _may_link)
-        .unionByName(_open_pairs(within, ["centre", "value"], ["n", "d", "s", "linked"], _may_link_in_group))
+        _open_pairs(across, ["value"], ["own", "shared", "centre"], across_groups)
+        .unionByName(_open_pairs(within, ["centre", "value"], ["n", "d", "s", "linked"], in_group))
         .distinct()
     )
-    return star.unionByName(_confirmed(apart, sets))
+    return star.unionByName(_confirmed(apart, sets, percent))
+
 
+def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Per row of ``documents`` (doc_id, text): doc_id, text_key, n_shingles, component_id, kept.
 
-def near_duplicates(documents: DataFrame) -> DataFrame:
-    """Per row of ``documents`` (doc_id, text): doc_id, text_key, n_shingles, component_id, kept."""
+    Links are pairs of a similarity of at least ``percent`` hundredths.
+    """
     ensure_checkpoint_dir(documents.sparkSession)
     rows = sketches(documents).checkpoint()
     classes = (
@@ -366,7 +386,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         )
         .checkpoint()
     )
-    grouped = components(class_links(documents, classes)).withColumnRenamed("node", "set_key").checkpoint()
+    grouped = components(class_links(documents, classes, percent)).withColumnRenamed("node", "set_key").checkpoint()
     named = (
         grouped.join(classes.select("set_key", "smallest", "text_key"), "set_key")
         .groupBy("root")
@@ -392,9 +412,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     )
 
 
-def keep_one(documents: DataFrame) -> DataFrame:
+def keep_one(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row of each component, all columns kept; rows without words all stay."""
-    found = near_duplicates(documents).checkpoint()
+    found = near_duplicates(documents, percent).checkpoint()
     name = fresh(documents, "kept_key")
     same = text_key(F.col("doc_id"), F.col("text")) == F.col(name)
     dropped = found.where(~F.col("kept")).select(F.col("text_key").alias(name)).distinct()

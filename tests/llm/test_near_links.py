@@ -1,9 +1,12 @@
 """Near-duplicates of families that drift apart, against brute force."""
 
+import collections
+import itertools
 import random
 
 import brute
 
+import corpus_pipeline
 from rolelens.llm import bottomk
 
 
@@ -35,3 +38,41 @@ def test_drifting_families(spark):
     wrong = {r.doc_id: (r.component_id, want[r.doc_id][1]) for r in got.collect() if r.component_id != want[r.doc_id][1]}
     assert not wrong, len(wrong)
     assert 150 < len({c for _, c in want.values()}) < len(rows) - 150
+
+
+def smallest_ids(rows, percent):
+    """The ids that stay: the smallest of each component of pairs of that similarity; ids without words too."""
+    sets = [(i, brute.shingles(t)) for i, t in sorted(rows)]
+    holders, root = collections.defaultdict(list), {i: i for i, _ in sets}
+    for i, own in sets:
+        for x in own:
+            holders[x].append(i)
+    size, common = {i: len(own) for i, own in sets}, collections.Counter()
+    for own in holders.values():
+        common.update(itertools.combinations(own, 2))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (a, b), n in common.items():
+        if 100 * n >= percent * (size[a] + size[b] - n):
+            low, high = sorted((find(a), find(b)))
+            root[high] = low
+    return {i for i in root if find(i) == i}
+
+
+def test_stage_drops_copies_of_similarity_80(spark):
+    docs = spark.read.parquet(f"{brute.SF}/documents.parquet").select("doc_id", "text")
+    rows = [(1_000_000 + i, t) for i, t in families(25, seed=5)]
+    docs = docs.unionByName(spark.createDataFrame(rows, docs.schema))
+    rows += [(r.doc_id, r.text) for r in docs.where("doc_id < 1000000").collect()]
+    got = [r.doc_id for r in corpus_pipeline.dedup_stage(spark, docs, brute.SF).select("doc_id").collect()]
+    want = smallest_ids(rows, 80)
+    assert len(got) == len(want) and set(got) == want
+    assert len(want) < len(smallest_ids(rows, 85))
+
+
+def test_values_that_a_link_shares():
+    assert (bottomk.shared(85), bottomk.shared(80)) == (40, 35)
