@@ -17,8 +17,9 @@ SIMILARITY = 80
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be determined (no letter, no text) go."""
-    return language_id.keep_identified(docs, language_id.learned(docs))
+    """Documents whose language cannot be determined (no letter, no text, hardly any known n-gram) go."""
+    model = language_id.learned(docs)
+    return language_id.keep_identified(docs, model, language_id.score_floor(docs, model))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,7 +15,8 @@ N-grams are four bytes of the lower-cased text with all but letters blanked.
 Defined results: a text that is NULL or has no letter is ``und`` with score 0. A text with letters but
 no known n-gram gets the most frequent language, with score 0; ties go to the first name. Rows without
 language or text are not learned from; without any such row every text is ``und``. Repeated rows count
-as often as they occur. A mask holds up to 64 languages; more raise an error.
+as often as they occur. ``keep_identified`` can also ask for a score, and ``score_floor`` takes one from
+the held-out rows. A mask holds up to 64 languages; more raise an error.
 """
 
 from __future__ import annotations
@@ -38,6 +39,10 @@ MIN_RATE = 0.005
 #: An n-gram's rate in a language against its best rate in any.
 NEAR_BEST = 0.3
 UNDETERMINED = "und"
+#: A text has a learned language if it scores this share of what NEARLY_ALL held-out rows reach.
+FLOOR_SHARE = 0.5
+NEARLY_ALL = 0.99
+_STEPS = 1000
 
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -187,15 +192,15 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(rows, "doc_id long, lang_pred string, score double")
 
 
-def keep_identified(documents: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``documents``, all columns kept, whose language could be determined."""
+def keep_identified(documents: DataFrame, model: Model, floor: float = 0.0) -> DataFrame:
+    """The rows of ``documents``, all columns kept, whose language could be determined with a score of ``floor``."""
     shared = documents.sparkSession.sparkContext.broadcast((model.languages, model.filter))
     at = documents.columns.index("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrays.pieces(batches):
-            names, _ = predict(batch.column(at), Model(*shared.value))
-            yield batch.filter(pa.array([name != UNDETERMINED for name in names], pa.bool_()))
+            names, score = predict(batch.column(at), Model(*shared.value))
+            yield batch.filter(pa.array([name != UNDETERMINED for name in names], pa.bool_()) if not floor else pa.array(score >= floor))
 
     return documents.mapInArrow(rows, documents.schema)
 
@@ -205,6 +210,32 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def score_floor(documents: DataFrame, model: Model) -> float:
+    """A score that texts in a learned language reach: ``FLOOR_SHARE`` of what nearly all held-out rows do.
+
+    Of the held-out rows of ``documents`` (doc_id, text, lang) those count whose language is predicted right.
+    Without any, every score above 0 will do.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast((model.languages, model.filter))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in arrays.pieces(batches):
+            names, score = predict(batch.column(1), Model(*shared.value))
+            right = np.array([a == b for a, b in zip(names, batch.column(0).to_pylist(), strict=True)], bool)
+            steps, n = np.unique((score[right] * _STEPS).astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(steps), pa.array(n.astype(np.int64))], names=["step", "n"])
+
+    held = documents.select("lang", "text", "doc_id").where(held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+    counts = held.select("lang", "text").mapInArrow(rows, "step long, n long").groupBy("step").agg(F.sum("n").alias("n"))
+    table = sorted((r["step"], r["n"]) for r in counts.collect())  # at most _STEPS + 1 rows
+    below, total = 0, sum(n for _, n in table)
+    for step, n in table:
+        below += n
+        if below > (1 - NEARLY_ALL) * total:
+            return max(FLOOR_SHARE * step / _STEPS, 1 / _STEPS)
+    return 1 / _STEPS
+
+
 def learned(documents: DataFrame) -> Model:
     """A model of all documents (doc_id, text, lang) that are not held out."""
     return train(documents.where(~held_out(F.col("doc_id"))))
