@@ -6,9 +6,11 @@ pattern is as good as the share of its distinct instances that are known to be o
 instance as good as the noisy-or of its patterns. In each round the patterns are scored anew and the
 confident instances join the known ones; their places are reported with the kind they were found as.
 
-A pattern is confident if the lower Wilson bound of its share passes both ``MIN_SHARE`` and
-``MIN_LIFT`` times the kind's share among all instances, so that contexts which say nothing (a common
-word pair) add nothing, however frequent they are.
+A pattern is confident if the lower Wilson bound of its share passes ``MIN_SHARE`` and is clearly above
+the kind's share among all instances: ``MIN_LIFT`` times that or, for kinds that are so common that few
+or no shares reach it, ``MIN_GAIN`` of the way from there to 1. So contexts which say nothing (a common
+word pair) add nothing, however frequent they are, and a pattern whose instances are all known passes
+once there are enough of them.
 
 Texts are read once, for the base spans and the contexts; from then on only contexts are shuffled, as
 hashes, and pattern and instance counts are combined map-side. All state between rounds lies in
@@ -47,6 +49,7 @@ TOKEN = r"(?<![A-Za-z0-9._%+@/-])[A-Za-z._%+@/-]*+[0-9][A-Za-z0-9._%+@/-]*+"
 ROUNDS = 2
 MIN_SHARE = 0.5
 MIN_LIFT = 1.5
+MIN_GAIN = 1 / 3
 MIN_CONFIDENCE = 0.75
 _Z = 1.645
 #: Characters on either side from which context words are taken.
@@ -226,13 +229,15 @@ def _score_patterns(edges: DataFrame, known: DataFrame, usual: list[float]) -> D
         for k, u in enumerate(usual)
     ]
     n, share = F.col("n"), F.col("g.good") / F.col("n")
+    usually = F.col("g.usual")
+    clear = F.least(MIN_LIFT * usually, usually + MIN_GAIN * (1 - usually))
     spread = F.sqrt(F.greatest(share * (1 - share) / n + _Z * _Z / (4 * n * n), F.lit(0.0)))
     lower = (share + _Z * _Z / (2 * n) - _Z * spread) / (1 + _Z * _Z / n)
     return (
         counted.select("pattern", "n", F.explode(F.array(*scored)).alias("g"))
-        .select("pattern", "g.kind_no", "g.usual", F.least(lower, F.lit(0.99)).alias("confidence"))
-        .where((F.col("confidence") >= MIN_SHARE) & (F.col("confidence") >= MIN_LIFT * F.col("usual")))
-        .select("pattern", "kind_no", "confidence")
+        .select("pattern", "g.kind_no", lower.alias("lower"), clear.alias("clear"))
+        .where((F.col("lower") >= MIN_SHARE) & (F.col("lower") >= F.col("clear")))
+        .select("pattern", "kind_no", F.least("lower", F.lit(0.99)).alias("confidence"))
     )
 
 
