@@ -5,6 +5,8 @@ a graph between instances (identifier-like tokens) and lexical patterns (the wor
 pattern is as good as the share of its distinct instances that are known to be of one kind, an unknown
 instance as good as the noisy-or of its patterns. In each round the patterns are scored anew and the
 confident instances join the known ones; their places are reported with the kind they were found as.
+An instance keeps its first kind and its weight never falls, so patterns never get worse either; rounds
+go on until one changes nothing, weights taken to four decimals.
 
 A pattern is confident if the lower Wilson bound of its share passes ``MIN_SHARE`` and is clearly above
 the kind's share among all instances: ``MIN_LIFT`` times that or, for kinds that are so common that few
@@ -46,7 +48,6 @@ _PART = r"0*+(?:[1-9][0-9]?|1[0-9]{2}|2[0-4][0-9]|25[0-5])?"
 #: Identifier-like: a run of identifier characters with a digit.
 TOKEN = r"(?<![A-Za-z0-9._%+@/-])[A-Za-z._%+@/-]*+[0-9][A-Za-z0-9._%+@/-]*+"
 
-ROUNDS = 2
 MIN_SHARE = 0.5
 MIN_LIFT = 1.5
 MIN_GAIN = 1 / 3
@@ -189,7 +190,7 @@ def _patterns(m: Column) -> Column:
     return let(words(m["left"]), lambda b: let(words(m["right"]), lambda a: hashed(b, a)))
 
 
-def bootstrap(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def bootstrap(occurrences: DataFrame) -> DataFrame:
     """Unseen instances that the graph finds: instance, kind_no.
 
     ``occurrences`` has kind_no (-1 if unknown), instance and patterns.
@@ -199,22 +200,27 @@ def bootstrap(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     usual = [counts.get(k, 0) / max(1, sum(counts.values())) for k in range(len(KINDS))]
     edges = occurrences.select("instance", F.explode("patterns").alias("pattern")).distinct().checkpoint()
     seeds = instances.where("kind_no >= 0").withColumn("weight", F.lit(1.0))
-    known = seeds
-    found = None
-    for _ in range(rounds):
-        found = (
-            edges.join(_score_patterns(edges, known, usual), "pattern")
+    found = seeds.where("false")
+    while True:
+        noisy_or = 1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))
+        new = (
+            edges.join(_score_patterns(edges, seeds.unionByName(found), usual), "pattern")
             .groupBy("instance", "kind_no")
-            .agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("weight"))
+            .agg(F.round(noisy_or, 4).alias("weight"))
             .where(F.col("weight") >= MIN_CONFIDENCE)
+            .join(seeds.select("instance"), "instance", "left_anti")
+            .join(found.select("instance", F.col("kind_no").alias("first")), "instance", "left")
+            .where("first IS NULL OR first = kind_no")
+            .select("instance", "kind_no", "weight")
+            .unionByName(found)
             .groupBy("instance")
             .agg(F.max(F.struct("weight", "kind_no")).alias("best"))
             .select("instance", "best.kind_no", "best.weight")
-            .join(seeds.select("instance"), "instance", "left_anti")
             .checkpoint()
         )
-        known = seeds.unionByName(found)
-    return (found if found is not None else seeds.where("false")).select("instance", "kind_no")
+        if new.join(found, ["instance", "kind_no", "weight"], "left_anti").isEmpty():
+            return new.select("instance", "kind_no")
+        found = new
 
 
 def _score_patterns(edges: DataFrame, known: DataFrame, usual: list[float]) -> DataFrame:
@@ -241,11 +247,11 @@ def _score_patterns(edges: DataFrame, known: DataFrame, usual: list[float]) -> D
     )
 
 
-def find(documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def find(documents: DataFrame) -> DataFrame:
     """Per row: _key, doc_id, base, extra and spans (both together), arrays of {start, kind_no, end} in order."""
     ensure_checkpoint_dir(documents.sparkSession)
     per_row, occurrences = _occurrences(documents)
-    unseen = bootstrap(occurrences, rounds)
+    unseen = bootstrap(occurrences)
     free = occurrences.where("kind_no < 0").select("_row", "start", "end", "instance")
     extra = (
         free.join(unseen, "instance")

@@ -36,3 +36,12 @@ def test_a_kind_that_is_most_of_the_corpus(spark):
     telling, idle = [f"K{i}" for i in range(5)], [f"Q{i}" for i in range(95)]
     texts = in_context("owner", mails[:200] + telling) + in_context("common", mails[200:] + idle[:50]) + in_context("pine", idle[50:])
     assert found(spark, texts) == {(t, "email") for t in telling}
+
+
+def test_four_generations(spark):
+    generations = [[f"u{i}@mail.example.org" for i in range(512)]]
+    generations += [[f"K{g}-{i}" for i in range(n)] for g, n in ((1, 128), (2, 48), (3, 16), (4, 3))]
+    texts = in_context("pine", [f"Q{i}" for i in range(3000)])
+    for word, old, new in zip(["amber", "birch", "cedar", "dune"], generations, generations[1:], strict=False):
+        texts += in_context(word, old + new)
+    assert found(spark, texts) == {(t, "email") for own in generations[1:] for t in own}
