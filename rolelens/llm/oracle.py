@@ -97,9 +97,27 @@ LEFT JOIN v vs ON vs.level = 'suffix' AND vs.name = string_split(u.host, '.')[-1
 LEFT JOIN v va ON va.level = 'all'
 """
 
+_OP11 = f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+z AS (SELECT count(*) AS big_n, CAST(sum(len(w)) AS BIGINT) AS big_l FROM d WHERE len(w) > 0),
+q AS (SELECT item_id, term, count(*) AS qf FROM (SELECT item_id, unnest({_WORDS}) AS term FROM benchmark) GROUP BY ALL),
+tf AS MATERIALIZED (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM d)
+      WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+wt AS (SELECT term, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * df + 1))) AS BIGINT) AS weight
+       FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), z),
+m AS (SELECT rid, doc_id, 75 + (25 * len(w) * big_n) // big_l AS m FROM d, z WHERE len(w) > 0),
+s AS (SELECT item_id, rid, CAST(sum(qf * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+      FROM tf JOIN q USING (term) JOIN wt USING (term) JOIN m USING (rid) GROUP BY ALL),
+r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+      FROM s JOIN m USING (rid) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 20
+"""
+
+
 ORACLE: dict[str, str] = {
     "op2_chat_format": _OP2,
     "op4_minhash": _OP4,
     "op7_url_filter": _OP7,
     "op9_decontaminate": _OP9,
+    "op11_ranked_search": _OP11,
 }

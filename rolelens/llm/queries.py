@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolelens.llm import bottomk, chat_format, decontaminate, language_id, license_scan, packing, pii, simhash, toxicity, url_filter
+from rolelens.llm import (
+    bottomk, chat_format, decontaminate, divergence, fptree, language_id, license_scan, packing, periodic_runs, pii,
+    simhash, toxicity, url_filter,
+)
 from rolelens.llm.text import table
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -74,6 +77,20 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return fptree.ranking(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return periodic_runs.periodic_runs(docs, edit=True).drop("runs")
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.quality(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op2_chat_format": op2_chat_format,
@@ -85,4 +102,7 @@ QUERIES: dict[str, Query] = {
     "op8_packing": op8_packing,
     "op9_decontaminate": op9_decontaminate,
     "op10_pii": op10_pii,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_quality_rules": op13_quality_rules,
 }
