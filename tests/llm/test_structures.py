@@ -1,7 +1,10 @@
 """Chats, URLs, packing and the pipeline."""
 
+import collections
 import importlib.util
 import os
+import sys
+import types
 import zlib
 
 import numpy as np
@@ -104,7 +107,7 @@ def tokenizer():
 
 
 ODD_WORDS = ["<|endoftext|> x<|startoftext|>y", "don't I'LL we've 'S", "Ünï É e\u0301 \u200bq\x1c\x1dz", "日本語 テキスト 123",
-             "ΑΣ ΣΑΣ.", "İstanbul Ǆ ß", "a\x85b\x0bc\xa0d", "\U0001f44d\U0001f3fd", "x" * 3000, "½² a_b"]
+             "ΑΣ ΣΑΣ.", "a\x1cb\x1d c\x1ed\x1f", "\x00\x07 x\x7fy \xadz", "İstanbul Ǆ ß", "a\x85b\x0bc\xa0d", "\U0001f44d\U0001f3fd", "x" * 3000, "½² a_b"]
 
 
 def test_packing_is_whole(spark, odd, odd_rows, tokenizer):
@@ -124,6 +127,38 @@ def test_packing_is_whole(spark, odd, odd_rows, tokenizer):
     assert len({p.sequence_id for p in pieces}) == len(pieces)
     lengths = packing.buckets(packing.pieces(docs, tokenizer_path())).collect()
     assert sum(r.tokens for r in lengths) == sum(map(len, whole.values()))
+    clashing = packing.pieces(odd.withColumns({c: F.lit(1) for c in ("ids", "batch_id", "length", "start")}), tokenizer_path())
+    assert clashing.count() == sum(p.doc_id < 300_000 for p in pieces)
+
+
+def test_words_pass_through_two_generations(monkeypatch, tokenizer):
+    monkeypatch.setattr(packing, "CACHED", 5)
+    monkeypatch.setitem(sys.modules, packing._KEPT, types.ModuleType(packing._KEPT))
+    encode = packing.encoder(tokenizer_path())
+    texts = [f"the word{i % 7}, of Wörter{i % 11}'s the." for i in range(60)]
+    for at in range(0, 60, 4):
+        for text, ids in zip(texts[at : at + 4], encode(texts[at : at + 4])):
+            assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_batches_have_one_length(spark, odd, tmp_path, monkeypatch):
+    monkeypatch.setattr(packing, "BATCH_TOKENS", 4096)
+    packed = packing.pieces(odd.repartition(3), tokenizer_path()).cache()
+    batches = packed.groupBy("batch_id").agg(
+        F.count_distinct("length").alias("lengths"), F.sum("length").alias("tokens"), F.max("length").alias("length"),
+        F.max("sequence_id").alias("hi"), F.min("sequence_id").alias("lo"), F.count("*").alias("n"),
+    ).collect()
+    assert all(b.lengths == 1 and b.tokens <= 4096 and b.hi - b.lo == b.n - 1 for b in batches)
+    # per task and length all batches but the last are full
+    open_batches = collections.Counter((b.batch_id >> 36, b.length) for b in batches if b.tokens < 4096)
+    assert max(open_batches.values()) == 1 and sum(b.tokens == 4096 for b in batches) > 5
+    packing.write_buckets(packed, str(tmp_path / "buckets"))
+    back = packing.read_bucket(spark, str(tmp_path / "buckets"), 2048)
+    want = packed.where("length = 2048")
+    columns = ["doc_id", "start", "sequence_id", "batch_id", "ids"]
+    assert sorted(map(tuple, back.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
+    counted = {r.length: (r.sequences, r.batches) for r in packing.buckets(packed).collect()}
+    assert counted[2048] == (want.count(), want.select("batch_id").distinct().count())
 
 
 def test_packing_of_nameless_and_no_rows(nameless, nothing):
@@ -143,8 +178,8 @@ def test_pipeline_stages(spark, tmp_path):
             n = docs.count()
     tokens = docs.select("doc_id", "doc_tokens").distinct().agg(F.sum("doc_tokens")).first()[0]
     assert docs.agg(F.sum("length")).first()[0] == tokens
-    got = corpus_pipeline.run(spark, SF).drop("sequence_id")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.drop("sequence_id").collect()))
+    got = corpus_pipeline.run(spark, SF).drop("sequence_id", "batch_id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, docs.drop("sequence_id", "batch_id").collect()))
 
 
 def test_entry_registers_everything():
@@ -153,4 +188,4 @@ def test_entry_registers_everything():
     entry = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(entry)
     names = set(entry.queries())
-    assert "pipeline" in names and all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 11))
+    assert "pipeline" in names and all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 14))
