@@ -731,6 +731,13 @@ ORACLE: dict[str, str] = {
         AUDIT,
     ),
     "districts_per_role": q("SELECT role, districts FROM audit", AUDIT),
+    "access_audit_registry": q(
+        "SELECT * FROM audit UNION ALL SELECT 'analyst_' || district, count(*), CAST(10 AS BIGINT), CAST(1 AS BIGINT),"
+        " (SELECT count(*) FROM rentals) FROM rentals WHERE district IS NOT NULL GROUP BY district"
+        " UNION ALL SELECT 'operator_' || station_id, count(*), CAST(9 AS BIGINT), count(DISTINCT district),"
+        " (SELECT count(*) FROM rentals) FROM rentals GROUP BY station_id",
+        AUDIT,
+    ),
     "filter_kind_counts": registry(
         "SELECT CASE WHEN row_filter = 'TRUE' AND len(hidden) = 0 THEN 'none'"
         " WHEN row_filter = 'TRUE' THEN 'column' WHEN row_filter LIKE '%AND%' THEN 'multi'"

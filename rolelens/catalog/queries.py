@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from rolelens.functions import scalar as S
 from rolelens.operators import audit as A
+from rolelens.operators import filters
 from rolelens.operators import policy as P
 from rolelens.operators import quality as Q
 from rolelens.operators import segment as G
@@ -61,6 +62,11 @@ def scoped(spark: SparkSession, sf_dir: str, role: str) -> DataFrame:
 def policy_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A policy registry read off the data: one analyst per district, one operator per station,
     and the four standard roles. Stored as a table, as registries are, since queries use it often."""
+    return indexed_policies(spark, sf_dir).select(*POLICY_SCHEMA.names)
+
+
+def indexed_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same registry with what is known of each filter, stored when the policies are made."""
     table = rentals(spark, sf_dir)
     no_birth_year = F.array(*[F.lit(c) for c in RENTAL_COLUMNS if c != "birth_year"])
     personal = F.array(*[F.lit(c) for c in PERSONAL_COLUMNS])
@@ -79,6 +85,7 @@ def policy_table(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.lit(False).alias("all_rows"),
                 include.cast("array<string>").alias("include_columns"),
                 exclude.cast("array<string>").alias("exclude_columns"),
+                *[c.alias(n) for n, c in P.equals_index(column, value).items()],
             )
         )
 
@@ -87,8 +94,9 @@ def policy_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         per_value("station_id", "operator", nothing, personal)
     )
     path = work_path(spark, "policies")
-    derived.unionByName(P.policy_registry(spark, P.standard_policies(DISTRICT))).write.parquet(path)
-    return spark.read.schema(POLICY_SCHEMA).parquet(path)
+    standard = filters.indexed(P.policy_registry(spark, P.standard_policies(DISTRICT)))
+    derived.unionByName(standard).write.parquet(path)
+    return spark.read.schema(T.StructType([*POLICY_SCHEMA, *filters.INDEX_SCHEMA])).parquet(path)
 
 
 def _tightened(registry: DataFrame) -> DataFrame:
@@ -183,6 +191,10 @@ def _registry(build: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: portable(build(policy_table(spark, sf_dir)))
 
 
+def _indexed(build: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: portable(build(indexed_policies(spark, sf_dir)))
+
+
 def _policies() -> list[P.Policy]:
     return P.standard_policies(DISTRICT)
 
@@ -439,9 +451,10 @@ QUERIES: dict[str, Query] = {
     "access_audit": _on(lambda t: A.access_audit(t, _policies())),
     "access_ratio": _on(lambda t: A.access_ratio(A.access_audit(t, _policies()))),
     "districts_per_role": _on(lambda t: A.districts_per_role(t, _policies())),
-    "filter_kind_counts": _registry(A.filter_kind_counts),
-    "permission_matrix": _registry(A.permission_matrix),
-    "permission_matrix_long": _registry(
+    "access_audit_registry": lambda s, d: portable(A.access_audit(rentals(s, d), indexed_policies(s, d))),
+    "filter_kind_counts": _indexed(A.filter_kind_counts),
+    "permission_matrix": _indexed(A.permission_matrix),
+    "permission_matrix_long": _indexed(
         lambda r: A.permission_matrix_long(A.permission_matrix(r))
     ),
     "column_block_rate": _registry(A.column_block_rate),

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rolelens.operators import filters
 from rolelens.operators.quality import dedupe
 from rolelens.schema import POLICY_SCHEMA, RENTAL_COLUMNS, require
 
@@ -75,6 +76,16 @@ def equals_filters(column: str, value: Column) -> Column:
     return F.concat(F.lit(f"{column} = '"), quoted, F.lit("'"))
 
 
+def equals_index(column: str, value: Column) -> dict[str, Column]:
+    """What ``filters.indexed`` would find in ``equals_filters`` of the same column and values."""
+    pair = F.struct(F.lit(column).alias("column"), value.alias("value"))
+    return {
+        "filter_columns": F.array(F.lit(column)),
+        "equals": F.array(pair),
+        "rest": F.lit(None).cast("string"),
+    }
+
+
 def standard_policies(district: str, table: str = TABLE) -> list[Policy]:
     """The four roles: everything; one district; no personal data; one district and age range."""
     no_birth_year = [c for c in RENTAL_COLUMNS if c != "birth_year"]
@@ -99,12 +110,11 @@ def standard_policies(district: str, table: str = TABLE) -> list[Policy]:
 def validate(policy: Policy, df: DataFrame) -> Policy:
     """Check a policy against the table's schema, when it is registered and when it is used; no data is read.
 
-    The filter has to be a boolean over existing columns, without subqueries.
+    The filter has to be a boolean over existing columns, made of listed kinds of expressions only.
     """
     require(df, *(policy.include_columns or ()), *(policy.exclude_columns or ()))
     if not policy.unrestricted:
-        if _SUBQUERY.search(_bare(policy.row_filter)):
-            raise AnalysisException(f"policy {policy.name}: the row filter uses a subquery")
+        filters.read(df.sparkSession, policy.row_filter)
         empty = df.limit(0)
         checked = empty.select(F.expr(policy.row_filter).alias("keep"))
         empty.where(policy.predicate()).schema  # noqa: B018  analysed here: an aggregate is no filter
@@ -113,15 +123,6 @@ def validate(policy: Policy, df: DataFrame) -> Policy:
     return policy
 
 
-#: Quoted texts (both kinds of quotes), back-quoted names and comments.
-_QUOTED = re.compile(r"""'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*"|`[^`]*`|/\*.*?\*/|--[^\n]*""", re.DOTALL)
-_SUBQUERY = re.compile(r"\(\s*(SELECT|WITH|VALUES|TABLE|FROM)\b", re.IGNORECASE)
-
-
-def _bare(sql: str) -> str:
-    return _QUOTED.sub(" ", sql)
-
-
 def effective_policy(policies: Iterable[Policy], role: str, table: str = TABLE) -> Policy:
     """The one filter granted to the role. No filter means no access."""
     found = [p for p in policies if p.role == role and p.table == table]
@@ -251,8 +252,15 @@ def grant_list(registry: DataFrame, role: str | None = None) -> DataFrame:
 
 
 def filter_resource(table: Column, name: Column) -> Column:
-    """What a grant on a filter names: the table and the filter, as names repeat across tables."""
-    return F.concat(table, F.lit("/"), name)
+    """What a grant on a filter names: the table and the filter, as names repeat across tables.
+
+    Slashes within either name are escaped, so that no two filters share one grant.
+    """
+
+    def escaped(part: Column) -> Column:
+        return F.replace(F.replace(part, F.lit("\\"), F.lit("\\\\")), F.lit("/"), F.lit("\\/"))
+
+    return F.concat(escaped(table), F.lit("/"), escaped(name))
 
 
 def role_grants(

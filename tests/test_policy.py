@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from rows import rental, table, values
 
 from rolelens.operators import audit as A
+from rolelens.operators import filters
 from rolelens.operators import policy as P
 from rolelens.operators import segment as G
 from rolelens.plans import reports as R
@@ -278,3 +279,124 @@ def test_derived_filters_are_quoted(spark):
     df = spark.createDataFrame([("O'NATION",), ("a\\b",), ("plain",)], "district string")
     for text, value in values(df.select(P.equals_filters("district", F.col("district")).alias("f"), "district"), "f", "district"):
         assert text == P.equals_filter("district", value) and values(df.where(text), "district") == [(value,)]
+
+
+BYPASSES = (
+    r"district = r'\' OR 1 IN (SELECT id FROM secret) OR 'a' = 'b'",
+    "district = 'A' /* /* */ ' */ OR 1 IN (SELECT id FROM secret) /* ' */",
+    "EXISTS (SELECT 1 FROM secret)",
+    "(SELECT max(id) FROM secret) = 2",
+    "sum(usage_min) OVER () > 1",
+    "exists(array(1), x -> x > 1)",
+    "reflect('java.lang.System', 'getenv', 'HOME') = 'x'",
+    "raise_error('x') IS NULL",
+    "rand() < 0.5",
+    "current_user() = 'x'",
+    ":p = 1",
+)
+
+
+@pytest.mark.parametrize("text", BYPASSES)
+def test_filters_of_other_than_listed_expressions_are_refused(spark, rentals, text):
+    spark.range(3).createOrReplaceTempView("secret")
+    policy = P.Policy("x", "f", row_filter=text)
+    with pytest.raises(AnalysisException):
+        P.policy_view(rentals, [policy], "x")
+    registry = P.policy_registry(spark, [policy])
+    assert A.filter_kinds(registry).first().filter_kind == "invalid"
+    assert values(A.access_audit(rentals, registry), "records", "districts") == [(0, 0)]
+
+
+def test_usual_filters_pass(spark, rentals, policies):
+    for text in (
+        "lower(district) LIKE 'a%' AND usage_min BETWEEN 1 AND 9 OR NOT (gender IS NULL)",
+        "district IN ('A', 'B') AND CASE WHEN usage_min > 3 THEN TRUE ELSE FALSE END",
+        "year(rental_date) = 2024 AND extract(HOUR FROM rental_date) >= 6 AND distance_meter / 2 > -1",
+        "station_id || district <=> 's1A' AND cast(usage_min AS string) RLIKE '6' AND substring(gender, 1, 1) = 'F'",
+'district = r\'\\\' OR district = "--(SELECT 1)"',
+    ):
+        assert P.policy_view(rentals, [P.Policy("x", "f", row_filter=text)], "x").count() >= 0, text
+    assert len(P.policy_registry(spark, policies, rentals).collect()) == 4
+
+
+def test_columns_come_from_the_tree(spark):
+    texts = {
+        r"district = r'\' OR rental_id = 'x'": ["district", "rental_id"],
+        "district = 'A' /* gender = birth_year */ -- gender": ["district"],
+        "`district` = 'gender'": ["district"],
+        "TRUE": [],
+    }
+    registry = P.policy_registry(spark, [P.Policy(t, t, row_filter=t) for t in texts])
+    index = filters.indexed(registry)
+    assert dict(values(index, "role", "filter_columns")) == texts
+    kinds = dict(values(A.filter_kinds(registry), "role", "filter_kind"))
+    assert list(kinds[t] for t in texts) == ["multi", "district", "district", "none"]
+    assert filters.indexed(index) is index
+
+
+def test_filters_split_into_equalities_and_the_rest(spark):
+    def parts(text):
+        found = filters.read(spark, text)
+        return found.equals, found.rest
+
+    assert parts("District = 'A' AND 'B' = gender") == ((("district", "A"), ("gender", "B")), None)
+    assert parts("district = 'A' AND usage_min > 1") == ((("district", "A"),), "((usage_min > 1))")
+    assert parts("district = 'A' AND district = 'B'")[0] == (("district", "A"),)
+    assert parts("district = 'A' OR gender = 'B'") == ((), "district = 'A' OR gender = 'B'")
+    assert parts("usage_min = 5 AND NOT district = 'A'")[0] == ()
+    assert parts(P.equals_filter("district", "O'N\\x")) == ((("district", "O'N\\x"),), None)
+
+
+def test_grants_of_filters_are_not_ambiguous(spark, rentals):
+    both = [P.Policy("x", "f", "a/b", all_rows=True), P.Policy("x", "b/f", "a", all_rows=True), P.Policy("x", "f", "a\\/b", all_rows=True)]
+    registry = P.policy_registry(spark, both)
+    for own, table in (("f", "a/b"), ("b/f", "a"), ("f", "a\\/b")):
+        grants = P.role_grants(registry.where((F.col("name") == own) & (F.col("table") == table)))
+        for p in both:
+            if (p.name, p.table) == (own, table):
+                assert P.open_table(rentals, registry, grants, "x", p.table).count() == rentals.count()
+            else:
+                with pytest.raises(PermissionError):
+                    P.open_table(rentals, registry, grants, "x", p.table)
+
+
+def many_policies():
+    out = [P.Policy(f"s{i}", f"f{i}", row_filter=f"station_id = 's{i % 7}'") for i in range(20)]
+    out += [P.Policy(f"d{i}", f"g{i}", row_filter=f"district = 'A' AND birth_year >= '{1990 + i}'") for i in range(9)]
+    out += [P.Policy(f"m{i}", f"h{i}", row_filter=f"'B' = District and gender = 'F' AND usage_min > {i}") for i in range(3)]
+    out += [P.Policy("or", "i", row_filter="district = 'A' OR district IS NULL"), P.Policy("all", "j", row_filter="TRUE")]
+    out += [P.Policy("never", "k", row_filter="district = 'nowhere'"), P.Policy("both", "l", row_filter="district = 'A' AND district = 'B'")]
+    out += [P.Policy("every", "m", all_rows=True, exclude_columns=["gender"])]
+    return out + [P.Policy("number", "n", row_filter="usage_min = '6'"), P.Policy("only", "o", row_filter="usage_min > 5")]
+
+
+@pytest.mark.parametrize("at_once", [200, 4])
+def test_audit_by_index_agrees_with_the_views(spark, rentals, monkeypatch, at_once):
+    monkeypatch.setattr(A, "EXPRESSIONS", at_once)
+    rows = [rental(i, station_id=f"s{i % 4}", district=[None, "A", "B"][i % 3], usage_min=i % 9, gender="MF"[i % 2]) for i in range(30, 90)]
+    data = rentals.unionByName(table(spark, *rows)).cache()
+    policies = many_policies()
+    registry = P.policy_registry(spark, policies)
+    for audit in (A.access_audit(data, policies), A.access_audit(data, registry)):
+        found = {r.role: r for r in audit.collect()}
+        assert len(found) == len(policies)
+        for p in policies:
+            scoped = P.policy_view(data, policies, p.role)
+            one = found[p.role]
+            assert (one.records, one.columns, one.table_rows) == (scoped.count(), len(scoped.columns), 70), p
+            assert one.districts == scoped.where("district IS NOT NULL").select("district").distinct().count(), p
+    empty = A.access_audit(data.limit(0), policies).collect()
+    assert len(empty) == len(policies) and all((r.records, r.table_rows) == (0, 0) for r in empty)
+
+
+def test_audit_of_many_policies_reads_the_table_once(spark, rentals):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def seen(_):
+        read.add(1)
+        return True
+
+    watched = rentals.where(seen.asNondeterministic()("rental_id"))
+    A.access_audit(watched, many_policies()).collect()
+    assert read.value == rentals.count()
