@@ -102,6 +102,8 @@ def numeric_summary(
     keys: Mapping[str, Column] | None = None,
     step: int | None = None,
     accuracy: int | None = None,
+    hist: DataFrame | None = None,
+    located: DataFrame | None = None,
 ) -> DataFrame:
     """Average, minimum, maximum and quantiles of a numeric column, per group or in one row.
 
@@ -115,6 +117,9 @@ def numeric_summary(
 
     The histograms are checkpointed here: building the summary runs its scans.
 
+    A caller that has counted already gives ``hist`` (as ``histogram`` makes it, stored), and may go on from
+    ``located`` buckets (as ``first_located`` finds them).
+
     ``accuracy`` switches to ``percentile_approx``: one pass, but each task sends its sketch to a
     single reducer, so keep it small on many partitions.
     """
@@ -134,34 +139,26 @@ def numeric_summary(
         return out.select(*keys, "rentals", "avg", "min", "max", *picked)
 
     ensure_checkpoint_dir(df.sparkSession)
-    step = step or BUCKET_STEP.get(column, 1)
     narrow = df.select(*[c.alias(k) for k, c in keys.items()], value.alias("_v"))
-    narrow = narrow.withColumn("_b", _first_bucket(df.schema[column].dataType, step))
-    hist = (
-        narrow.groupBy(*keys, "_b")
-        .agg(
-            F.count("*").alias("_n"),
-            F.sum("_v").alias("_sum"),
-            F.min("_v").alias("_lo"),
-            F.max("_v").alias("_hi"),
-        )
-        .checkpoint()
-    )
-    wanted = ", ".join(
-        f"named_struct('slot', {i}, 'rank', greatest(1L, cast(ceil({p}BD * _total) AS bigint)))"
-        for i, p in enumerate(quantiles.values())
-    )
-    values = hist.where("_b IS NOT NULL")
-    located = locate(values, list(keys), "_b", "_n", f"array({wanted})", keep=("_lo", "_hi"))
+    narrow = narrow.withColumn("_b", first_bucket(df.schema[column].dataType, "_v", step or BUCKET_STEP.get(column, 1)))
+    if hist is None:
+        hist = histogram(narrow, list(keys)).checkpoint()
+    if located is None:
+        located = first_located(hist, quantiles, list(keys))
     found = []
     while True:
-        located = located.checkpoint()
-        found.append(located.where("_lo = _hi").select(*keys, "slot", F.col("_lo").alias("_v")))
-        pending = located.where("_lo < _hi")
-        open_buckets = pending.count()
+        located = located.withColumn("_open", F.col("_lo") < F.col("_hi"))
+        if keys:
+            located = located.checkpoint()
+            open_buckets = located.where("_open").count()
+        else:  # a row per quantile
+            rows = located.collect()
+            located = df.sparkSession.createDataFrame(rows, located.schema)
+            open_buckets = sum(r["_open"] for r in rows)
+        found.append(located.where("NOT _open").select(*keys, "slot", F.col("_lo").alias("_v")))
         if not open_buckets:
             break
-        located = _next_level(narrow, pending, list(keys), open_buckets)
+        located = _next_level(narrow, located.where("_open"), list(keys), open_buckets)
 
     # Histogram rows and located values meet in one small final aggregate.
     totals = hist.withColumn("slot", F.lit(None).cast("int")).withColumn("_v", F.lit(None))
@@ -177,14 +174,57 @@ def numeric_summary(
     )
 
 
-def _first_bucket(kind: T.DataType, step: int) -> Column:
-    """A non-decreasing function of ``_v``; values are limited in their own type, so nothing overflows."""
+def finished(hist: DataFrame, values: Mapping[str, Column], quantiles: Sequence[str]) -> DataFrame:
+    """The summary of a histogram without groups whose quantiles are known; unknown ones are NULL."""
+    known = F.when(F.col("_b").isNotNull(), F.col("_n"))
+    kind = hist.schema["_lo"].dataType
+    return hist.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("rentals"),
+        F.try_divide(F.sum("_sum").cast("double"), F.sum(known)).alias("avg"),
+        F.min("_lo").alias("min"),
+        F.max("_hi").alias("max"),
+    ).select("*", *[values.get(q, F.lit(None)).cast(kind).alias(q) for q in quantiles])
+
+
+def histogram(narrow: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows, sum, minimum and maximum of ``_v`` per bucket ``_b``."""
+    return narrow.groupBy(*keys, "_b").agg(
+        F.count("*").alias("_n"), F.sum("_v").alias("_sum"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
+    )
+
+
+def first_located(hist: DataFrame, quantiles: Mapping[str, float], keys: Sequence[str] = ()) -> DataFrame:
+    """The bucket of each quantile (slot), with the rank within it."""
+    wanted = ", ".join(
+        f"named_struct('slot', {i}, 'rank', greatest(1L, cast(ceil({p}BD * _total) AS bigint)))"
+        for i, p in enumerate(quantiles.values())
+    )
+    return locate(hist.where("_b IS NOT NULL"), keys, "_b", "_n", f"array({wanted})", keep=("_lo", "_hi"))
+
+
+def first_bucket(kind: T.DataType, column: str, step: int) -> Column:
+    """A non-decreasing function of the column; values are limited in their own type, so nothing overflows."""
     edge = FIRST_LEVEL * step
     if kind.typeName() in ("float", "double"):
-        limited = f"floor(greatest({-edge}D, least({edge}D, _v)) / {step})"
-        return F.expr(f"CASE WHEN isnan(_v) THEN {FIRST_LEVEL + 1}L WHEN _v IS NOT NULL THEN {limited} END")
-    limited = f"cast(greatest({-edge}, least({edge}, _v)) AS bigint) div {step}"
-    return F.expr(f"CASE WHEN _v IS NOT NULL THEN {limited} END")
+        limited = f"floor(greatest({-edge}D, least({edge}D, {column})) / {step})"
+        return F.expr(
+            f"CASE WHEN isnan({column}) THEN {FIRST_LEVEL + 1}L WHEN {column} IS NOT NULL THEN {limited} END"
+        )
+    limited = f"cast(greatest({-edge}, least({edge}, {column})) AS bigint) div {step}"
+    return F.expr(f"CASE WHEN {column} IS NOT NULL THEN {limited} END")
+
+
+def sub_bucket(value: Column, low: Column, high: Column) -> Column:
+    """The part of a bucket's range, cut into NEXT_LEVEL, in which a value lies; both ends are parts of their own."""
+    # halved first, so that no difference of doubles overflows
+    lo, hi, own = (c.cast("double") / 2 for c in (low, high, value))
+    part = F.nanvl(F.coalesce(F.try_divide(own - lo, hi - lo), F.lit(0.0)), F.lit(0.0)) * (NEXT_LEVEL - 1)
+    sub = (
+        F.when(value >= high, NEXT_LEVEL)
+        .when(value <= low, 0)
+        .otherwise(1 + F.least(F.floor(part), F.lit(NEXT_LEVEL - 2)))
+    )
+    return sub.cast("long")
 
 
 def _next_level(narrow: DataFrame, pending: DataFrame, keys: list[str], open_buckets: int) -> DataFrame:
@@ -202,15 +242,8 @@ def _next_level(narrow: DataFrame, pending: DataFrame, keys: list[str], open_buc
     match = (F.col("_b") == F.col("_at")) & F.col("_v").between(F.col("_from"), F.col("_to"))
     for k in keys:
         match = match & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
-    # halved first, so that no difference of doubles overflows; the ends always get buckets of their own
-    low, high, own = (F.col(c).cast("double") / 2 for c in ("_from", "_to", "_v"))
-    part = F.nanvl(F.coalesce(F.try_divide(own - low, high - low), F.lit(0.0)), F.lit(0.0)) * (NEXT_LEVEL - 1)
-    sub = (
-        F.when(F.col("_v") >= F.col("_to"), NEXT_LEVEL)
-        .when(F.col("_v") <= F.col("_from"), 0)
-        .otherwise(1 + F.least(F.floor(part), F.lit(NEXT_LEVEL - 2)))
-    )
-    inside = narrow.join(wanted, match).withColumn("_sub", sub.cast("long"))
+    sub = sub_bucket(F.col("_v"), F.col("_from"), F.col("_to"))
+    inside = narrow.join(wanted, match).withColumn("_sub", sub)
     hist = inside.groupBy(*keys, "_b", "_slot", "_rank", "_sub").agg(
         F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
@@ -236,13 +269,21 @@ def kpis(df: DataFrame) -> DataFrame:
     Rows collapse to one row per station first, so the distinct counts need no row copies.
     """
     require(df, "station_id", "usage_min", "distance_meter")
+    return station_kpis(df.groupBy("station_id").agg(F.count("*").alias("n"), *named(kpi_measures())))
+
+
+def kpi_measures() -> dict[str, Column]:
+    """What the ratios need of a station, apart from its rows; sums of any finer groups will do."""
     speed = F.try_divide(F.col("distance_meter").cast("double"), F.col("usage_min"))
-    stations = df.groupBy("station_id").agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("usage_min") > 0).alias("active"),
-        F.sum(speed).alias("speed_sum"),
-        F.count(speed).alias("speed_n"),
-    )
+    return {
+        "active": F.count_if(F.col("usage_min") > 0),
+        "speed_sum": F.sum(speed),
+        "speed_n": F.count(speed),
+    }
+
+
+def station_kpis(stations: DataFrame) -> DataFrame:
+    """The ratios from one row per station: n and ``kpi_measures``."""
     total = F.count("*")
     active = F.count_if(F.col("active") > 0)
     return stations.agg(

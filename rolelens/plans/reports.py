@@ -10,70 +10,87 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rolelens.functions import scalar as S
 from rolelens.operators import policy as P
 from rolelens.operators import quality as Q
 from rolelens.operators import segment as G
 from rolelens.operators import summary as M
-from rolelens.session import ensure_checkpoint_dir
+from rolelens.plans import rollup as U
 from rolelens.sources.load import schema_report
 
 ID_COLUMNS = ("rental_id", "station_id", "district")
 
+Scalars = Callable[[Sequence[str]], Mapping[str, Column]]
+
 
 @dataclasses.dataclass(frozen=True)
 class Report:
-    """``segments`` have few groups and share one scan, ``scalars`` are one-row aggregates that
-    share another, ``tables`` run on their own."""
+    """``segments`` are grouped sections, ``scalars`` one-row tables over the base table (given the visible
+    columns), ``tables`` the others. ``measures`` are what the base table counts for them."""
 
     segments: tuple[str, ...]
-    scalars: Mapping[str, Callable[[DataFrame], Mapping[str, Column]]]
-    tables: Mapping[str, Callable[[DataFrame], DataFrame]]
+    scalars: Mapping[str, Scalars]
+    tables: Mapping[str, Callable[[DataFrame, U.Rollup, U.Detail], DataFrame]]
+    measures: Callable[[DataFrame], Mapping[str, Column]] = lambda df: {}
+    quantiles: Mapping[str, float] = dataclasses.field(default_factory=lambda: M.MEDIAN)
+    ranked: str | None = None  # the segment that counts distinct rentals
+
+
+def _nulls(df: DataFrame) -> dict[str, Column]:
+    return {f"nulls_{c}": m for c, m in Q.null_measures(df).items()}
+
 
+def _outliers(df: DataFrame, limits: Mapping = Q.STEWARD_LIMITS) -> dict[str, Column]:
+    return {"outliers": Q.outlier_measures(df, limits)["outliers"]}
 
-def _ranked(name: str) -> Callable[[DataFrame], DataFrame]:
-    return lambda df: G.segment(df, name)
 
+def _outlier_summary(_: Sequence[str]) -> dict[str, Column]:
+    count, rows = U.total("outliers"), U.total("n")
+    return {"rentals": rows, "outliers": count, "outlier_pct": S.pct(count, rows)}
 
-_COUNT = {"row_count": M.row_count_measures}
+
+def _summaries(kind: str) -> dict[str, Callable[[DataFrame, U.Rollup, U.Detail], DataFrame]]:
+    columns = {"usage": "usage_min", "distance": "distance_meter"}
+    return {f"{short}_{kind}": lambda df, _, detail, c=c: detail.summary(c) for short, c in columns.items()}
+
+
+_COUNT = {"row_count": lambda _: {"rentals": U.total("n")}}
+_NULL_COUNTS = {"null_counts": lambda columns: {c: U.total(f"nulls_{c}") for c in columns}}
 _BASICS = {
-    "schema": schema_report,
-    "distinct_counts": lambda df: M.distinct_counts(df, ID_COLUMNS),
-}
-_SUMMARIES = {
-    "usage_summary": lambda df: M.numeric_summary(df, "usage_min"),
-    "distance_summary": lambda df: M.numeric_summary(df, "distance_meter"),
+    "schema": lambda df, *_: schema_report(df),
+    "distinct_counts": lambda df, _, detail: detail.distinct_counts(),
 }
 
 REPORTS: dict[str, Report] = {
     P.STEWARD: Report(
         ("district_top10", "gender_stats", "age_group_stats", "hourly_counts"),
-        {**_COUNT, "null_counts": Q.null_measures, "outlier_summary": Q.outlier_measures},
-        {**_BASICS, **_SUMMARIES, "outlier_sample": Q.outlier_sample},
+        {**_COUNT, **_NULL_COUNTS, "outlier_summary": _outlier_summary},
+        {**_BASICS, **_summaries("summary"), "outlier_sample": lambda df, *_: Q.outlier_sample(df)},
+        lambda df: {**_nulls(df), **_outliers(df)},
     ),
     P.DISTRICT_ANALYST: Report(
-        ("district_stats", "gender_stats", "hourly_counts", "user_type_stats"),
-        {**_COUNT, "null_counts": Q.null_measures},
-        {**_BASICS, **_SUMMARIES, "station_top10": _ranked("station_top10")},
+        ("district_stats", "gender_stats", "station_top10", "hourly_counts", "user_type_stats"),
+        {**_COUNT, **_NULL_COUNTS},
+        {**_BASICS, **_summaries("summary")},
+        _nulls,
     ),
     P.OPERATION: Report(
-        ("district_operations", "hourly_load", "user_type_operations", "weekday_operations"),
-        {
-            **_COUNT,
-            "outlier_summary": lambda df: Q.outlier_measures(df, Q.OPERATION_LIMITS),
-        },
+        ("district_operations", "station_efficiency", "hourly_load", "user_type_operations", "weekday_operations"),
+        {**_COUNT, "outlier_summary": _outlier_summary},
         {
             **_BASICS,
-            "station_efficiency": _ranked("station_efficiency"),
-            "usage_quantiles": lambda df: M.quantile_profile(df, "usage_min"),
-            "distance_quantiles": lambda df: M.quantile_profile(df, "distance_meter"),
-            "outlier_top5": Q.operational_outlier_top5,
-            "kpis": M.kpis,
+            **_summaries("quantiles"),
+            "outlier_top5": lambda df, *_: Q.operational_outlier_top5(df),
+            "kpis": lambda df, rollup, _: rollup.kpis(),
         },
+        lambda df: {**_outliers(df, Q.OPERATION_LIMITS), **M.kpi_measures()},
+        M.QUARTILES,
     ),
     P.MARKETING_PARTNER: Report(
         (
             "district_stats",
             "gender_stats_distance",
+            "station_popular",
             "hourly_usage",
             "user_type_operations",
             "weekday_pattern",
@@ -81,44 +98,30 @@ REPORTS: dict[str, Report] = {
         ),
         {
             **_COUNT,
-            "averages": lambda df: M.average_measures(
-                df, {"avg_usage": "usage_min", "avg_distance": "distance_meter"}
-            ),
+            "averages": lambda _: {"avg_usage": U.mean("usage_min"), "avg_distance": U.mean("distance_meter")},
         },
-        {**_BASICS, **_SUMMARIES, "station_popular": _ranked("station_popular")},
+        {**_BASICS, **_summaries("summary")},
+        ranked="station_popular",
     ),
 }
 
 
-def report_segments(scoped: DataFrame, role: str) -> DataFrame:
-    """All small grouped tables of a role's report, from one scan, in long form."""
-    return G.fused_segments(scoped, REPORTS[role].segments)
-
-
-def report_scalars(scoped: DataFrame, role: str) -> DataFrame:
-    """All one-row tables of a role's report, from one scan, one struct per table."""
-    parts = {name: build(scoped) for name, build in REPORTS[role].scalars.items()}
-    return M.fused_scalars(scoped, parts)
-
-
-def role_report(scoped: DataFrame, role: str, checkpoint: bool = True) -> dict[str, DataFrame]:
+def role_report(scoped: DataFrame, role: str) -> dict[str, DataFrame]:
     """A role's report on its scoped table, as named DataFrames; nothing is shown or collected.
 
-    The small grouped tables come from one scan, the one-row tables from another. Both results,
-    a few hundred rows, are checkpointed here, so that reading the tables one after another does
-    not scan again. With ``checkpoint=False`` nothing runs yet and each table scans when read.
+    Building it runs two reads of the table, whose small results are stored (see ``rollup``); an outlier
+    section reads it once more when it is shown.
     """
     if role not in REPORTS:
         raise PermissionError(f"no report for role {role}")
     report = REPORTS[role]
-    segments, scalars = report_segments(scoped, role), report_scalars(scoped, role)
-    if checkpoint:
-        ensure_checkpoint_dir(scoped.sparkSession)
-        segments, scalars = segments.checkpoint(), scalars.checkpoint()
+    rollup = U.Rollup(scoped, report.segments, report.measures(scoped))
+    detail = rollup.detail(report.quantiles, report.ranked)
+    extra = {report.ranked: detail.unique_rentals()} if report.ranked else {}
     return {
-        **{name: scalars.select(f"{name}.*") for name in report.scalars},
-        **{name: build(scoped) for name, build in report.tables.items()},
-        **{name: G.section(segments, name) for name in report.segments},
+        **{name: rollup.scalars(build(scoped.columns)) for name, build in report.scalars.items()},
+        **{name: build(scoped, rollup, detail) for name, build in report.tables.items()},
+        **{name: rollup.segment(name, extra.get(name)) for name in report.segments},
     }
 
 
