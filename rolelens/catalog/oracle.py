@@ -396,6 +396,14 @@ ORACLE: dict[str, str] = {
         " TRUE AS ok FROM csv",
         CSV,
     ),
+    "load_staged": q(
+        f"SELECT {cols(ALL)} FROM (SELECT * FROM stored UNION ALL SELECT * FROM stored)", CSV, STORED
+    ),
+    "content_reconcile": q(
+        "SELECT count(station_id) AS source_rows, count(station_id) AS loaded_rows,"
+        " CAST(0 AS BIGINT) AS differing_ranges FROM csv",
+        CSV,
+    ),
     "schema_report": "SELECT * FROM (VALUES "
     + ", ".join(
         f"(CAST({i} AS BIGINT), '{c}', '"
@@ -432,6 +440,15 @@ ORACLE: dict[str, str] = {
     "policy_drop": registry(
         f"SELECT {policy_rows()} FROM policies WHERE name <> 'district_filter_{DISTRICT}'"
     ),
+    "policy_log": registry(
+        "SELECT all_rows, "
+        + policy_rows(
+            "CASE WHEN name LIKE 'district_filter_%' AND role LIKE 'analyst_%'"
+            " THEN [x FOR x IN include_columns IF x <> 'gender'] ELSE include_columns END"
+        )
+        + f" FROM policies WHERE name <> 'district_filter_{DISTRICT}'"
+    ),
+    "grant_log": registry("SELECT * FROM kept_grants"),
     "policy_list": registry(
         "SELECT name, row_filter, CAST(coalesce(len(include_columns), 0) AS BIGINT) AS column_count,"
         " include_columns IS NULL AS has_wildcard FROM policies"

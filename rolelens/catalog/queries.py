@@ -21,6 +21,7 @@ from rolelens.operators import quality as Q
 from rolelens.operators import segment as G
 from rolelens.operators import share as H
 from rolelens.operators import summary as M
+from rolelens.operators.stored import StoredRegistry
 from rolelens.plans import reports as R
 from rolelens.schema import PERSONAL_COLUMNS, POLICY_SCHEMA, RENTAL_COLUMNS
 from rolelens.session import work_path
@@ -209,6 +210,49 @@ def load_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portable(L.load_reconcile(L.csv_scan(spark, path), stored))
 
 
+def load_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A load, the same again, and a second one in its place."""
+    source, path = _csv(spark, sf_dir), work_path(spark, "versions")
+    for load_id in ("first", "first"):
+        L.load_staged(spark, source, path, load_id)
+    table = L.load_staged(spark, source, path, "second", replace=True)
+    L.load_staged(spark, source, path, "third")
+    return portable(table.read(2).unionByName(table.read(1)))
+
+
+def content_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows on both sides, over all key ranges, and whether each range is equal."""
+    path = _csv(spark, sf_dir)
+    stored = L.load(spark, path, work_path(spark, "stored"))
+    ranges = L.content_reconcile(L.csv_scan(spark, path), stored)
+    return ranges.agg(
+        F.sum("source_rows").alias("source_rows"),
+        F.sum("loaded_rows").alias("loaded_rows"),
+        F.count_if(~F.col("ok")).alias("differing_ranges"),
+    )
+
+
+def policy_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry after changes by commits: all policies, tightened ones, one dropped, then compacted."""
+    registry = StoredRegistry(spark, work_path(spark, "registry"))
+    policies = indexed_policies(spark, sf_dir)
+    registry.upsert(policies)
+    registry.upsert(_tightened(policies))
+    registry.drop(P.TABLE, f"district_filter_{DISTRICT}")
+    registry.compact()
+    return portable(registry.policies().select(*POLICY_SCHEMA.names))
+
+
+def grant_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grants after a repeated grant and a revocation, by commits."""
+    registry = StoredRegistry(spark, work_path(spark, "registry"))
+    grants = _grants(policy_table(spark, sf_dir))
+    registry.grant(grants)
+    registry.grant(grants)
+    registry.revoke(grants.where("resource_type = 'FILTER' AND role LIKE 'analyst%'"))
+    return portable(registry.grants())
+
+
 def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read_table(spark, sf_dir, "lineitem")
     return portable(Q.duplicate_keys(lines, ("l_orderkey", "l_linenumber")))
@@ -322,6 +366,8 @@ QUERIES: dict[str, Query] = {
     "replace_table": lambda s, d: portable(_stored(s, d, "rentals_replaced", replace=True)),
     "load_insert": lambda s, d: portable(_stored(s, d, "rentals_inserted", twice=True)),
     "load_reconcile": load_reconcile,
+    "load_staged": load_staged,
+    "content_reconcile": content_reconcile,
     "schema_report": lambda s, d: portable(L.schema_report(_stored(s, d, "rentals_described"))),
     "preview": _on(L.preview),
     "log_metrics": lambda s, d: portable(
@@ -337,6 +383,8 @@ QUERIES: dict[str, Query] = {
     "policy_drop": _registry(
         lambda r: P.policy_drop(r, P.TABLE, f"district_filter_{DISTRICT}").drop("all_rows")
     ),
+    "policy_log": policy_log,
+    "grant_log": grant_log,
     "policy_list": _registry(lambda r: P.policy_list(r, P.TABLE)),
     "policy_count": _registry(lambda r: P.policy_count(r, P.TABLE)),
     "grant": _registry(_granted_twice),

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rolelens.functions import scalar as S
 from rolelens.schema import RAW_SCHEMA, RENTAL_COLUMNS, RENTAL_SCHEMA, REQUIRED_KEYS, require
+from rolelens.sources.versions import VersionedTable
 
 
 def csv_scan(spark: SparkSession, path: str) -> DataFrame:
@@ -66,12 +68,27 @@ def create_table(
 
 
 def replace_table(
-    spark: SparkSession, name: str, path: str, schema: T.StructType = RENTAL_SCHEMA
+    spark: SparkSession, name: str, path: str, schema: T.StructType = RENTAL_SCHEMA, rows: DataFrame | None = None
 ) -> DataFrame:
-    """Drop the table if it exists, empty its location, create it again."""
+    """Put a table with the declared schema in place of the one of that name, empty or with ``rows``.
+
+    The new rows are written to a folder of their own under ``path`` first. A table that exists with this
+    schema is then turned to the new folder in one change of the catalog, so readers see the former rows or the
+    new ones; another one is dropped and created.
+    """
+    folder = f"{path.rstrip('/')}/{uuid.uuid4().hex}"
+    rows = spark.createDataFrame([], schema) if rows is None else rows.select(*schema.names)
+    rows.write.option("compression", "snappy").parquet(folder)
+    if spark.catalog.tableExists(name) and _plain(spark.table(name).schema) == _plain(schema):
+        spark.sql(f"ALTER TABLE {name} SET LOCATION '{folder}'")
+        spark.catalog.refreshTable(name)
+        return spark.table(name)
     spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
-    return create_table(spark, name, path, schema)
+    return create_table(spark, name, folder, schema)
+
+
+def _plain(schema: T.StructType) -> list[tuple]:
+    return [(f.name, f.dataType) for f in schema]
 
 
 def load_insert(
@@ -105,6 +122,73 @@ def load(
     return spark.read.schema(RENTAL_SCHEMA).parquet(dst)
 
 
+def load_staged(
+    spark: SparkSession,
+    src: str,
+    dst: str,
+    load_id: str,
+    replace: bool = False,
+    cluster_by: Sequence[str] = ("district",),
+) -> VersionedTable:
+    """CSV file to a versioned table, in one commit; returns the table.
+
+    Rows are written aside first, so that readers see the former version until all are there, also while the
+    table is replaced, and a failed load leaves nothing. The same ``load_id`` again changes nothing.
+    """
+    rows = accepted(csv_scan(spark, src))
+    if cluster_by:
+        rows = rows.sortWithinPartitions(*cluster_by)
+    table = VersionedTable(spark, dst, RENTAL_SCHEMA)
+    table.commit(rows, load_id, replace)
+    return table
+
+
+def row_hashes(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of a row, NULLs and their places included, as whole numbers that can be summed."""
+    fields = [F.to_json(F.struct(F.col(c).cast("string").alias("v"))) for c in df.columns]
+    hashed = (F.xxhash64(*fields), F.xxhash64(F.lit(1), *reversed(fields)))
+    return [h.cast("decimal(38,0)") for h in hashed]
+
+
+def content_checksum(df: DataFrame, key: str, ranges: int = 64) -> DataFrame:
+    """range, rows, low, high, sum_1, sum_2: what rows a table holds, whatever their order or files.
+
+    Rows are dealt into ranges by a hash of their key; ``low`` and ``high`` are the range's first and last key. Sums of
+    hashes add up map-side; equal multisets of rows have equal sums, and different ones do with a chance of
+    about 2^-128 for each range.
+    """
+    require(df, key)
+    one, two = row_hashes(df)
+    text = F.col(key).cast("string")
+    by = F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(ranges)).cast("int").alias("range")
+    return df.groupBy(by).agg(
+        F.count("*").alias("rows"), F.min(text).alias("low"), F.max(text).alias("high"),
+        F.sum(one).alias("sum_1"), F.sum(two).alias("sum_2"),
+    )
+
+
+def content_reconcile(source: DataFrame, loaded: DataFrame, key: str = "rental_id", ranges: int = 64) -> DataFrame:
+    """One row per key range: rows on both sides, first and last key, and whether the contents are equal.
+
+    ``source`` are the raw rows; those without keys are left out and values typed as a load does.
+    """
+    left = content_checksum(accepted(source), key, ranges).select(F.lit(0).alias("side"), "*")
+    right = content_checksum(loaded.select(*RENTAL_COLUMNS), key, ranges).select(F.lit(1).alias("side"), "*")
+    both = left.unionByName(right)
+
+    def of(side: int, name: str) -> Column:
+        return F.max(F.when(F.col("side") == side, F.col(name)))
+
+    same = [of(0, c).eqNullSafe(of(1, c)) for c in ("rows", "sum_1", "sum_2")]
+    return both.groupBy("range").agg(
+        F.coalesce(of(0, "rows"), F.lit(0)).alias("source_rows"),
+        F.coalesce(of(1, "rows"), F.lit(0)).alias("loaded_rows"),
+        F.min("low").alias("low"),
+        F.max("high").alias("high"),
+        reduce(Column.__and__, same).alias("ok"),
+    )
+
+
 def load_reconcile(
     source: DataFrame, loaded: DataFrame, keys: Sequence[str] = REQUIRED_KEYS
 ) -> DataFrame:
