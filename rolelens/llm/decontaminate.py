@@ -3,7 +3,9 @@
 A window is ``size`` consecutive words; an item with fewer words, but not none, is one window of its
 own length. Every window of every document is looked up by hash in the set, each hit is verified on
 its words, and the hit positions are merged per document. Only hits and one marker row per document
-are shuffled, never texts or windows.
+are shuffled, never texts or windows. A benchmark whose windows take more than ``BROADCAST_BYTES`` is joined by
+shuffle instead: positions and hashes of all windows go to the windows of the benchmark, and the hits back to
+their documents, whose words travel once.
 
 Defined results: a NULL or empty text has no words and is clean. Repeated documents are judged one by
 one. A repeated item counts once; an item without id makes words hit but is not listed. With an empty
@@ -23,8 +25,10 @@ WINDOW = 10
 #: Between a word and the separators after it.
 WORD_END = r"(?<=[^\x00-\x2F\x3A-\x60\x7B-\x7F])(?=[\x00-\x2F\x3A-\x60\x7B-\x7F])"
 
-#: Windows up to this count (a few MB of hashes and words) are sent to every executor; more are joined by shuffle.
-BROADCAST_WINDOWS = 200_000
+#: Windows that take up to this many bytes, items and hashes included, are sent to every executor.
+BROADCAST_BYTES = 32 << 20
+#: Bytes of a window beside its words and items.
+_WINDOW_BYTES = 64
 
 
 def benchmark_windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -53,8 +57,12 @@ def _hits(documents: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
     """Rows of hit windows (win_len > 0), and one row per document with win_len 0."""
     ensure_checkpoint_dir(documents.sparkSession)
     windows = benchmark_windows(benchmark, size).checkpoint()
-    known = windows.groupBy("win_len").count().collect()  # at most ``size`` rows
+    texts = F.octet_length(F.array_join("win_words", " ")) + F.octet_length(F.array_join("win_items", " "))
+    # at most ``size`` rows
+    known = windows.groupBy("win_len").agg(F.sum(texts + _WINDOW_BYTES).alias("bytes")).collect()
     lengths = sorted(r["win_len"] for r in known)
+    if sum(r["bytes"] for r in known) > BROADCAST_BYTES:
+        return _shuffled_hits(documents, _with_hash(windows, lengths), lengths)
     docs = documents.select(
         F.monotonically_increasing_id().alias("_row"),
         text_key(F.col("doc_id"), F.col("text")).alias("_key"),
@@ -70,9 +78,7 @@ def _hits(documents: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
         F.array().cast("array<string>").alias("win_words"), F.lit(None).cast("array<string>").alias("win_items"),
         F.lit(0).alias("win_len"), F.lit(0).cast("long").alias("win_hash"),
     )
-    known_set = _with_hash(windows, lengths).unionByName(marker_row)
-    if sum(r["count"] for r in known) <= BROADCAST_WINDOWS:
-        known_set = F.broadcast(known_set)
+    known_set = F.broadcast(_with_hash(windows, lengths).unionByName(marker_row))
     same_words = F.slice(F.col("words"), F.col("g.pos") + 1, F.col("win_len")) == F.col("win_words")
     return rows.join(
         known_set,
@@ -82,6 +88,29 @@ def _hits(documents: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
     ).select("_row", "_key", "doc_id", "n_words", "win_len", F.col("g.pos").alias("pos"), "win_items")
 
 
+def _shuffled_hits(documents: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
+    """``_hits`` for windows of any number; what is shuffled grows with the texts, not with their squares."""
+    docs = documents.select(
+        F.monotonically_increasing_id().alias("_row"), text_key(F.col("doc_id"), F.col("text")).alias("_key"), "doc_id", "text"
+    ).checkpoint()  # so that a row keeps its number
+    grams = let(word_array(F.col("text")), lambda words: scan_windows(words, lengths))["grams"]
+    places = docs.select("_row", F.explode(grams).alias("g")).where("g.len > 0").select("_row", "g.pos", "g.len", "g.hash")
+    maybe = places.join(windows, (F.col("hash") == F.col("win_hash")) & (F.col("len") == F.col("win_len")))
+    found = maybe.groupBy("_row").agg(F.collect_list(F.struct("pos", "win_len", "win_words", "win_items")).alias("found"))
+    none = F.array(F.struct(F.lit(0).alias("win_len"), F.lit(-1).alias("pos"), F.lit(None).cast("array<string>").alias("win_items")))
+
+    def sure(words: Column) -> Column:
+        same = F.filter("found", lambda f: F.slice(words, f["pos"] + 1, f["win_len"]) == f["win_words"])
+        hits = F.transform(same, lambda f: F.struct(f["win_len"].alias("win_len"), f["pos"].alias("pos"), f["win_items"].alias("win_items")))
+        return F.struct(F.size(words).cast("long").alias("n_words"), F.concat(none, F.coalesce(hits, F.slice(none, 1, 0))).alias("hits"))
+
+    judged = docs.join(found, "_row", "left").select(
+        "_row", "_key", "doc_id", let(word_array(F.col("text")), sure).alias("sure")
+    )
+    rows = judged.select("_row", "_key", "doc_id", F.col("sure.n_words").alias("n_words"), F.explode("sure.hits").alias("h"))
+    return rows.select("_row", "_key", "doc_id", "n_words", "h.win_len", "h.pos", "h.win_items")
+
+
 def _covered(spans: Column) -> Column:
     """Words inside the union of spans {pos, win_len}, sorted by position."""
     start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).alias("end"))

@@ -55,6 +55,31 @@ def test_contamination(spark, odd, odd_rows, benchmark):
     assert sum(r.contaminated for r in got.values()) >= 5 and got[100_011].contaminated
 
 
+def test_contamination_without_broadcast(spark, odd, odd_rows, nameless, benchmark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
+    got = by_id(decontaminate.contamination(odd, benchmark))
+    items = [(r.item_id, r.text) for r in benchmark.collect()]
+    assert len(got) == len(odd_rows)
+    hit = 0
+    for i, text in odd_rows:
+        r = got[i]
+        if len(text or "") < 20_000:
+            assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == brute.contamination(text, items), i
+        hit += r.contaminated
+    assert hit > 0 and decontaminate.contamination(nameless, benchmark).count() == 7
+
+
+def test_shuffle_without_broadcast_grows_with_the_text(spark, benchmark, monkeypatch):
+    """What the windows' side of the join holds of a row does not contain its words."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k l m n o p")], "doc_id long, text string")
+    plan = decontaminate.contamination(docs, benchmark)._jdf.queryExecution().optimizedPlan().toString()
+    generated = [line for line in plan.split("\n") if "Generate explode" in line and "hash" in plan]
+    assert generated and "BroadcastHint" not in plan
+    places = [line for line in plan.split("\n") if "Project [_row" in line and ".hash AS hash" in line]
+    assert places and all("words" not in line.split("[", 1)[1] for line in places)
+
+
 def test_decontaminate_drops_and_cuts(spark, benchmark):
     item = benchmark.where("item_id = 0").first().text
     rows = [(1, f"before, {item} after!"), (2, "clean text"), (3, "no id for these words here"), (4, None), (1, "clean too")]
