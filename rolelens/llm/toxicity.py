@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolelens.llm import arrays
+from rolelens.session import ensure_checkpoint_dir
 
 TRAINING_ROWS = 20_000
 FEATURES = 2048
@@ -127,10 +128,16 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def training_sample(documents: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> DataFrame:
-    """At most ``rows`` labelled texts: doc_id, label, text."""
+    """At most ``rows`` labelled texts, one for each id: doc_id, label, text. They are stored.
+
+    Of several texts with one id the one with the smallest hash counts, found map-side.
+    """
+    ensure_checkpoint_dir(documents.sparkSession)
     labelled = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = labelled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
+    joined = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    one = joined.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return one.select("doc_id", "label", "text").checkpoint()
 
 
 def select_features(sample: DataFrame, features: int = FEATURES) -> np.ndarray:
