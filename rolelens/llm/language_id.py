@@ -1,14 +1,15 @@
 """Language identification by n-gram membership in bit-sliced Bloom filters.
 
-One filter serves all languages: each of its slots holds a mask with one bit per language, and the AND
-of an n-gram's slots gives all languages that contain it. A document's n-grams are looked up at once,
+One filter serves all languages: each of its slots holds a mask with one bit per language, in as many
+64-bit words as there are languages, and the AND of an n-gram's slots gives all languages that contain it. A document's n-grams are looked up at once,
 the bits counted per language, and the shares corrected for the filter's false positives, which follow
 from how full each language's slice is. The largest corrected share decides.
 
 Training counts, over all learnable documents, in how many documents of each language an n-gram occurs;
 partial counts are made per batch before the shuffle. An n-gram belongs to a language if its rate there
 is at least ``MIN_RATE`` and not far below its best rate. A language has at most (n-grams per document /
-MIN_RATE) such n-grams however large the corpus is, and the collected filter has at most ``SLOTS`` rows.
+MIN_RATE) such n-grams however large the corpus is, and the collected filter has at least ``SLOTS`` rows, or
+``ROOM`` for each n-gram of the language with most of them, so that no slice is more than a quarter full.
 
 N-grams are four bytes of the lower-cased text with all but letters blanked.
 
@@ -16,7 +17,8 @@ Defined results: a text that is NULL or has no letter is ``und`` with score 0. A
 no known n-gram gets the most frequent language, with score 0; ties go to the first name. Rows without
 language or text are not learned from; without any such row every text is ``und``. Repeated rows count
 as often as they occur. ``keep_identified`` can also ask for a score, and ``score_floor`` takes one from
-the held-out rows. A mask holds up to 64 languages; more raise an error.
+the held-out rows; a text of few n-grams may fall short of it by what chance explains. If nothing was
+learned, it keeps every text with a letter.
 """
 
 from __future__ import annotations
@@ -31,9 +33,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolelens.llm import arrays
+from rolelens.session import ensure_checkpoint_dir
 
 GRAM = 4
 SLOTS = 1 << 18
+ROOM = 8
 HASHES = 2
 MIN_RATE = 0.005
 #: An n-gram's rate in a language against its best rate in any.
@@ -42,6 +46,8 @@ UNDETERMINED = "und"
 #: A text has a learned language if it scores this share of what NEARLY_ALL held-out rows reach.
 FLOOR_SHARE = 0.5
 NEARLY_ALL = 0.99
+#: A score of n n-grams may lie this over the root of n below the floor: two standard deviations at most.
+WIDENING = 1.0
 _STEPS = 1000
 
 _LETTERS = np.zeros(256, bool)
@@ -51,17 +57,21 @@ _LETTERS[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 @dataclass
 class Model:
     languages: list[str]  # most frequent first
-    filter: np.ndarray  # a mask of languages per slot
+    filter: np.ndarray  # per slot a mask of languages, in words of 64
 
     def false_positives(self) -> np.ndarray:
         """Per language, the chance that an n-gram it does not have passes all its slots."""
-        full = [np.mean(self.filter >> np.uint64(i) & np.uint64(1)) for i in range(len(self.languages))]
+        full = [np.mean(_bit(self.filter, i)) for i in range(len(self.languages))]
         return np.array(full, float) ** HASHES
 
 
-def slots(grams: np.ndarray) -> list[np.ndarray]:
+def _bit(masks: np.ndarray, language: int) -> np.ndarray:
+    return masks[:, language // 64] >> np.uint64(language % 64) & np.uint64(1)
+
+
+def slots(grams: np.ndarray, size: int) -> list[np.ndarray]:
     return [
-        (arrays.mix(grams.astype(np.uint64) + np.uint64(k << 40)) % np.uint64(SLOTS)).astype(np.int64)
+        (arrays.mix(grams.astype(np.uint64) + np.uint64(k << 40)) % np.uint64(size)).astype(np.int64)
         for k in range(HASHES)
     ]
 
@@ -124,58 +134,71 @@ def train(documents: DataFrame) -> Model:
     rows = documents.select("lang", "text").where("lang IS NOT NULL AND text IS NOT NULL")
     sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # one row per language
     languages = [r["lang"] for r in sizes]
-    if len(languages) > 64:
-        raise ValueError("a mask holds 64 languages")
+    words = max(1, -(-len(languages) // 64))
     if not languages:
-        return Model([], np.zeros(SLOTS, np.uint64))
-    masks = np.left_shift(np.uint64(1), np.arange(len(languages), dtype=np.uint64)).view(np.int64).tolist()
-    bits = F.create_map(*[c for lang, m in zip(languages, masks, strict=True) for c in (F.lit(lang), F.lit(m).cast("long"))])
-    totals = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], float(r["count"]))])
-    counted = rows.mapInArrow(_count, "lang string, gram long, n long")
-    rates = counted.groupBy("lang", "gram").agg(
-        (F.sum("n") / totals[F.col("lang")]).alias("rate"), F.first(bits[F.col("lang")]).alias("bit")
+        return Model([], np.zeros((SLOTS, words), np.uint64))
+    spark = documents.sparkSession
+    ensure_checkpoint_dir(spark)
+    bits = np.left_shift(np.uint64(1), np.arange(len(languages), dtype=np.uint64) % np.uint64(64)).view(np.int64).tolist()
+    known = spark.createDataFrame(
+        [(lang, r["count"], i // 64, bits[i]) for i, (lang, r) in enumerate(zip(languages, sizes, strict=True))],
+        "lang string, texts long, word int, bit long",
     )
+    counted = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    rates = counted.join(known, "lang").withColumn("rate", F.col("n") / F.col("texts"))
     often = rates.where(F.col("rate") >= MIN_RATE)
-    best = often.groupBy("gram").agg(F.collect_list(F.struct("rate", "bit")).alias("rates"))  # one per language
+    best = often.groupBy("gram").agg(F.collect_list(F.struct("rate", "word", "bit")).alias("rates"))  # one per language
     top = F.array_max(F.transform("rates", lambda r: r["rate"]))
-    kept = best.select("gram", F.filter("rates", lambda r: r["rate"] >= NEAR_BEST * top).alias("rates"))
-    either = F.aggregate("rates", F.lit(0).cast("long"), lambda mask, r: mask.bitwiseOR(r["bit"]))
-    masks = kept.select("gram", either.alias("mask"))
-    slotted = masks.mapInArrow(_to_slots, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask"))
-    table = slotted.toArrow()  # at most SLOTS rows
-    filled = np.zeros(SLOTS, np.uint64)
-    filled[table["slot"].to_numpy()] = table["mask"].to_numpy().astype(np.int64).view(np.uint64)
+    kept = best.select("gram", F.explode(F.filter("rates", lambda r: r["rate"] >= NEAR_BEST * top)).alias("r"))
+    kept = kept.select("gram", "r.word", "r.bit").checkpoint()
+    most = kept.groupBy("word", "bit").count().agg(F.max("count")).first()[0] or 0
+    size = max(SLOTS, 1 << (ROOM * most - 1).bit_length()) if most else SLOTS
+    slotted = kept.mapInArrow(_to_slots(size), "slot long, word int, mask long").groupBy("slot", "word").agg(
+        F.bit_or("mask").alias("mask")
+    )
+    table = slotted.toArrow()  # at most as many rows as slots, for each 64 languages
+    filled = np.zeros((size, words), np.uint64)
+    filled[table["slot"].to_numpy(), table["word"].to_numpy()] = table["mask"].to_numpy().astype(np.int64).view(np.uint64)
     return Model(languages, filled)
 
 
-def _to_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        grams, masks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        for own in slots(grams):
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(masks)], names=["slot", "mask"])
+def _to_slots(size: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for own in slots(batch.column(0).to_numpy(), size):
+                yield pa.RecordBatch.from_arrays([pa.array(own), *batch.columns[1:]], names=["slot", "word", "mask"])
+
+    return rows
 
 
 def predict(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
     """The language and the score of each text."""
+    return _predicted(texts, model)[:2]
+
+
+def _predicted(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The language, the score and the number of n-grams of each text."""
     n, k = len(texts), len(model.languages)
+    sizes = np.zeros(n, np.int64)
     shares = np.zeros((n, max(k, 1)))
     if k:
         wrong = model.false_positives()
         for first, grams, counts in gram_blocks(texts):
             full = np.flatnonzero(counts)
+            sizes[first : first + len(counts)] = counts
             if not len(full):
                 continue
-            masks = np.bitwise_and.reduce([model.filter[s] for s in slots(grams)])
+            masks = np.bitwise_and.reduce([model.filter[s] for s in slots(grams, len(model.filter))])
             starts = (np.cumsum(counts) - counts)[full]
             for i in range(k):
-                bits = (masks >> np.uint64(i) & np.uint64(1)).astype(np.uint8)
+                bits = _bit(masks, i).astype(np.uint8)
                 hits = np.add.reduceat(bits, starts, dtype=np.int64) / counts[full]
                 shares[first + full, i] = np.clip((hits - wrong[i]) / max(1e-9, 1 - wrong[i]), 0, 1)
     lettered = pc.match_substring_regex(texts.fill_null(""), r"\p{L}").to_numpy(zero_copy_only=False)
     known = lettered & bool(k)
     best = shares.argmax(axis=1)
     names = [model.languages[b] if ok else UNDETERMINED for b, ok in zip(best, known, strict=True)]
-    return names, np.where(known, shares.max(axis=1), 0.0)
+    return names, np.where(known, shares.max(axis=1), 0.0), sizes
 
 
 def identify(documents: DataFrame, model: Model) -> DataFrame:
@@ -193,14 +216,21 @@ def identify(documents: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_identified(documents: DataFrame, model: Model, floor: float = 0.0) -> DataFrame:
-    """The rows of ``documents``, all columns kept, whose language could be determined with a score of ``floor``."""
+    """The rows of ``documents``, all columns kept, whose language could be determined with a score of ``floor``.
+
+    The floor is lower for texts of few n-grams. Without any learned language only texts without a letter go.
+    """
+    if not model.languages:
+        return documents.where(F.rlike(F.coalesce("text", F.lit("")), F.lit(r"\p{L}")))
     shared = documents.sparkSession.sparkContext.broadcast((model.languages, model.filter))
     at = documents.columns.index("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in arrays.pieces(batches):
-            names, score = predict(batch.column(at), Model(*shared.value))
-            yield batch.filter(pa.array([name != UNDETERMINED for name in names], pa.bool_()) if not floor else pa.array(score >= floor))
+            names, score, sizes = _predicted(batch.column(at), Model(*shared.value))
+            lettered = np.array([name != UNDETERMINED for name in names], bool)
+            enough = score >= floor - WIDENING / np.sqrt(np.maximum(sizes, 1))
+            yield batch.filter(pa.array(lettered & enough))
 
     return documents.mapInArrow(rows, documents.schema)
 
