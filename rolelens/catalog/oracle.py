@@ -399,6 +399,13 @@ ORACLE: dict[str, str] = {
     "load_staged": q(
         f"SELECT {cols(ALL)} FROM (SELECT * FROM stored UNION ALL SELECT * FROM stored)", CSV, STORED
     ),
+    "clustered_scan": q(f"SELECT {cols(NO_BIRTH_YEAR)} FROM analyst"),
+    "merge_distinct": q(
+        f"SELECT {cols(ALL)} FROM (SELECT *, row_number() OVER (PARTITION BY rental_id ORDER BY usage_min) AS rn"
+        " FROM (SELECT * REPLACE (usage_min + 1 AS usage_min) FROM rentals WHERE right(rental_id, 1) <= '4'"
+        " UNION ALL SELECT * REPLACE (usage_min + CASE WHEN right(rental_id, 1) IN ('1', '3', '5', '7', '9') THEN 2"
+        " ELSE 0 END AS usage_min) FROM rentals WHERE right(rental_id, 1) >= '3')) WHERE rn = 1"
+    ),
     "content_reconcile": q(
         "SELECT count(station_id) AS source_rows, count(station_id) AS loaded_rows,"
         " CAST(0 AS BIGINT) AS differing_ranges FROM csv",

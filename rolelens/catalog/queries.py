@@ -23,11 +23,13 @@ from rolelens.operators import share as H
 from rolelens.operators import summary as M
 from rolelens.operators.stored import StoredRegistry
 from rolelens.plans import reports as R
-from rolelens.schema import PERSONAL_COLUMNS, POLICY_SCHEMA, RENTAL_COLUMNS
+from rolelens.schema import PERSONAL_COLUMNS, POLICY_SCHEMA, RENTAL_COLUMNS, RENTAL_SCHEMA
 from rolelens.session import work_path
 from rolelens.sources import load as L
+from rolelens.sources.layout import write_clustered
 from rolelens.sources.logs import log_metrics
 from rolelens.sources.rentals import read_table, rentals
+from rolelens.sources.versions import VersionedTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -220,6 +222,25 @@ def load_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return portable(table.read(2).unionByName(table.read(1)))
 
 
+def clustered_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The district role's rows, read from a table in the order of districts."""
+    table = write_clustered(rentals(spark, sf_dir), work_path(spark, "clustered"))
+    return portable(P.policy_view(table, P.standard_policies(DISTRICT), P.DISTRICT_ANALYST))
+
+
+def merge_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per rental after two loads that overlap: the one with the shortest use."""
+    table = rentals(spark, sf_dir)
+    digit = F.substring("rental_id", -1, 1)
+    longer = F.when(digit.isin("1", "3", "5", "7", "9"), 2).otherwise(0)
+    first = table.where(digit <= "4").withColumn("usage_min", F.col("usage_min") + 1)
+    second = table.where(digit >= "3").withColumn("usage_min", F.col("usage_min") + longer)
+    stored = VersionedTable(spark, work_path(spark, "merged"), RENTAL_SCHEMA)
+    for load_id, rows in (("first", first), ("second", second), ("first", first)):
+        stored.merge_distinct(rows, ("rental_id",), ("usage_min",), load_id)
+    return portable(stored.read())
+
+
 def content_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows on both sides, over all key ranges, and whether each range is equal."""
     path = _csv(spark, sf_dir)
@@ -367,6 +388,8 @@ QUERIES: dict[str, Query] = {
     "load_insert": lambda s, d: portable(_stored(s, d, "rentals_inserted", twice=True)),
     "load_reconcile": load_reconcile,
     "load_staged": load_staged,
+    "clustered_scan": clustered_scan,
+    "merge_distinct": merge_distinct,
     "content_reconcile": content_reconcile,
     "schema_report": lambda s, d: portable(L.schema_report(_stored(s, d, "rentals_described"))),
     "preview": _on(L.preview),
