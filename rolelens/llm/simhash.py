@@ -9,7 +9,8 @@ Neighbours in document order come from a range shuffle and one pass over each so
 partition's first and last text are carried over to the next. Texts are shuffled once.
 
 Defined results: a NULL or empty text has the fingerprint 0 and counts as empty. Rows with equal ids
-follow in the order of their texts, rows without id come first. A single row is its own next document.
+follow in the order of their texts' hashes, rows without id come first; so different texts of one id, or without
+one, are dealt among tasks. A single row is its own next document.
 """
 
 from __future__ import annotations
@@ -134,16 +135,20 @@ def neighbour_fingerprints(documents: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = (
         documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .repartitionByRange(parts, "doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        .withColumn("deal", F.xxhash64("text"))
+        .repartitionByRange(parts, "doc_id", "deal")
+        .sortWithinPartitions("doc_id", "deal", "text")
+        .drop("deal")
     )
     passed = ordered.mapInArrow(_pass, _SCHEMA).checkpoint()
     # one row per partition from here on
     firsts = passed.where(F.col("edge") == _FIRST).select("part", "text")
     lasts = passed.where(F.col("edge") == _LAST).select("part", "doc_id", "text")
     order = Window.orderBy("part")
-    around = F.first("text").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    after = firsts.select("part", F.coalesce(F.lead("text").over(order), around).alias("after"))
+    around = F.first("part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    follows = firsts.select("part", F.coalesce(F.lead("part").over(order), around).alias("next"))  # numbers alone
+    texts = firsts.select(F.col("part").alias("next"), F.col("text").alias("after"))
+    after = follows.join(texts, "next").select("part", "after")
     edges = lasts.join(after, "part").select("doc_id", "text", "after").mapInArrow(_pairs, _SCHEMA)
     return passed.where(F.col("edge") == _DONE).unionByName(edges).drop("part", "edge", "text")
 

@@ -119,3 +119,26 @@ def contamination(text, items, size=10):
 
 def crc(value):
     return zlib.crc32(str(value).encode())
+
+
+_ALL = 2**64 - 1
+# The multipliers of the library's hash.
+_BASE, _MIX = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
+def _mix(x):
+    x = ((x ^ x >> 30) * _MIX[0]) & _ALL
+    x = ((x ^ x >> 27) * _MIX[1]) & _ALL
+    return x ^ x >> 31
+
+
+def simhash(text, size=5):
+    """The sign of every bit's votes, one vote per occurrence of a term."""
+    w = [_mix(sum((c + 1) * pow(_BASE, k + 1, 2**64) for k, c in enumerate(x.encode())) & _ALL) for x in blank_words(text)]
+    terms = []
+    for i in range(max(len(w) - size + 1, min(len(w), 1))):
+        term, length = 0, len(w[i : i + size])
+        for word in w[i : i + size]:
+            term = _mix((term * _BASE + word) & _ALL)
+        terms.append(_mix((term + length) & _ALL))
+    return sum((2 * sum(t >> bit & 1 for t in terms) > len(terms)) << bit for bit in range(64))

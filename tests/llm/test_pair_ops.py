@@ -30,6 +30,24 @@ def test_fingerprints_of_neighbours(odd, odd_rows):
         assert r.n_near == near
 
 
+def test_fingerprints_are_the_signs_of_the_votes(odd_rows):
+    texts = [t for _, t in odd_rows if len(t or "") < 20_000]
+    assert [int(x) for x in simhash.fingerprints(pa.array(texts, pa.string()))] == [brute.simhash(t) for t in texts]
+
+
+def test_rows_without_id_are_dealt_among_tasks(spark):
+    rows = spark.range(0, 3000, 1, 4).selectExpr("IF(id % 3 = 0, id, NULL) AS doc_id", "concat('some words and ', id, ' number') AS text")
+    got = simhash.neighbour_fingerprints(rows).collect()
+    assert len(got) == 3000
+    keys = [(i is not None, i or 0, h, t) for i, t, h in rows.selectExpr("doc_id", "text", "xxhash64(text)").collect()]
+    texts = [k[3] for k in sorted(keys)]
+    edited = [t[: len(t) - len(t) // 4] + texts[(k + 1) % 3000][: len(t) // 4] for k, t in enumerate(texts)]
+    assert sorted(r.edited_sha256 for r in got) == sorted(map(brute.sha, edited))
+    parts = rows.selectExpr("doc_id", "xxhash64(text) AS deal").repartitionByRange(4, "doc_id", "deal")
+    sizes = [len(p) for p in parts.rdd.glom().collect()]
+    assert max(sizes) < 1500
+
+
 def test_block_tables_find_every_pair(spark):
     rnd = random.Random(1)
     prints = [rnd.getrandbits(64) for _ in range(300)]
