@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from rolelens.llm.url_filter import CATEGORIES
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"list_filter(regexp_split_to_array({_LOWER}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
@@ -64,6 +66,16 @@ def _shrink(name: str, child: str, parent: str, key: str, columns: str) -> str:
 {name} AS (SELECT {columns}, m * s + good AS a, (1 - m) * s + n - good AS b FROM {name}_j, {name}_s)"""
 
 
+def _labels(host: str, n: int) -> str:
+    """The last ``n`` labels of a host: 1 its suffix, 2 its domain; one more below a country's categories."""
+    bare = rf"regexp_replace({host}, '\.?(:[0-9]*)?\z', '')"
+    category = rf"regexp_matches({bare}, '(^|\.)({'|'.join(CATEGORIES)})\.[a-z][a-z]\z')"
+    return (
+        rf"CASE WHEN regexp_matches({bare}, '^[0-9]+(\.[0-9]+){{3}}\z') OR starts_with({bare}, '[') THEN {bare}"
+        f" ELSE array_to_string(string_split({bare}, '.')[CASE WHEN {category} THEN -{n + 1} ELSE -{n} END:], '.') END"
+    )
+
+
 _OP7 = rf"""
 WITH u AS (SELECT page_id,
        translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''),
@@ -71,8 +83,7 @@ WITH u AS (SELECT page_id,
        coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
 o AS (SELECT host, count(*) AS n, CAST(sum(CAST(quality = 1 AS INT)) AS BIGINT) AS good
       FROM u JOIN labels ON labels.doc_id = page_id WHERE quality IS NOT NULL GROUP BY host),
-h AS (SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain,
-             string_split(host, '.')[-1] AS suffix, n, good FROM o),
+h AS (SELECT host, {_labels("host", 2)} AS domain, {_labels("host", 1)} AS suffix, n, good FROM o),
 d AS (SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM h GROUP BY ALL),
 x AS (SELECT suffix, '' AS root, sum(n) AS n, sum(good) AS good FROM h GROUP BY ALL),
 al AS (SELECT '' AS root, coalesce(sum(good), 0) + 1.0 AS a, coalesce(sum(n) - sum(good), 0) + 1.0 AS b FROM h),
@@ -92,8 +103,8 @@ SELECT u.page_id, u.host, u.path, r.rule, coalesce(r.verdict, CASE WHEN coalesce
        THEN 'block' ELSE 'allow' END) AS verdict
 FROM u LEFT JOIN (SELECT DISTINCT host, path, rule, verdict FROM r) r USING (host, path)
 LEFT JOIN v vh ON vh.level = 'host' AND vh.name = u.host
-LEFT JOIN v vd ON vd.level = 'domain' AND vd.name = array_to_string(string_split(u.host, '.')[-2:], '.')
-LEFT JOIN v vs ON vs.level = 'suffix' AND vs.name = string_split(u.host, '.')[-1]
+LEFT JOIN v vd ON vd.level = 'domain' AND vd.name = {_labels("u.host", 2)}
+LEFT JOIN v vs ON vs.level = 'suffix' AND vs.name = {_labels("u.host", 1)}
 LEFT JOIN v va ON va.level = 'all'
 """
 

@@ -50,6 +50,9 @@ RULES = (
     Rule("allow", "org/fr/"),
 )
 
+#: Second labels under which countries register names.
+CATEGORIES = ("ac", "co", "com", "edu", "go", "gob", "gov", "gouv", "mil", "ne", "net", "nom", "or", "org", "sch")
+
 #: A host is blocked if the upper bound (this many deviations) of its good share is below MIN_GOOD.
 DEVIATIONS = 1.645
 MIN_GOOD = 0.5
@@ -75,13 +78,23 @@ def _first(rules: tuple[Rule, ...], value) -> Column:
 
 
 def _levels(host: str) -> list[Column]:
-    """The registered domain (two last labels) and the suffix (last label) of a host."""
-    return [F.substring_index(host, ".", -2).alias("domain"), F.substring_index(host, ".", -1).alias("suffix")]
+    """The registered domain and the suffix of a host, without port and last dot.
+
+    The suffix is the last label, or the last two where those are a category under a country (``co.uk``); the
+    domain has one label more. A numeric address (IPv4, or IPv6 in brackets) is a domain and a suffix of its own.
+    """
+    bare = F.regexp_replace(host, r"\.?(:[0-9]*)?\z", "")
+    numeric = bare.rlike(r"^[0-9]+(\.[0-9]+){3}\z") | bare.startswith("[")
+    category = bare.rlike(rf"(^|\.)({'|'.join(CATEGORIES)})\.[a-z][a-z]\z")
 
+    def labels(n: int) -> Column:
+        return F.when(numeric, bare).when(category, F.substring_index(bare, ".", -n - 1)).otherwise(F.substring_index(bare, ".", -n))
 
-def _shrunk(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
-    """``children`` (key columns, n, good) joined with ``parents`` (key, prior): adds their posterior a, b."""
-    joined = children.join(parents, key)
+    return [labels(2).alias("domain"), labels(1).alias("suffix")]
+
+
+def _shrunk(joined: DataFrame) -> DataFrame:
+    """Rows with key columns, n, good and prior (the parent's mean): their posterior a, b instead of the prior."""
     m = F.col("prior")
     variance = m * (1 - m)
     # how far shares lie from the parent's, against what chance alone would give
@@ -90,7 +103,7 @@ def _shrunk(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     bounded = F.least(F.greatest(correlation, F.lit(MIN_CORRELATION)), F.lit(MAX_CORRELATION))
     strength = F.lit(joined.agg((1 / bounded - 1).alias("strength")).first()["strength"])  # one number
     return joined.select(
-        *children.columns,
+        *[c for c in joined.columns if c != "prior"],
         (m * strength + F.col("good")).alias("a"),
         ((1 - m) * strength + F.col("n") - F.col("good")).alias("b"),
     )
@@ -112,15 +125,13 @@ def host_reputation(outcomes: DataFrame) -> DataFrame:
     hosts = counted.select("host", *_levels("host"), "n", "good")
     domains = hosts.groupBy("domain", "suffix").agg(n, good)
     suffixes = domains.groupBy("suffix").agg(n, good)
-    every = hosts.agg(
-        F.lit("").alias("root"), (F.coalesce(F.sum("good"), F.lit(0)) + 1.0).alias("a"),
-        (F.coalesce(F.sum("n") - F.sum("good"), F.lit(0)) + 1.0).alias("b"),
-    )
+    total = hosts.agg(F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    a, b = total["good"] + 1.0, total["n"] - total["good"] + 1.0  # two numbers
     mean = (F.col("a") / (F.col("a") + F.col("b"))).alias("prior")
-    by_suffix = _shrunk(suffixes.withColumn("root", F.lit("")), every.select("root", mean), "root").checkpoint()
-    by_domain = _shrunk(domains, by_suffix.select("suffix", mean), "suffix").checkpoint()
-    by_host = _shrunk(hosts.drop("suffix"), by_domain.select("domain", mean), "domain")
-    out = every.select(F.lit("all").alias("level"), F.col("root").alias("name"), "a", "b")
+    by_suffix = _shrunk(suffixes.withColumn("prior", F.lit(a / (a + b)))).checkpoint()
+    by_domain = _shrunk(domains.join(by_suffix.select("suffix", mean), "suffix")).checkpoint()
+    by_host = _shrunk(hosts.drop("suffix").join(by_domain.select("domain", mean), "domain"))
+    out = hosts.sparkSession.createDataFrame([("all", "", a, b)], "level string, name string, a double, b double")
     for level, frame in (("suffix", by_suffix), ("domain", by_domain), ("host", by_host)):
         out = out.unionByName(frame.select(F.lit(level).alias("level"), F.col(level).alias("name"), "a", "b"))
     return out

@@ -99,6 +99,36 @@ def test_host_reputation_shrinks(spark):
     assert not got["host", "new.one.org"].blocked and ("host", "x") not in got
 
 
+#: host: domain, suffix.
+PLACES = {
+    "www.a.co.uk": ("a.co.uk", "co.uk"), "b.co.uk:8080": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"),
+    "www.example.com": ("example.com", "com"), "example.com:443": ("example.com", "com"), "example.com.": ("example.com", "com"),
+    "1.2.3.4": ("1.2.3.4", "1.2.3.4"), "1.2.3.4:80": ("1.2.3.4", "1.2.3.4"), "[::1]:80": ("[::1]", "[::1]"),
+    "x.1.2.3.4": ("3.4", "4"), "com.museum": ("com.museum", "museum"), "net.de": ("net.de", "net.de"),
+    "localhost": ("localhost", "localhost"), "": ("", ""), "a.xco.uk": ("xco.uk", "uk"), "a.co.uk\n": ("co.uk\n", "uk\n"),
+}
+
+
+def test_domains_and_suffixes(spark):
+    import duckdb
+
+    from rolelens.llm.oracle import _labels
+
+    hosts = spark.createDataFrame([(h,) for h in PLACES], "host string")
+    got = {r.host: (r.domain, r.suffix) for r in hosts.select("host", *url_filter._levels("host")).collect()}
+    assert got == PLACES
+    for host, want in PLACES.items():
+        assert duckdb.execute(f"SELECT {_labels('h', 2)}, {_labels('h', 1)} FROM (SELECT ? AS h)", [host]).fetchone() == want
+
+
+def test_sites_below_one_country_do_not_share_a_domain(spark):
+    rows = [("www.bad.co.uk", False)] * 60 + [("www.fine.co.uk", True)] * 60 + [("9.2.3.4", False)] * 60 + [("8.2.3.4:80", True)] * 60
+    found = url_filter.blocked_names(url_filter.host_reputation(spark.createDataFrame(rows, "host string, good boolean")))
+    blocked = {(r.level, r.name): r.blocked for r in found.collect()}
+    assert blocked["domain", "bad.co.uk"] and not blocked["domain", "fine.co.uk"] and not blocked["suffix", "co.uk"]
+    assert blocked["domain", "9.2.3.4"] and not blocked["domain", "8.2.3.4"]
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
