@@ -574,6 +574,17 @@ ORACLE: dict[str, str] = {
         "SELECT count(*) AS rentals, TRUE AS share_as_asked, TRUE AS rows_of_the_table FROM rentals"
     ),
     "distinct_counts_scoped": q(distinct_counts("marketing")),
+    "distinct_sketches_roles": q(
+        "\nUNION ALL ".join(
+            f"SELECT '{role}' AS role, count(*) AS rentals, TRUE AS rental_id, TRUE AS station_id, TRUE AS district FROM {table}"
+            for role, table in (
+                ("data_steward", "steward"),
+                ("district_analyst", "analyst"),
+                ("operation", "operation"),
+                ("marketing_partner", "marketing"),
+            )
+        )
+    ),
     "count_distinct_in_group": q(
         "SELECT user_type, count(DISTINCT district) AS distinct_values FROM rentals GROUP BY 1"
     ),
@@ -790,3 +801,7 @@ ORACLE: dict[str, str] = {
         " array_to_string(hidden, ',') AS hidden_columns FROM hiding"
     ),
 }
+
+# the same results by another way
+for _name in ("station_top10", "station_popular", "district_station_hour"):
+    ORACLE[f"{_name}_heavy"] = ORACLE[_name]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,9 @@ from rolelens.operators import policy as P
 from rolelens.operators import quality as Q
 from rolelens.operators import segment as G
 from rolelens.operators import share as H
+from rolelens.operators import sketches as D
 from rolelens.operators import summary as M
+from rolelens.operators.heavy import heavy_segment
 from rolelens.operators.stored import StoredRegistry
 from rolelens.plans import reports as R
 from rolelens.schema import PERSONAL_COLUMNS, POLICY_SCHEMA, RENTAL_COLUMNS, RENTAL_SCHEMA
@@ -342,6 +345,36 @@ def distance_quantiles_approx(t: DataFrame) -> DataFrame:
     return t.agg(*near)
 
 
+def distinct_sketches_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per role, from stored sketches of two loads: its rows, and whether each estimate lies within three
+    standard deviations of the exact count. The marketing filter needs sketches by birth year too."""
+    table = rentals(spark, sf_dir)
+    late = F.substring("rental_id", -1, 1) >= "5"
+    stores = {}
+    for keys in (("district", D.DAY), ("district", "birth_year")):
+        store = D.DistinctStore(spark, work_path(spark, "sketches"), R.ID_COLUMNS, keys)
+        for load_id, rows in (("first", table.where(~late)), ("second", table.where(late)), ("first", table)):
+            store.add(rows, load_id)
+        store.merge()
+        stores[keys] = store
+    bound = 3 * D.relative_error()
+    both = []
+    for policy in _policies():
+        keys = ("district", "birth_year") if policy.role == P.MARKETING_PARTNER else ("district", D.DAY)
+        seen = M.distinct_counts(P.policy_view(table, _policies(), policy.role), R.ID_COLUMNS)
+        both += [
+            counts.withColumn("role", F.lit(policy.role))
+            for counts in (
+                stores[keys].role_counts(_policies(), policy.role).withColumn("exact", F.lit(False)),
+                seen.withColumns({"exact": F.lit(True), "rentals": F.lit(None).cast("long")}),
+            )
+        ]
+    close = [
+        (F.max(c) - F.min(c) <= F.lit(bound) * F.max(F.when(F.col("exact"), F.col(c)))).alias(c) for c in R.ID_COLUMNS
+    ]
+    return portable(reduce(DataFrame.unionByName, both).groupBy("role").agg(F.max("rentals").alias("rentals"), *close))
+
+
 def sample_fraction_random(t: DataFrame) -> DataFrame:
     """The sampled share lies within five standard deviations, and only rows of the table are drawn."""
     drawn = Q.sample_fraction(t, SAMPLE_FRACTION, seed=7).select("rental_id").distinct()
@@ -425,6 +458,7 @@ QUERIES: dict[str, Query] = {
         lambda t: M.distinct_counts(t, R.ID_COLUMNS), P.MARKETING_PARTNER
     ),
     "distinct_counts_approx": _on(distinct_counts_approx),
+    "distinct_sketches_roles": distinct_sketches_roles,
     "count_distinct_in_group": _on(
         lambda t: M.count_distinct_in_group(t, ["user_type"], "district")
     ),
@@ -440,6 +474,8 @@ QUERIES: dict[str, Query] = {
     "station_top10": _on(lambda t: G.segment(t, "station_top10"), P.DISTRICT_ANALYST),
     "station_popular": _on(lambda t: G.segment(t, "station_popular"), P.MARKETING_PARTNER),
     "station_efficiency": _on(lambda t: G.segment(t, "station_efficiency"), P.OPERATION),
+    "station_top10_heavy": _on(lambda t: heavy_segment(t, "station_top10"), P.DISTRICT_ANALYST),
+    "station_popular_heavy": _on(lambda t: heavy_segment(t, "station_popular"), P.MARKETING_PARTNER),
     "hourly_counts": _on(lambda t: G.segment(t, "hourly_counts"), P.STEWARD),
     "hourly_usage": _on(lambda t: G.segment(t, "hourly_usage"), P.MARKETING_PARTNER),
     "hourly_load": _on(lambda t: G.segment(t, "hourly_load"), P.OPERATION),
@@ -502,6 +538,7 @@ QUERIES: dict[str, Query] = {
     "district_age": _on(lambda t: G.district_age(t, AS_OF_YEAR), P.STEWARD),
     "station_gender": _on(lambda t: G.segment(t, "station_gender"), P.DISTRICT_ANALYST),
     "district_station_hour": _on(lambda t: G.segment(t, "district_station_hour"), P.OPERATION),
+    "district_station_hour_heavy": _on(lambda t: heavy_segment(t, "district_station_hour"), P.OPERATION),
     "station_gender_day": _on(
         lambda t: G.segment(t, "station_gender_day"), P.MARKETING_PARTNER
     ),
