@@ -27,6 +27,7 @@ component without any id, the rows with the smallest text key are kept.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterator
 from functools import partial, reduce
@@ -62,10 +63,9 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
             yield np.unique(hashes[start:end])
 
 
-def _set_key(values: np.ndarray) -> int:
-    """Equal for equal sets only, up to a 64-bit hash."""
-    total = np.add.reduce(arrays.mix(values.view(np.uint64)), dtype=np.uint64)
-    return int(arrays.mix(np.array([total + np.uint64(len(values))], np.uint64)).view(np.int64)[0])
+def _set_hash(values: np.ndarray) -> bytes:
+    """128 bits that stand for a whole set."""
+    return hashlib.blake2b(values, digest_size=16).digest()
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -84,7 +84,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sketches(documents: DataFrame, size: int = SKETCH) -> DataFrame:
-    """Per row of ``documents`` (doc_id, text): doc_id, text_key, n_shingles, set_key, sketch (sorted)."""
+    """Per row of ``documents`` (doc_id, text): doc_id, text_key, n_shingles, set_hash, sketch (sorted)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _pieces(batches):
@@ -94,27 +94,29 @@ def sketches(documents: DataFrame, size: int = SKETCH) -> DataFrame:
                     piece.column(0),
                     piece.column(1),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([_set_key(s) for s in sets], pa.int64()),
+                    pa.array([_set_hash(s) for s in sets], pa.binary()),
                     _lists([s[:size] for s in sets]),
                 ],
-                names=["doc_id", "text_key", "n_shingles", "set_key", "sketch"],
+                names=["doc_id", "text_key", "n_shingles", "set_hash", "sketch"],
             )
 
     keyed = documents.select("doc_id", text_key(F.col("doc_id"), F.col("text")).alias("text_key"), "text")
-    return keyed.mapInArrow(rows, "doc_id long, text_key long, n_shingles long, set_key long, sketch array<long>")
+    return keyed.mapInArrow(rows, "doc_id long, text_key binary, n_shingles long, set_hash binary, sketch array<long>")
 
 
-def _bloom_positions(keys: np.ndarray) -> list[np.ndarray]:
+def _bloom_positions(keys: pa.Array) -> list[np.ndarray]:
+    """For each hash the bits of text keys, by their first half."""
+    half = np.frombuffer(b"".join(keys.to_pylist()), np.uint64)[::2]
     bits = np.uint64(BLOOM_WORDS * 64)
-    return [arrays.mix(keys.view(np.uint64) + np.uint64(k)) % bits for k in range(_BLOOM_HASHES)]
+    return [arrays.mix(half + np.uint64(k)) % bits for k in range(_BLOOM_HASHES)]
 
 
 def _bloom(keys: DataFrame) -> np.ndarray:
-    """A Bloom filter of a column of longs: BLOOM_WORDS words."""
+    """A Bloom filter of a column of text keys: BLOOM_WORDS words."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.concatenate(_bloom_positions(batch.column(0).to_numpy()))
+            at = np.concatenate(_bloom_positions(batch.column(0)))
             mask = np.left_shift(np.uint64(1), at % np.uint64(64)).view(np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array((at // np.uint64(64)).astype(np.int64)), pa.array(mask)], names=["word", "mask"]
@@ -133,9 +135,8 @@ def whole_sets(documents: DataFrame, classes: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in _pieces(batches):
-            keys = piece.column(0).to_numpy()
-            passed = np.ones(len(keys), bool)
-            for at in _bloom_positions(keys):
+            passed = np.ones(piece.num_rows, bool)
+            for at in _bloom_positions(piece.column(0)):
                 passed &= (filter_.value[at // np.uint64(64)] >> at % np.uint64(64) & np.uint64(1)).astype(bool)
             some = piece.filter(pa.array(passed))
             yield pa.RecordBatch.from_arrays(
@@ -143,7 +144,7 @@ def whole_sets(documents: DataFrame, classes: DataFrame) -> DataFrame:
             )
 
     keyed = documents.select(text_key(F.col("doc_id"), F.col("text")).alias("text_key"), "text")
-    read = keyed.mapInArrow(rows, "text_key long, values array<long>").dropDuplicates(["text_key"])
+    read = keyed.mapInArrow(rows, "text_key binary, values array<long>").dropDuplicates(["text_key"])
     return read.join(classes.select("set_key", "text_key"), "text_key").select(
         "set_key", F.size("values").cast("long").alias("n"), "values"
     )
@@ -379,11 +380,13 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = sketches(documents).checkpoint()
     classes = (
         rows.where("n_shingles > 0")
-        .groupBy("set_key")
+        .groupBy("set_hash")
         .agg(
             F.min("doc_id").alias("smallest"), F.min("text_key").alias("text_key"),
             F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"),
         )
+        # a class has a number of its own; it is fixed once the classes are stored
+        .withColumn("set_key", F.monotonically_increasing_id())
         .checkpoint()
     )
     grouped = components(class_links(documents, classes, percent)).withColumnRenamed("node", "set_key").checkpoint()
@@ -394,16 +397,16 @@ def near_duplicates(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
     linked = grouped.join(named, "root").select("set_key", "linked", "first")
     ids = (
-        classes.select("set_key", "smallest", "text_key")
+        classes.select("set_key", "set_hash", "smallest", "text_key")
         .join(linked, "set_key", "left")
         .select(
-            "set_key", F.when(F.col("first").isNull(), F.col("smallest")).otherwise(F.col("linked")).alias("component_id"),
+            "set_hash", F.when(F.col("first").isNull(), F.col("smallest")).otherwise(F.col("linked")).alias("component_id"),
             F.coalesce("first", "text_key").alias("first_key"),
         )
         .checkpoint()
     )
-    own = rows.select("doc_id", "text_key", "n_shingles", "set_key")
-    full = own.where("n_shingles > 0").join(ids, "set_key")
+    own = rows.select("doc_id", "text_key", "n_shingles", "set_hash")
+    full = own.where("n_shingles > 0").join(ids, "set_hash")
     empty = own.where("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "first_key": F.col("text_key")})
     without_id = F.col("doc_id").isNull() & F.col("component_id").isNull() & (F.col("text_key") == F.col("first_key"))
     return full.unionByName(empty).select(

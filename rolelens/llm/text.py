@@ -134,8 +134,12 @@ def prefix_sums(values: Column) -> Column:
 
 
 def text_key(doc_id: Column, text: Column) -> Column:
-    """What stands for a row in joins: equal for repeated rows, never NULL."""
-    return F.xxhash64(doc_id, F.coalesce(text, F.lit("")), text.isNull())
+    """What stands for a row in joins: 128 bits, equal for repeated rows, never NULL."""
+    id_ = doc_id.cast("string")
+    # the length in front tells where an id ends
+    known = F.concat(F.length(id_).cast("string"), F.lit(":"), id_)
+    mark = F.when(text.isNull(), "n").otherwise("t")
+    return F.unhex(F.md5(F.concat(F.coalesce(known, F.lit("-")), mark, F.coalesce(text, F.lit("")))))
 
 
 def fresh(df: DataFrame, name: str) -> str:

@@ -5,9 +5,11 @@ import itertools
 import random
 
 import brute
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rolelens.llm import bottomk
+from rolelens.llm.text import text_key
 
 
 def families(n, seed=11):
@@ -76,3 +78,29 @@ def test_stage_drops_copies_of_similarity_80(spark):
 
 def test_values_that_a_link_shares():
     assert (bottomk.shared(85), bottomk.shared(80)) == (40, 35)
+
+
+def test_half_a_key_decides_nothing(spark, monkeypatch):
+    """Sets and rows whose 64 leading bits are all the same stay apart."""
+    whole_set, whole_row = bottomk._set_hash, bottomk.text_key
+    monkeypatch.setattr(bottomk, "_set_hash", lambda values: b"samehalf" + whole_set(values)[8:])
+    monkeypatch.setattr(
+        bottomk, "text_key", lambda i, t: F.concat(F.lit(b"samehalf"), F.substring(whole_row(i, t), 9, 8))
+    )
+    rows = families(12, seed=2)
+    want = brute.near_components(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = bottomk.near_duplicates(docs).collect()
+    assert {bytes(r.text_key)[:8] for r in got} == {b"samehalf"}
+    assert {r.doc_id: r.component_id for r in got} == {i: c for i, (_, c) in want.items()}
+    kept = bottomk.keep_one(docs).select("doc_id").collect()
+    assert {r.doc_id for r in kept} == {c for _, c in want.values()}
+
+
+def test_row_keys(spark):
+    rows = [(1, "a"), (1, "a"), (1, ""), (1, None), (None, "1:1ta"), (None, ""), (None, None), (11, "a"), (1, "1a"), (1, "ta")]
+    keyed = spark.createDataFrame(rows, "doc_id long, text string").select(text_key(F.col("doc_id"), F.col("text")).alias("k"))
+    keys = [bytes(r.k) for r in keyed.collect()]
+    assert {len(k) for k in keys} == {16} and len(set(keys)) == len(rows) - 1
+    texts = spark.createDataFrame([("a", "b"), ("ab", ""), ("", "ab"), (None, "ab"), ("a:", "b")], "doc_id string, text string")
+    assert texts.select(text_key(F.col("doc_id"), F.col("text")).alias("k")).distinct().count() == 5
