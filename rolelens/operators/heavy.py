@@ -41,8 +41,8 @@ def heaviest(
     """The k keys with the most rows; ties follow the keys. NULL is a key; fewer keys than k are all returned.
 
     Reads the key columns two or three times. Shuffled are one counter per task and bucket that it meets,
-    and the keys of opened buckets. Text keys have to be of the default collation, as others are equal with
-    different hashes.
+    and the keys of opened buckets, those of the fullest twice where others follow. Text keys have to be of the
+    default collation, as others are equal with different hashes.
     """
     if k < 1 or buckets < 1 or first < 1:
         raise ValueError("k, buckets and first are at least 1")
@@ -63,15 +63,13 @@ def heaviest(
     found = counted(hashed.where(F.col("_bucket").isin(fullest)))
     best = [r["rentals"] for r in found.orderBy(F.desc("rentals")).limit(k).select("rentals").collect()]
     least = best[-1] if len(best) == k else 0
-    others = totals.where(~F.col("_bucket").isin(fullest) & (F.col("_rows") >= least)).select("_bucket")
-    further = others.count()
-    counted_keys = found.count()
-    if further:
-        # at most ``buckets`` numbers are broadcast
-        more = counted(hashed.join(F.broadcast(others), "_bucket", "left_semi"))
-        counted_keys += more.count()
-        found = found.unionByName(more)
-    return Heaviest(found.orderBy(*ranking).limit(k), counted_keys, len(fullest) + further)
+    opened = totals.where(F.col("_bucket").isin(fullest) | (F.col("_rows") >= least)).select("_bucket")
+    opened_buckets = opened.count()
+    if opened_buckets > len(fullest):
+        # Once more with the first ones: a union of stored counts does not do, as each keeps what its filters said of
+        # the rows, and Spark may then fail to plan it. At most ``buckets`` numbers are broadcast.
+        found = counted(hashed.join(F.broadcast(opened), "_bucket", "left_semi"))
+    return Heaviest(found.orderBy(*ranking).limit(k), found.count(), opened_buckets)
 
 
 def heavy_segment(df: DataFrame, name: str, buckets: int = BUCKETS, first: int = FIRST) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 from rows import rental, table
 
+from rolelens.catalog import queries as Q
 from rolelens.operators import policy as P
 from rolelens.operators import segment as G
 from rolelens.operators import sketches as D
@@ -76,6 +77,24 @@ def test_reports_are_equal(spark, name):
     assert heavy_segment(df, name, buckets=32, first=1).collect() == G.segment(df, name).collect()
 
 
+def test_further_buckets_of_a_joined_and_filtered_table(spark, tmp_path):
+    """As many rows in each station of the role's district, so further buckets are opened after the fullest."""
+    users = spark.range(300).withColumnRenamed("id", "user_id")
+    users.selectExpr("user_id AS c_custkey", "cast(20 + user_id % 3 AS int) AS c_nationkey").write.parquet(
+        f"{tmp_path}/customer.parquet"
+    )
+    spark.range(20, 23).selectExpr("cast(id AS int) AS n_nationkey", "concat('NATION_', id) AS n_name").write.parquet(
+        f"{tmp_path}/nation.parquet"
+    )
+    spark.range(900).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-01 10:00:00' AS ts", "id % 300 AS user_id", "'view' AS event_type",
+        "cast(id % 7 AS double) AS value", "'{\"k\": 2}' AS props",
+    ).write.parquet(f"{tmp_path}/events.parquet")
+    got = Q.QUERIES["station_top10_heavy"](spark, str(tmp_path)).collect()
+    assert [r.station_id for r in got] == sorted(str(n) for n in range(0, 300, 3) if n % 50 != 49)[:10]
+    assert got == Q.QUERIES["station_top10"](spark, str(tmp_path)).collect()
+
+
 def test_only_top_lists_by_count(spark):
     with pytest.raises(ValueError, match="top list"):
         heavy_segment(table(spark, rental(0)), "hourly_load")
